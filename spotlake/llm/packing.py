@@ -178,7 +178,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     inside = Window.partitionBy("block").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
     long_docs = wide.where(F.size("full_crcs") > 0).select("uid", block, "doc_id", "doc_tokens", "full_crcs")
     first = F.col("base") + F.coalesce(F.sum(F.size("full_crcs")).over(inside), F.lit(0))
-    whole = long_docs.join(_running(per_block, [], "fulls").select("block", "base"), "block").select("doc_id", "doc_tokens", first.alias("first"), F.posexplode("full_crcs").alias("i", "ids_crc32"))
+    whole = long_docs.join(_running(per_block, [], "fulls").select("block", "base"), "block").select("doc_id", "doc_tokens", "full_crcs", first.alias("first"))
+    whole = whole.select("doc_id", "doc_tokens", "first", F.posexplode("full_crcs").alias("i", "ids_crc32"))
     whole = whole.select("doc_id", (F.col("i").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit("whole").alias("how"))
 
     # combinations: a remainder's rank among those of its length names its sequence
