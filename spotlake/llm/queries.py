@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import byte_bpe, gam, packing, simhash, token_count, topk
+from spotlake.llm import byte_bpe, gam, packing, quality_rules, simhash, token_count, topk
 from spotlake.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 100 == 0), 10)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules.apply_rules(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_topk": op8_topk,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_count": op10_token_count,
 }
 
