@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import byte_bpe, gam, license_scan, packing, quality_rules, simhash, token_count, topk
+from spotlake.llm import byte_bpe, chat, gam, license_scan, packing, quality_rules, simhash, token_count, topk
 from spotlake.llm.common import table
 
 
@@ -33,6 +33,25 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(docs, learn).select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    back = chat.read_back(chat.format_windows(chats.unionByName(control)))
+    whole = back.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"), F.sum("chars").cast("long").alias("formatted_chars"))
+    turns, targets = F.flatten(F.col("w.turns")), F.array_join(F.flatten(F.col("w.targets")), "")
+    text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return whole.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(text, 256).alias("turns_sha256"),
+        F.length(targets).cast("long").alias("loss_chars"),
+        F.sha2(targets, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
+    "op6_chat": op6_chat,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_topk": op8_topk,
     "op9_quality_rules": op9_quality_rules,
