@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import byte_bpe, chat, gam, license_scan, packing, quality_rules, simhash, token_count, topk
+from spotlake.llm import byte_bpe, chat, gam, license_scan, packing, pii, quality_rules, simhash, token_count, topk
 from spotlake.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Whoever holds the key can link surrogates to entities; a deployment passes its own.
+SURROGATE_KEY = "spotlake surrogates"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -77,6 +85,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op6_chat": op6_chat,
