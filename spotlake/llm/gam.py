@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spotlake.llm.common import cut
 
@@ -83,7 +84,7 @@ def with_features(docs: DataFrame, text_col: str = "text", out_col: str = "featu
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.list_(pa.float64()))], names=[*kept, out_col])
 
     cols = [F.col(f"`{c}`") for c in kept]
-    schema = docs.select(*cols).schema.add(out_col, "array<double>")
+    schema = docs.select(*cols).schema.add(out_col, T.ArrayType(T.DoubleType()))
     return docs.select(*cols, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
@@ -214,6 +215,26 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     return features.select(*cols, "features").mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", least: float = 0.3, most_rows: int = 20_000) -> DataFrame:
+    """The rows of docs that classify() predicts as 1, with the same columns. The sample is drawn from the labels, so that only its texts are read twice."""
+    one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias(label_col))
+    sample = cut(one.orderBy(F.xxhash64("__id"), "__id").limit(most_rows))
+    texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__t"))
+    texts = texts.join(F.broadcast(sample.select(F.col("__id").alias(id_col))), id_col, "left_semi")  # at most most_rows ids
+    features = with_features(texts, "__t")
+    model = fit(*training_sample(features, sample.withColumnRenamed("__id", id_col), id_col, label_col, most_rows))
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = np.array([text_features(text or "") for text in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(model.scores(values) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a row is kept from training: crc32 of the id as text leaves 0 by 5."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
