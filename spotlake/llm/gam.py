@@ -211,7 +211,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "score", "predicted"])
 
     cols = [F.col(f"`{c}`") for c in kept]
-    schema = features.select(*cols).schema.add("score", "double").add("predicted", "int")
+    schema = features.select(*cols).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return features.select(*cols, "features").mapInArrow(run, schema)
 
 
