@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import cut
+from spotlake.llm.common import cut, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,8 @@ WINDOW = 8
 #: Ratio -> the least fence: what is at or below it is never dropped for it.
 FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.1, "repeat_ratio": 0.3, "word_length": 14.0}
 SALTS, SPREAD = 16, 3.0
+#: Groups up to which the fences are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -101,19 +103,33 @@ def thresholds(counts: DataFrame, groups: tuple[str, ...] = ("lang", "source"))
     return merged.select(*groups, *[F.greatest(F.lit(FLOORS[n]), high[n] + SPREAD * (high[n] - low[n])).alias(f"max_{n}") for n in ratios])
 
 
-def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text_col: str = "text", least_words: int = 20, most_repeated: int = 30) -> DataFrame:
-    """docs without the text, with the columns of COUNTS, base_failed, kept (both boolean) and reason (string, null if kept).
-
-    Base rules: fewer than least_words words, or more than most_repeated per cent of the words repeated.
-    """
-    docs = docs.drop("base_failed", "kept", "reason")
-    counts = cut(with_counts(docs, text_col))
-    fences = thresholds(counts, groups)
+def _judged(counts: DataFrame, groups: tuple[str, ...], least_words: int, most_repeated: int) -> DataFrame:
+    """counts with base_failed and reason, after the fences are joined back to it."""
+    fences = cut(thresholds(counts, groups))
     fences = fences.select(*[F.col(g).alias(f"__{g}") for g in groups], *[f"max_{n}" for n in FLOORS])
+    if fences.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        fences = F.broadcast(fences)
     on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
     base_failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     reason = F.when(base_failed, F.lit("base"))
     for name, ratio in _ratios().items():
         reason = reason.when(ratio > F.col(f"max_{name}"), F.lit(name))
-    joined = counts.join(fences, on, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in counts.columns], base_failed.alias("base_failed"), reason.alias("reason")).withColumn("kept", F.col("reason").isNull())
+    return counts.join(fences, on, "left").select(*[F.col(f"`{c}`") for c in counts.columns], base_failed.alias("base_failed"), reason.alias("reason"))
+
+
+def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text_col: str = "text", least_words: int = 20, most_repeated: int = 30) -> DataFrame:
+    """docs without the text, with the columns of COUNTS, base_failed, kept (both boolean) and reason (string, null if kept).
+
+    Base rules: fewer than least_words words, or more than most_repeated per cent of the words repeated.
+    """
+    counts = cut(with_counts(docs.drop("base_failed", "kept", "reason"), text_col))
+    return _judged(counts, groups, least_words, most_repeated).withColumn("kept", F.col("reason").isNull())
+
+
+def keep_passing(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text_col: str = "text", least_words: int = 20, most_repeated: int = 30) -> DataFrame:
+    """The rows of docs that apply_rules() keeps, with the same columns."""
+    names = [f"k_{c}" for c in docs.columns]
+    told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *[F.col(f"`{g}`").alias(g) for g in groups], F.col(f"`{text_col}`").alias("__whole"))
+    counts = stored(with_counts(told, "__whole"), "quality-rules")
+    kept = _judged(counts, groups, least_words, most_repeated).where(F.col("reason").isNull())
+    return kept.select(*[F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, names, strict=True)])

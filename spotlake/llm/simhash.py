@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import cut
+from spotlake.llm.common import cut, stored
 from spotlake.llm.components import smallest_reachable
 
 BYTES = 8
@@ -118,14 +118,31 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     return moved.unionByName(lone)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """docs without the text, with fp (long) and component_id (smallest id reachable through links, itself included)."""
-    kept = [c for c in docs.columns if c not in (text_col, "fp", "component_id")]
-    marked = cut(fingerprints(docs.select(*[F.col(f"`{c}`") for c in [*kept, text_col]]), text_col, words))
+def _component_of(marked: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """(fp, component_id) for each distinct fingerprint of marked."""
     # fingerprints are the nodes: one id may stand on several texts, and their order is as good as random, which keeps hooking chains short
     least = F.min(F.col(f"`{id_col}`")).cast("long").alias("least")
     nodes = cut(marked.groupBy("fp").agg(least).withColumn("node", F.col("fp")))
     named = nodes.join(links(nodes.select("fp", "node"), bits), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(by_root, "root").select("fp", "component_id")
+    return named.join(by_root, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+    """docs without the text, with fp (long) and component_id (smallest id reachable through links, itself included)."""
+    kept = [c for c in docs.columns if c not in (text_col, "fp", "component_id")]
+    marked = cut(fingerprints(docs.select(*[F.col(f"`{c}`") for c in [*kept, text_col]]), text_col, words))
+    by_fp = _component_of(marked, id_col, bits).select("fp", "component_id")
     return marked.join(by_fp, "fp", "left").select(*[F.col(f"`{c}`") for c in kept], "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+    """One row of docs for each component, that of the smallest id (null ids last; of equal ids any one row), with the same columns."""
+    names = [f"k_{c}" for c in docs.columns]
+    told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").alias("__text"))
+    rows = stored(fingerprints(told.withColumn("__t", F.col("__text")).drop("__text"), "__t", words), "simhash")
+    marked = rows.select(F.col(f"`k_{id_col}`").alias(id_col), "uid", "fp")
+    by_fp = _component_of(marked, id_col, bits).select("fp", "root")
+    place = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("uid"))
+    first = marked.join(by_fp, "fp").groupBy("root").agg(F.min(place).getField("uid").alias("uid"))
+    return rows.join(first, "uid", "left_semi").select(*[F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, names, strict=True)])
