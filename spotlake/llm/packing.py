@@ -17,7 +17,9 @@ An empty table gives an empty table. Other columns aren't carried.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,21 +35,45 @@ ROUNDS, A_ROUND, MOST = 160, 192, 4096
 
 
 class JsonIds:
-    """Text to little-endian 32-bit ids, by a tokenizer file."""
+    """Text to little-endian 32-bit ids, by a tokenizer file.
+
+    A part that is one word, or a word and a mark after it, is one or two pre-tokens of a plain byte-level tokenizer and goes
+    to its model directly; all else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         import re
 
-        import numpy as np
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-
-        def encode(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        self.text_ids = ChunkEncoder(encode, re.compile("|".join(special)) if special else None)
+        self.tokenizer = Tokenizer.from_file(path)
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.text_ids = ChunkEncoder(self.whole, re.compile("|".join(special)) if special else None)
+        settings = json.loads(self.tokenizer.to_str())
+        split = settings["pre_tokenizer"] or {}
+        if settings["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]:
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
+            hidden = [b for b in range(256) if b not in shown]
+            self.chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+            self.marks = {m: self.whole(m) for m in ".,;:!?"}
+            self.newline = self.whole("\n")
+            self.text_ids.parts.encode = self.part
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.chars))]).tobytes()
+
+    def part(self, part: str) -> bytes:
+        """The ids of a part that follows a blank, or starts with a newline."""
+        if part.isalpha():
+            return self._word(" " + part)
+        if part[-1:] in self.marks and part[:-1].isalpha():
+            return self.text_ids.parts[part[:-1]] + self.marks[part[-1]]
+        if part[:1] == "\n" and part[1:].isalpha():
+            return self.newline + self._word(part[1:])
+        return self.whole(part if part.startswith("\n") else " " + part)
 
 
 @lru_cache(maxsize=2)
