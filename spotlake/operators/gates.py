@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spotlake.operators.temporal import by, sessions
 
@@ -52,7 +53,7 @@ def respot_step(state: State, t: int, freq: float, snr: float, kind: str, source
 
 def _grouped(df: DataFrame, keys: list[str], at: str, tie: str, hold: int, out: str, kind: str, run: Callable[[pd.DataFrame], Iterable]) -> DataFrame:
     stretch = sessions(df, keys, at, tie, hold - 1).withColumnRenamed("session", "__stretch")
-    schema = df.schema.add(out, kind)
+    schema = T.StructType([*df.schema.fields]).add(out, kind)
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([at, tie], kind="stable").drop(columns="__stretch")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spotlake.operators.gates import greedy_step, respot_step
@@ -51,7 +52,7 @@ def greedy_gate(df: DataFrame, keys: list[str], at: str, tie: str, hold_ms: int,
                 held[0] = (t, 0.0, 0.0, "", 0)
         return rows.assign(**{out: verdicts})
 
-    return _streamed(df, keys, at, hold_ms, df.schema.add(out, "boolean"), step)
+    return _streamed(df, keys, at, hold_ms, T.StructType([*df.schema.fields]).add(out, "boolean"), step)
 
 
 def respot_dedupe(df: DataFrame, call: str, at: str, tie: str, freq: str, snr: str, kind: str, source: str, hold_ms: int, bucket: float = 300.0, near: float = 93.75, gain: float = 6.0) -> DataFrame:
@@ -62,7 +63,7 @@ def respot_dedupe(df: DataFrame, call: str, at: str, tie: str, freq: str, snr: s
         columns = (rows[c].tolist() for c in (freq, snr, kind, source))
         return rows.assign(outcome=[respot_step(held, *r, hold_ms * 1000, bucket, near, gain) for r in zip(_micros(rows[at]), *columns, strict=True)])
 
-    return _streamed(df, [call], at, hold_ms, df.schema.add("outcome", "string"), step)
+    return _streamed(df, [call], at, hold_ms, T.StructType([*df.schema.fields]).add("outcome", "string"), step)
 
 
 def _micros(times: pd.Series) -> list[int]:
