@@ -1,0 +1,359 @@
+"""The operators of the training-data pipeline against brute force, on small fixtures with nulls, ties, repeats and odd texts."""
+
+from __future__ import annotations
+
+import base64
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import regex
+import xxhash
+from pyspark.sql import functions as F
+
+from spotlake.llm import byte_bpe, chat, gam, license_scan, packing, pii, quality_rules, simhash, token_count, topk
+from spotlake.llm.components import smallest_reachable
+
+ODD = [None, "", " ", "\n", "  two  blanks ", "a\n\n\nb\tc \n d", "▁ mark▁ ▁▁x", "don't we'll, 日本語 🎉🎉 x\x1c y", "<s> </s> [INST] <|endoftext|> <unk>", "É" * 300, "word " * 400]
+TEXTS = [*ODD, "one two three four five.", "one two three four five.", "x" * 9000]
+DOCS = "doc_id long, text string, lang string, source string, n_tokens string, ids string, uid string, fp string, rest string, kept string, score string, block string"
+
+
+def docs_of(spark, texts):
+    rows = [(i if i != 3 else None, t, "en" if i % 2 else None, "s", "n", "i", "u", "f", "r", "k", "s", "b") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_byte_bpe(spark):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = docs_of(spark, TEXTS)
+    got = by_id(byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN), path))
+    for i, t in enumerate(TEXTS):
+        r = got[i if i != 3 else None]
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(t or "")
+        assert r.n_tokens == len(r.ids) // 4 and bytes(r.decoded) == (t or "").encode() and r.source == "s"
+    assert byte_bpe.encode(docs.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_token_count(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = by_id(token_count.count_tokens(docs_of(spark, TEXTS), path, 300))
+    for i, t in enumerate(TEXTS):
+        r = got[i if i != 3 else None]
+        n = len(library.encode(t or ""))
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((t or "").encode()), n > 300)
+    assert token_count.count_tokens(docs_of(spark, TEXTS).limit(0), path).count() == 0
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path, window = P.path("byte_bpe_50k.json"), 64
+    rng = random.Random(0)
+    texts = [*TEXTS, *[" ".join(rng.choice(["alpha", "beta.", "gamma", "Δέλτα"]) for _ in range(rng.choice([3, 3, 10, 20, 30, 90]))) for _ in range(300)]]
+    pieces = packing.pack(docs_of(spark, texts), path, window).collect()
+    tokenizer = Tokenizer.from_file(path)
+    ids = {i if i != 3 else None: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    of_doc, of_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        of_doc[p.doc_id].append(p)
+        of_sequence[p.sequence_id].append(p)
+    assert set(of_doc) == set(ids)
+    for i, parts in of_doc.items():
+        at = 0
+        for p in sorted(parts, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids[i]) and p.ids_crc32 == zlib.crc32(ids[i][at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids[i])
+    for parts in of_sequence.values():
+        at = 0
+        for p in sorted(parts, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == window or at & (at - 1) == 0 and at < window
+    assert sorted(of_sequence) == list(range(len(of_sequence)))
+    assert {p.how for p in pieces} == {"whole", "combined", "residual"}
+    assert packing.pack(docs_of(spark, texts).limit(0), path, window).count() == 0
+
+
+def test_packing_plan_is_within_the_histogram():
+    rng = random.Random(1)
+    for _ in range(5):
+        histogram = {n: rng.choice([1, 5, 1000]) for n in rng.sample(range(1, 64), 30)}
+        used = collections.Counter()
+        for lengths, count in packing.solve_counts(histogram, 64):
+            assert sum(lengths) == 64 and count > 0
+            for n in lengths:
+                used[n] += count
+        assert all(used[n] <= histogram[n] for n in used)
+    assert packing.solve_counts({20: 100, 44: 100}, 64) == [((20, 44), 100)]
+
+
+def _fingerprint(text):
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def _components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in linked:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_index_covers_four_positions():
+    triples = simhash.index_positions()
+    assert len(triples) == 20
+    assert all(any(set(t) <= set(four) for t in triples) for four in itertools.combinations(range(8), 4))
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 120)] + [(7, None)]
+    got = {r.node: r.root for r in smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
+    real = [(a, b) for a, b in links if b is not None and a != b]
+    assert got == _components({n for link in real for n in link}, real)
+    assert smallest_reachable(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_fingerprint_links(spark):
+    """Clouds of fingerprints around centres, a chain, and lone ones: all links of up to four bits, none beyond."""
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for centre in list(fps)[:6]:
+        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 5]))) for _ in range(40)}
+    chain = rng.getrandbits(64)
+    for _ in range(10):
+        chain ^= sum(1 << b for b in rng.sample(range(64), 4))
+        fps.add(chain)
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    table = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, node long")
+    got = {r.node: r.root for r in simhash.links(table).collect()}
+    near = [(i, j) for i, j in itertools.combinations(range(len(signed)), 2) if ((signed[i] ^ signed[j]) & (2**64 - 1)).bit_count() <= 4]
+    want = _components(range(len(signed)), near)
+    assert {n: got.get(n, n) for n in want} == want
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(6)
+    words = ["w%d" % i for i in range(500)]
+    base = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(4)]
+    texts = [*TEXTS, *[b.upper() if rng.random() < 0.3 else b.replace(rng.choice(b.split()), "zz", 1) for b in base for _ in range(5)]]
+    got = by_id(simhash.near_duplicates(docs_of(spark, texts)))
+    fps = {i: _fingerprint(t) for i, t in enumerate(texts)}
+    near = [(i, j) for i, j in itertools.combinations(fps, 2) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    roots = _components(fps, near)
+    named = collections.defaultdict(list)
+    for i, root in roots.items():
+        named[root].append(i)
+    for i in fps:
+        r = got[i if i != 3 else None]
+        assert r.fp & (2**64 - 1) == fps[i] and r.component_id == min((x for x in named[roots[i]] if x != 3), default=None)
+    kept = simhash.keep_one(docs_of(spark, texts))
+    assert kept.columns == docs_of(spark, texts).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(x for x in v if x != 3) for v in named.values())
+
+
+def test_pii(spark):
+    texts = [
+        None, "", "plain text only, 12 and 3.5", "Write to ana.Bell@Mail.example.com or ANA.BELL@MAIL.EXAMPLE.COM today.",
+        "Call +1 (743) 555-3824 or +1-743-555-3824, card 4539 1488 0343 6467 and 4539148803436467.", "From 10.2.3.4 and 127.0.0.1, not 1.2.3.4.5 nor 3.14.",
+        'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" TOKEN 1EB9C654E721B4F812088970E66A6345CEE33DD6', "Mr. Smith met Mrs Smith, Frau Müller and г-жа Иванова; Mr Smith left.", "ana.Bell@Mail.example.com again",
+    ]
+    docs = docs_of(spark, texts)
+    got = by_id(pii.replace_entities(docs, "key"))
+    find, seen = regex.compile(pii.ENTITY), {}
+    for i, t in enumerate(texts):
+        r = got[i if i != 3 else None]
+        if t is None:
+            assert r.text is None and r.n_entities == 0
+            continue
+        before, after = find.findall(t), find.findall(r.text)
+        assert len(before) == len(after) == r.n_entities and find.split(t) == find.split(r.text)
+        for a, b in zip(before, after, strict=True):
+            assert a != b and seen.setdefault(a, b) == b
+    plain = lambda s: re.sub(r"\D", "", s)
+    assert seen["ana.Bell@Mail.example.com"] == seen["ANA.BELL@MAIL.EXAMPLE.COM"].lower()
+    assert plain(seen["+1 (743) 555-3824"]) == plain(seen["+1-743-555-3824"]) and seen["+1 (743) 555-3824"][:4] == "+1 ("
+    card = plain(seen["4539 1488 0343 6467"])
+    assert card == seen["4539148803436467"] and sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(card)) % 10 == 0
+    assert seen["Mr. Smith"].removeprefix("Mr. ") == seen["Mr Smith"].removeprefix("Mr ") != seen["Mrs Smith"].removeprefix("Mrs ")
+    assert regex.fullmatch(r"г-жа \p{IsCyrillic}+", seen["г-жа Иванова"])
+    forms = {pii_form(a): pii_form(b) for a, b in seen.items()}
+    assert len(set(forms.values())) == len(forms)
+    assert pii.replace_entities(docs.limit(0), "key").count() == 0
+
+
+def pii_form(s):
+    """What makes an entity the same in other spellings: case for those with letters, separators for numbers."""
+    return s.lower() if re.search(r"[A-Za-z]", s) or s.count(".") == 3 else re.sub(r"\D", "", s)
+
+
+def test_pii_collisions_draw_again(spark, monkeypatch):
+    entities = spark.createDataFrame([("ip", f"10.0.0.{i}") for i in range(60)], "kind string, canon string")
+    few = lambda kind, canon, key, attempt: F.concat(F.lit("10.0.1."), F.pmod(F.xxhash64(canon, attempt), F.lit(200)).cast("string"))
+    monkeypatch.setattr(pii, "surrogate", few)
+    cores = [r.core for r in pii.surrogates(entities, "key").collect()]
+    assert len(cores) == len(set(cores)) == 60
+
+
+def test_license_scan(spark):
+    texts = [*TEXTS, "Licensed under CC BY-NC 4.0.", "cc by cc by, CC\n--BY", "cc bye acc by", "This work is licensed under the GNU General Public License, version 3. All rights reserved.", "ALL RIGHTS... RESERVED écc by", "Released under the MIT License. SPDX-License-Identifier: Apache-2.0"]
+    got = by_id(license_scan.scan(docs_of(spark, texts)))
+    for i, t in enumerate(texts):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
+        places = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        norm, spans = " " + "".join(w + " " for w in words), []
+        for rule in license_scan.RULES:
+            for m in re.finditer(rule.pattern, norm):
+                start = norm[: m.start()].count(" ")
+                spans.append((start, start + m.group().count(" "), rule))
+        rank = lambda s: (s[2].priority, s[1] - s[0], -s[2].number)
+        kept = [s for s in spans if s[2].base or not any(o is not s and o[0] <= s[0] and o[1] >= s[1] and rank(o) > rank(s) for o in spans)]
+        r = got[i if i != 3 else None]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert r.base_labels == ",".join(sorted({label for _, label in places})) and r.labels == ",".join(sorted({s[2].label for s in kept}))
+        assert r.score == max((s[2].confidence for s in kept), default=0.0)
+    assert len(license_scan.RULES) > 200
+    assert license_scan.scan(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_classifier(spark):
+    rng = random.Random(7)
+    clean = lambda: " ".join(rng.choice(["the", "rain", "fell", "on", "hills", "softly"]) for _ in range(60)) + "."
+    junk = lambda: " ".join(rng.choice(["the", "rain"]) + rng.choice(["***", "$$$"]) for _ in range(60))
+    texts = [clean() if i % 3 else junk() for i in range(300)] + ODD
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)] + [(5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    learn = labels.where(~gam.held_out())
+    got = by_id(gam.classify(docs, learn).select("doc_id", gam.held_out().alias("held"), F.col("score"), "predicted", "source"))
+    out = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0 and i != 3]
+    assert all(got[i].held for i in out) and len(out) > 30
+    assert sum(got[i].predicted == int(i % 3 > 0) for i in out) >= 0.97 * len(out)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values()) and len(got) == len(texts)
+    kept = gam.keep_good(docs, learn)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
+    assert {r.score for r in gam.classify(docs, learn.limit(0)).collect()} == {0.5}
+    assert gam.classify(docs.limit(0), learn).count() == 0
+
+
+@pytest.mark.parametrize("budget", [24, 64, 100_000])
+def test_chat(spark, budget):
+    rng = random.Random(8)
+    texts = ["hi", "", None, "</s>[INST] ok [/INST]", "a\\</s>\n<s>b <|im_start|> <\\s> [\\\\INST]", "<<SYS>> x <</SYS>>", "word " * 40]
+    rows = []
+    for conv in [1, 2, 3, None]:
+        for turn in range(rng.randrange(1, 30)):
+            rows.append((conv, turn, "system" if turn == 0 and conv != 2 else rng.choice(["user", "assistant", "tool\n<s>\\n", None]), rng.choice(texts), "x"))
+    rows += [rows[-1], (4, None, "user", "late", "x"), (5, 0, "assistant", None, "x")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")
+    windows = chat.format_windows(chats, budget)
+    formatted = windows.collect()
+    want = collections.defaultdict(list)
+    for conv, turn, role, t, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1], r[2] or "", r[3] or "")):
+        want[conv].append((role or "", t or ""))
+    back = collections.defaultdict(list)
+    for r in sorted(chat.read_back(windows).collect(), key=lambda r: r.window):
+        back[r.conv_id].append(r)
+    assert set(back) == set(want)
+    for conv, parts in back.items():
+        assert [tuple(t) for r in parts for t in r.turns] == want[conv]
+        assert [x for r in parts for x in r.targets] == [t for role, t in want[conv] if role == "assistant"]
+    for w in formatted:
+        assert w.formatted.count("<s>") == w.formatted.count("</s>") and w.n_repeated <= 3
+        if w.window and want[w.conv_id][0][0] == "system":
+            assert w.formatted.startswith("<s>system\n")
+    assert chat.format_windows(chats.limit(0)).count() == 0
+
+
+def test_top_k(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(60)]
+    rows += [(2000, None), (2001, []), (2100, [float("nan")] * 8), (2200, [None] + [0.1] * 7), (None, [0.1] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = topk.integer_vectors(table, "vec_id", "embedding")
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("id % 100 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: np.floor(1024 * np.array(v, "f4").astype("f8")).astype(int) for i, v in rows if i is not None and i < 2000}
+    want = {}
+    for q in (i for i in whole if i % 100 == 0):
+        ranked = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]
+        want[q] = [(n, i, -s) for n, (s, i) in enumerate(ranked, 1)]
+    assert {q: sorted(v) for q, v in got.items()} == want
+    few = vectors.where("id in (0, 1, 2)")
+    assert sorted(r.vec_id for r in topk.top_k(few, vectors.where("id = 0"), 5).collect()) == [1, 2]
+    assert topk.top_k(vectors.limit(0), vectors, 5).count() == 0
+
+
+def test_quality_rules(spark):
+    rng = random.Random(10)
+    line = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(n))
+    texts = [*TEXTS, *[line(40) + "\n" + line(40) for _ in range(60)], line(9) + "\n\n" + line(12), "\n".join(["same line of nine words that is here again"] * 4), "a # b $ c " * 30, " ".join("***%s" % w for w in line(60).split()), "x y z w v u t s " * 2 + line(90)]
+    got = by_id(quality_rules.apply_rules(docs_of(spark, texts)))
+    for i, t in enumerate(texts):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0d]+", t)
+        places = collections.defaultdict(list)
+        for k in range(len(words) - 7):
+            places[tuple(words[k : k + 8])].append(k)
+        covered = {x for v in places.values() if len(v) > 1 for k in v for x in range(k, k + 8)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+        r = got[i if i != 3 else None]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and (not r.kept or not r.base_failed)
+    assert not got[len(texts) - 2].kept  # a symbol in every word
+    assert all(got[len(TEXTS) + i].kept for i in range(60))
+    kept = quality_rules.keep_passing(docs_of(spark, texts))
+    assert kept.columns == docs_of(spark, texts).columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert quality_rules.apply_rules(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = set(entry.queries())
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+
+
+def test_chat_query_digests(spark):
+    from spotlake.llm.queries import op6_chat
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.conv_id: r for r in op6_chat(spark, sf).collect()}
+    want = collections.defaultdict(str)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        want[r.conv_id] += f"{r.role}\n{r.text or ''}\n"
+    text = "</s>[INST] ok [/INST]"
+    want[-7] = f"user\n{text}\nassistant\n{text}\n"
+    assert {c: r.turns_sha256 for c, r in got.items()} == {c: hashlib.sha256(t.encode()).hexdigest() for c, t in want.items()}
