@@ -16,10 +16,12 @@ NO_BAND = "unknown"
 def coverage(reports: DataFrame, at: str, join_gap: float, width: float, archive: str = "archive") -> DataFrame:
     """Spans in which the archives report: start, stop. Gaps up to join_gap are bridged, archive by archive, then across archives.
 
-    Islands are first made within (archive, stretch of time), so that a long archive is spread over tasks.
+    Islands are first made within (archive, stretch of time), then within the stretch, so that only what is left of a stretch
+    meets the others in one task.
     """
     cells = reports.select(archive, F.col(at).alias("start"), F.col(at).alias("stop"), F.floor(F.col(at) / F.lit(width)).alias("cell"))
     local = merge_intervals(cells, [archive, "cell"], "start", "stop", join_gap)
+    local = merge_intervals(local.select("cell", "start", "stop"), ["cell"], "start", "stop", join_gap)
     return merge_intervals(local.select(F.lit(0).alias("all"), "start", "stop"), ["all"], "start", "stop", join_gap).select("start", "stop")
 
 

@@ -75,6 +75,15 @@ def containment_join(points: DataFrame, intervals: DataFrame, at: str, start: st
     return dots.join(spread, "__b").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop))).drop("__b")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, l_span: tuple[str, str], r_span: tuple[str, str], width: float) -> DataFrame:
+    """Pairs of intervals that share more than an end. width: about an interval's length. A pair counts in the first bucket that both touch."""
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    spread = lambda df, span, name: df.where(F.col(span[0]) < F.col(span[1])).withColumn(name, F.explode(F.sequence(bucket(span[0]), bucket(span[1]))))
+    pairs = spread(left, l_span, "__b").join(spread(right, r_span, "__b2"), F.col("__b") == F.col("__b2"))
+    meets = (F.col(l_span[0]) < F.col(r_span[1])) & (F.col(r_span[0]) < F.col(l_span[1]))
+    return pairs.where(meets & (F.col("__b") == F.greatest(bucket(l_span[0]), bucket(r_span[0])))).drop("__b", "__b2")
+
+
 def longest_prefix(words: DataFrame, prefixes: DataFrame, word: str, prefix: str) -> DataFrame:
     """words with the longest entry of prefixes that it starts with (null if none): its prefixes are exploded and equi-joined."""
     longest = prefixes.agg(F.max(F.length(prefix))).first()[0] or 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlake.operators.joins import band_join
+from spotlake.operators.joins import band_join, overlap_join
 
 
 def station_scores(stations: DataFrame, spots: DataFrame, match: float) -> tuple[DataFrame, DataFrame]:
@@ -40,13 +40,10 @@ def build_summary(runs: DataFrame, variant: str, value: str) -> DataFrame:
     return out.withColumn("place", F.row_number().over(Window.orderBy("median", variant)))  # a row per variant
 
 
-def segments(passbands: DataFrame, allocations: DataFrame) -> DataFrame:
-    """(p_id, low, high) cut to the allocations (a_low, a_high) that it overlaps; one that overlaps none stays as it is.
-
-    Allocations are a reference list of a few rows.
-    """
-    cut = passbands.join(F.broadcast(allocations), (F.col("a_low") < F.col("high")) & (F.col("a_high") > F.col("low")), "left")
-    return cut.select("p_id", F.greatest("low", "a_low").alias("low"), F.least("high", "a_high").alias("high"))
+def segments(passbands: DataFrame, allocations: DataFrame, width: float) -> DataFrame:
+    """(p_id, low, high) cut to the allocations (a_low, a_high) that it overlaps; one that overlaps none stays as it is. width: about a passband's."""
+    cut = overlap_join(passbands, allocations, ("low", "high"), ("a_low", "a_high"), width).select("p_id", F.greatest("low", "a_low").alias("low"), F.least("high", "a_high").alias("high"))
+    return cut.unionByName(passbands.join(cut.select("p_id").distinct(), "p_id", "left_anti").select("p_id", "low", "high"))
 
 
 def slots(rows: DataFrame, at: str, slot_us: int, need: int) -> DataFrame:

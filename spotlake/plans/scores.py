@@ -45,7 +45,7 @@ def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decodable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     passbands = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("p_id"), F.col("c_acctbal").alias("low"), (F.col("c_acctbal") + 500).alias("high"))
     allocations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * F.lit(400.0) - 1000).alias("a_low"), (F.col("n_nationkey") * F.lit(400.0) - 800).alias("a_high"))
-    return scoring.segments(passbands, allocations)
+    return scoring.segments(passbands, allocations, 500.0)
 
 
 @query(f"WITH {EVENTS} SELECT CAST(t // {6 * HOUR} AS BIGINT) AS slot, count(*) AS n, count(*) >= 8 AS complete FROM ev GROUP BY 1")

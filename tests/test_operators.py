@@ -127,6 +127,33 @@ def test_streaming_gate_equals_batch(spark, tmp_path):
     assert rows(spark.table("gated").select("id", "admitted")) == rows(batch.select("id", "admitted"))
 
 
+def test_streaming_respots_equal_batch(spark, tmp_path):
+    from spotlake.streaming import gates as streamed
+
+    rng = random.Random(4)
+    data = [(i, rng.choice("ab"), 1_700_000_000 + i * 37, rng.uniform(0, 500), rng.uniform(0, 20), rng.choice(["cq", "de"]), rng.randrange(2)) for i in range(150)]
+    df = spark.createDataFrame(data, "id int, call string, s long, f double, snr double, kind string, source long").withColumn("ts", F.timestamp_seconds("s"))
+    for n in range(3):
+        df.where(f"id >= {n * 50} AND id < {n * 50 + 50}").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = streamed.respot_dedupe(source.withWatermark("ts", "1 hour"), "call", "ts", "id", "f", "snr", "kind", "source", 600_000)
+    query = out.writeStream.format("memory").queryName("respots").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    batch = gates.respot_dedupe(df.withColumn("t", F.unix_micros("ts")), "call", "t", "id", "f", "snr", "kind", "source", 600_000_000)
+    assert rows(spark.table("respots").select("id", "outcome")) == rows(batch.select("id", "outcome"))
+
+
+def test_overlap_join(spark):
+    rng = random.Random(11)
+    span = lambda n: [(i, a := rng.uniform(0, 100), a + rng.uniform(0, 30)) for i in range(n)]
+    left, right = span(30), span(30)
+    got = joins.overlap_join(spark.createDataFrame(left, "i int, a double, b double"), spark.createDataFrame(right, "j int, c double, d double"), ("a", "b"), ("c", "d"), 7.0)
+    assert rows(got.select("i", "j")) == sorted(((i, j) for i, a, b in left for j, c, d in right if a < d and c < b), key=repr)
+
+
 def test_streaming_activity(spark, tmp_path):
     from spotlake.streaming import grading as streamed
 
