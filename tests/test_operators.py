@@ -168,6 +168,28 @@ def test_streaming_activity(spark, tmp_path):
     assert rows(spark.table("activity").select("band", "spots", "calls")) == [("20m", 2, 2)]
 
 
+def test_streaming_report_counts_and_sessions(spark, tmp_path):
+    from spotlake.streaming import grading as streamed
+
+    base = 1_700_000_000
+    spots = spark.createDataFrame([("s1", "A", 100, "20m"), ("s2", "B", 200, "20m"), ("s3", "Z", 90_000, "20m")], "spot_id string, call string, s long, band string").select("spot_id", "call", "band", F.timestamp_seconds(F.col("s") + base).alias("ts"))
+    reports = spark.createDataFrame([("A", 130, "20m"), ("A", 90, "40m"), ("A", 9_000, "20m"), ("Z", 90_000, "20m")], "call string, s long, r_band string").select("call", "r_band", F.timestamp_seconds(F.col("s") + base).alias("r_ts"))
+    spots.coalesce(1).write.parquet(str(tmp_path / "spots"))
+    reports.coalesce(1).write.parquet(str(tmp_path / "reports"))
+    live = lambda df, name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    counted = streamed.report_counts(live(spots, "spots"), live(reports, "reports"), "3 minutes", "1 minute")
+    activity = streamed.sessions(live(spots, "spots"), "10 minutes", "1 minute")
+    queries = [df.writeStream.format("memory").queryName(name).outputMode("append").start() for df, name in ((counted, "counted"), (activity, "spans"))]
+    try:
+        for query in queries:
+            query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+    assert rows(spark.table("counted").select("spot_id", "same", "other")) == [("s1", 1, 1), ("s2", 0, 0)]
+    assert rows(spark.table("spans").select("call", "n")) == [("A", 1), ("B", 1)]
+
+
 def test_morse_round_trip_and_roles(spark):
     texts = spark.createDataFrame([(1, "CQ CQ DE K1ABC", 60.0), (2, "E", 50.0), (3, "paris /?", 20.0)], "id int, text string, dit double")
     decoded = morse.decode_runs(morse.keyed_runs(texts, "id", "text", F.col("dit")))
