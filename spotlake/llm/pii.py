@@ -1,7 +1,7 @@
 r"""Operator 3: surrogates for personal data, in DataFrame functions only.
 
 Entities are found by one regex over the whole text and typed by form: e-mail addresses, phone numbers, IPv4 addresses, card
-numbers, long hexadecimal secrets and keys, social security numbers, and names after a title. Each distinct entity, in a
+numbers, long hexadecimal secrets and keys, values named as a password, token or key, social security numbers, and names after a title. Each distinct entity, in a
 canonical form that is the same for its spellings (case of an address, separators of a number), gets one surrogate from a
 keyed hash: addresses become addresses in a reserved domain, numbers numbers of the same length and check digit, IPs
 addresses of the reserved block, names names of the title's gender and of the name's script. The surrogate is then written in the
@@ -30,16 +30,25 @@ TITLES = {
 _TITLE = "|".join(sorted((t.replace(".", r"\.") for t in TITLES), key=lambda t: (-len(t), t)))
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
+_NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
+CREDENTIAL = rf"(?<={_NAMED}\s{{0,2}}[=:]\s{{0,2}}[\"']{{0,1}})(?=[^\s\"']{{0,120}}\d)[A-Za-z0-9_+/.~-]{{6,128}}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
-CARD = r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)"
+#: A number ends where its form does: what follows a blank may be an address or a card of its own.
+PHONE = (
+    r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?(?!\d{1,3}\.\d{1,3}\.)\d{2,4}){2,4}(?!\d)"
+    r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
+)
+CARD = r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 #: In this order: an earlier kind takes a place first.
-KINDS = {"email": EMAIL, "secret": SECRET, "ip": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD, "name": NAME}
+KINDS = {"email": EMAIL, "secret": SECRET, "credential": CREDENTIAL, "ip": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD, "name": NAME}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: The form of a whole entity of a kind, once it stands alone without the name before it.
+_ALONE = {k: p for k, p in KINDS.items() if k != "credential"} | {"credential": r"[A-Za-z0-9_+/.~-]{6,128}"}
 #: What every entity holds one of; a text without it is not searched.
-PREFILTER = rf"\d{{3}}|@|\d\.\d|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
+PREFILTER = rf"\d{{3}}|@|{_NAMED}\s{{0,2}}[=:]|\d\.\d|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
 
 #: Syllables and endings that surrogate names are made of, by script; endings by gender (M, F, N).
 SYLLABLES = {
@@ -54,9 +63,9 @@ def _digits(s: Column) -> Column:
 
 
 def kind_of(raw: Column) -> Column:
-    """The first kind whose pattern the whole entity has."""
+    """The first kind whose form the whole entity has; a value named as a credential that has no other form is one."""
     found = F.lit(None).cast("string")
-    for kind, pattern in reversed(KINDS.items()):
+    for kind, pattern in reversed(_ALONE.items()):
         found = F.when(F.rlike(raw, F.lit(rf"^(?:{pattern})$")), F.lit(kind)).otherwise(found)
     return found
 
@@ -67,7 +76,7 @@ def canonical(kind: Column, raw: Column) -> Column:
     gender = F.element_at(F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair]), title)
     name = F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", "")
     script = F.when(F.rlike(name, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.rlike(name, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin")
-    return F.when(kind.isin("email", "secret"), F.lower(raw)).when(kind == "ip", raw).when(kind == "name", F.concat_ws("/", gender, script, name)).otherwise(_digits(raw))
+    return F.when(kind.isin("email", "secret"), F.lower(raw)).when(kind.isin("ip", "credential"), raw).when(kind == "name", F.concat_ws("/", gender, script, name)).otherwise(_digits(raw))
 
 
 def _draw(seed: Column, i: Column | int, n: Column | int) -> Column:
@@ -101,14 +110,23 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     valid = _luhn_total(canon, (size % 2) == 0) % 10 == 0
     check = F.pmod(F.lit(10) - _luhn_total(start, ((size - 1) % 2) == 1) % 10, F.lit(10))
     card = F.concat(start, F.when(valid, check).otherwise((check + 1 + _draw(seed, 99, 9)) % 10).cast("string"))
+    # digits for digits and letters for letters, within a to f if all is hexadecimal; what has too few of them is drawn anew
+    hexadecimal = F.rlike(canon, F.lit("^[0-9A-Fa-f]+$"))
+
+    def alike(c: Column, i: Column) -> Column:
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _draw(seed, i, F.when(hexadecimal, 6).otherwise(26)) + 1, F.lit(1))
+        return F.when(c.between("0", "9"), _draw(seed, i, 10).cast("string")).when(c.between("a", "z"), letter).when(c.between("A", "Z"), F.upper(letter)).otherwise(c)
+
+    few = F.length(F.regexp_replace(canon, "[^A-Za-z0-9]", "")) < 6
+    credential = F.when(few, text(F.lit(12), "abcdefghijklmnopqrstuvwxyz")).otherwise(F.array_join(F.transform(F.regexp_extract_all(canon, F.lit("."), F.lit(0)), alike), ""))
     gender, script, name = (F.get(F.split(canon, "/"), F.lit(i)) for i in range(3))
     made = F.lit(None).cast("string")
     for spelled, (syllables, endings) in SYLLABLES.items():
         bank, last = F.array(*[F.lit(s) for s in syllables]), F.create_map(*[F.lit(x) for pair in endings.items() for x in pair])
-        word = lambda w, bank=bank, n=len(syllables), last=last: F.concat(F.initcap(F.concat(*[F.get(bank, _draw(seed, w * 8 + i, n)) for i in range(3)])), F.element_at(last, gender))
+        word = lambda w, bank=bank, n=len(syllables), last=last: F.concat(F.initcap(F.concat(*[F.when(F.lit(i) < attempt + 3, F.get(bank, _draw(seed, w * 8 + i, n))).otherwise("") for i in range(8)])), F.element_at(last, gender))
         made = F.when(script == spelled, F.when(F.contains(name, F.lit(" ")), F.concat(word(0), F.lit(" "), word(1))).otherwise(word(1))).otherwise(made)
     named = F.concat_ws("/", gender, script, made)
-    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", named).otherwise(number)
+    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "credential", credential).when(kind == "name", named).otherwise(number)
 
 
 def written_as(kind: Column, raw: Column, core: Column) -> Column:
@@ -124,7 +142,7 @@ def written_as(kind: Column, raw: Column, core: Column) -> Column:
     )
     cased = F.when((F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(core)).otherwise(core)
     named = F.concat(F.regexp_extract(raw, rf"^((?:{_TITLE})\.? )", 1), F.get(F.split(core, "/"), F.lit(2)))
-    return F.when(kind == "name", named).when(kind == "ip", core).when(kind.isin("email", "secret"), cased).otherwise(filled)
+    return F.when(kind == "name", named).when(kind.isin("ip", "credential"), core).when(kind.isin("email", "secret"), cased).otherwise(filled)
 
 
 def surrogates(entities: DataFrame, key: str, most_attempts: int = 12) -> DataFrame:

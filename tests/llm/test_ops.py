@@ -187,6 +187,8 @@ def test_pii(spark):
         None, "", "plain text only, 12 and 3.5", "Write to ana.Bell@Mail.example.com or ANA.BELL@MAIL.EXAMPLE.COM today.",
         "Call +1 (743) 555-3824 or +1-743-555-3824, card 4539 1488 0343 6467 and 4539148803436467.", "From 10.2.3.4 and 127.0.0.1, not 1.2.3.4.5 nor 3.14.",
         'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" TOKEN 1EB9C654E721B4F812088970E66A6345CEE33DD6', "Mr. Smith met Mrs Smith, Frau Müller and г-жа Иванова; Mr Smith left.", "ana.Bell@Mail.example.com again",
+        "was password=d72a491f71c7584344 and PASSWORD: 'Tr0ub4dor.x' or token = \"1-----\" not a token or key: x",
+        "side by side: +1 (826) 555-4081 190.137.223.204 4845168114407329 97.51.17.173 +44 20 7946 0958 10.9.8.7 7536784127813050 4845168114407329",
     ]
     docs = docs_of(spark, texts)
     got = by_id(pii.replace_entities(docs, "key"))
@@ -209,6 +211,8 @@ def test_pii(spark):
     assert regex.fullmatch(r"г-жа \p{IsCyrillic}+", seen["г-жа Иванова"])
     forms = {pii_form(a): pii_form(b) for a, b in seen.items()}
     assert len(set(forms.values())) == len(forms)
+    assert {"+1 (826) 555-4081", "190.137.223.204", "4845168114407329", "97.51.17.173", "+44 20 7946 0958", "10.9.8.7", "7536784127813050"} <= set(seen)
+    assert {"d72a491f71c7584344", "Tr0ub4dor.x", "1-----"} <= set(seen) and re.fullmatch("[0-9a-f]{18}", seen["d72a491f71c7584344"])
     assert pii.replace_entities(docs.limit(0), "key").count() == 0
 
 
