@@ -118,7 +118,7 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
         return F.when(c.between("0", "9"), _draw(seed, i, 10).cast("string")).when(c.between("a", "z"), letter).when(c.between("A", "Z"), F.upper(letter)).otherwise(c)
 
     few = F.length(F.regexp_replace(canon, "[^A-Za-z0-9]", "")) < 6
-    credential = F.when(few, text(F.lit(12), "abcdefghijklmnopqrstuvwxyz")).otherwise(F.array_join(F.transform(F.regexp_extract_all(canon, F.lit("."), F.lit(0)), alike), ""))
+    credential = F.when(few, F.concat(text(F.lit(11), "abcdefghijklmnopqrstuvwxyz"), _draw(seed, 99, 10).cast("string"))).otherwise(F.array_join(F.transform(F.regexp_extract_all(canon, F.lit("."), F.lit(0)), alike), ""))
     gender, script, name = (F.get(F.split(canon, "/"), F.lit(i)) for i in range(3))
     made = F.lit(None).cast("string")
     for spelled, (syllables, endings) in SYLLABLES.items():
