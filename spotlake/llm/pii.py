@@ -48,7 +48,7 @@ ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: The form of a whole entity of a kind, once it stands alone without the name before it.
 _ALONE = {k: p for k, p in KINDS.items() if k != "credential"} | {"credential": r"[A-Za-z0-9_+/.~-]{6,128}"}
 #: What every entity holds one of; a text without it is not searched.
-PREFILTER = rf"\d{{3}}|@|{_NAMED}\s{{0,2}}[=:]|\d\.\d|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
+PREFILTER = rf"\d|@|[a-f]{{32}}|[A-F]{{32}}|AKIA|gh[pousr]_|sk-|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
 
 #: Syllables and endings that surrogate names are made of, by script; endings by gender (M, F, N).
 SYLLABLES = {
