@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: Channel spacing and hop rate (Hz), dB from a channel to 2500 Hz and from there to 500 Hz.
 CHANNEL_HZ, HOP_HZ, TO_2500_DB, TO_500_DB = 93.75, 375.0, -14.3, 6.9897
-#: Amateur bands as (low Hz, high Hz, label), both ends inside.
+#: Amateur bands as (low Hz, high Hz, label), both ends inside.
 BANDS = (
-    (1_800_000, 2_000_000, "160m"), (3_500_000, 4_000_000, "80m"), (5_250_000, 5_450_000, "60m"), (7_000_000, 7_300_000, "40m"), (10_100_000, 10_150_000, "30m"),
-    (14_000_000, 14_350_000, "20m"), (18_068_000, 18_168_000, "17m"), (21_000_000, 21_450_000, "15m"), (24_890_000, 24_990_000, "12m"), (28_000_000, 29_700_000, "10m"),
-    (50_000_000, 54_000_000, "6m"), (70_000_000, 70_500_000, "4m"), (144_000_000, 148_000_000, "2m"),
+    (135_700, 137_800, "2200m"), (472_000, 479_000, "630m"), (1_800_000, 2_000_000, "160m"), (3_500_000, 4_000_000, "80m"), (5_330_000, 5_407_000, "60m"),
+    (7_000_000, 7_300_000, "40m"), (10_100_000, 10_150_000, "30m"), (14_000_000, 14_350_000, "20m"), (18_068_000, 18_168_000, "17m"), (21_000_000, 21_450_000, "15m"),
+    (24_890_000, 24_990_000, "12m"), (28_000_000, 29_700_000, "10m"), (50_000_000, 54_000_000, "6m"),
 )
 
 

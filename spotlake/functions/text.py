@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that look like calls by their form but are conventions.
-CONVENTIONS = ("5NN", "599", "R5", "TU73", "73", "88", "QRZ", "CQ", "TEST", "QRL")
+#: Words that are conventions, never calls.
+CONVENTIONS = ("5NN", "4NN", "3NN", "599", "TEST", "TU", "QRZ", "AGN", "K", "KN")
 PORTABLE = r"(?:P|QRP|MM|AM|M|[0-9])"
 
 
@@ -16,15 +16,16 @@ def is_portable(p: Column) -> Column:
 
 def is_plausible(call: Column) -> Column:
     """3 to 7 letters and digits with one of each at least, ending in a letter, then perhaps a portable suffix; no convention word."""
-    form = rf"^(?=[^/]*[0-9])(?=[^/]*[A-Z])[A-Z0-9]{{2,6}}[A-Z](?:/{PORTABLE})?$"
-    return F.coalesce(F.rlike(call, F.lit(form)) & ~call.isin(*CONVENTIONS), F.lit(False))
+    form = rf"^(?=[^/]*[0-9])(?=[^/]*[A-Za-z])[A-Za-z0-9]{{2,6}}[A-Za-z](?:/{PORTABLE})?$"
+    return F.coalesce(F.rlike(call, F.lit(form)) & ~F.upper(F.substring_index(call, "/", 1)).isin(*CONVENTIONS), F.lit(False))
 
 
 def pattern_of(call: Column) -> Column:
-    """The leading characters of a call kept (2, or 3 from length 5, or 4 from length 7), the others as @ for letters and # for digits."""
-    kept = F.when(F.length(call) >= 7, 4).when(F.length(call) >= 5, 3).otherwise(2)
-    rest = F.substring(call, kept + 1, F.length(call))
-    return F.concat(F.substring(call, F.lit(1), kept), F.regexp_replace(F.regexp_replace(rest, "[A-Za-z]", "@"), "[0-9]", "#"))
+    """The base call with its first three characters kept (two if letter-digit-letter, four if digit-letter-letter), the others as @ and #."""
+    base = F.upper(F.substring_index(call, "/", 1))
+    kept = F.when(base.rlike("^[A-Z][0-9][A-Z]"), 2).when(base.rlike("^[0-9][A-Z][A-Z]"), 4).otherwise(3)
+    rest = F.regexp_replace(F.regexp_replace(F.substring(base, kept + 1, F.length(base)), "[A-Z]", "@"), "[0-9]", "#")
+    return F.concat(F.substring(base, F.lit(1), kept), rest)
 
 
 def required_reps(tier: Column) -> Column:
@@ -53,12 +54,12 @@ def character_error_rate(expected: Column, decoded: Column) -> Column:
 
 def last_report(text: Column) -> Column:
     """The last signal report in a text, N standing for 9; null if none."""
-    found = F.regexp_extract_all(text, F.lit(r"\b([1-5][1-9N][1-9N])\b"), F.lit(1))
-    return F.when(F.size(found) > 0, F.translate(F.element_at(found, -1), "N", "9"))
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\b([1-5][1-9N][1-9N])\b"), F.lit(1))
+    return F.when(F.size(found) > 0, F.translate(F.element_at(found, -1), "Nn", "99"))
 
 
 def is_query(text: Column) -> Column:
-    return F.rlike(text, F.lit(r"\bQRL\s*\?"))
+    return F.rlike(text, F.lit(r"(?i)\bQRL\?"))
 
 
 def normal_spotter(s: Column) -> Column:

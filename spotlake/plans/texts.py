@@ -29,24 +29,25 @@ _CALLS = f"{EVENTS}, c AS (SELECT *, chr(65 + CAST(user_id % 26 AS INTEGER)) ||
 
 
 @query(f"""SELECT word, coalesce(regexp_matches(word, '^[A-Z0-9]{{2,6}}[A-Z]$') AND regexp_matches(word, '[0-9]') AND regexp_matches(word, '[A-Z]')
-  AND word NOT IN ('5NN','599','R5','TU73','73','88','QRZ','CQ','TEST','QRL'), false) AS plausible FROM {_sql_words('documents')}""")
+  AND word NOT IN ('5NN', '4NN', '3NN', '599', 'TEST', 'TU', 'QRZ', 'AGN', 'K', 'KN'), false) AS plausible FROM {_sql_words('documents')}""")
 def plausible_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("word", T.is_plausible(F.col("word")).alias("plausible"))
 
 
-_PATTERN = "CASE WHEN length({0}) >= 7 THEN substr({0}, 1, 4) || regexp_replace(regexp_replace(substr({0}, 5), '[A-Za-z]', '@', 'g'), '[0-9]', '#', 'g') WHEN length({0}) >= 5 THEN substr({0}, 1, 3) || regexp_replace(regexp_replace(substr({0}, 4), '[A-Za-z]', '@', 'g'), '[0-9]', '#', 'g') ELSE substr({0}, 1, 2) || regexp_replace(regexp_replace(substr({0}, 3), '[A-Za-z]', '@', 'g'), '[0-9]', '#', 'g') END"
+_KEPT = "CASE WHEN regexp_matches(b, '^[A-Z][0-9][A-Z]') THEN 2 WHEN regexp_matches(b, '^[0-9][A-Z][A-Z]') THEN 4 ELSE 3 END"
+_PATTERNS = f"{_CALLS}, pc AS (SELECT *, substr(b, 1, {_KEPT}) || regexp_replace(regexp_replace(substr(b, {_KEPT} + 1), '[A-Z]', '@', 'g'), '[0-9]', '#', 'g') AS pattern FROM (SELECT *, upper(split_part(call, '/', 1)) AS b FROM c))"
 
 
-@query(f"WITH {_CALLS} SELECT pattern, count(DISTINCT call) AS calls, CASE WHEN count(DISTINCT call) >= 2 THEN 'common' ELSE 'listed' END AS tier FROM (SELECT call, {_PATTERN.format('call')} AS pattern FROM c) GROUP BY pattern")
+@query(f"WITH {_PATTERNS} SELECT pattern, count(DISTINCT call) AS calls, CASE WHEN count(DISTINCT call) >= 2 THEN 'common' ELSE 'listed' END AS tier FROM pc GROUP BY pattern")
 def derive_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _calls(spark, sf_dir).select("call", T.pattern_of(F.col("call")).alias("pattern"))
     found = calls.groupBy("pattern").agg(F.countDistinct("call").alias("calls"))
     return found.withColumn("tier", F.when(F.col("calls") >= 2, "common").otherwise("listed"))
 
 
-@query(f"""WITH {_CALLS}, p AS (SELECT {_PATTERN.format('call')} AS pattern, count(DISTINCT call) AS n FROM c WHERE event_type = 'purchase' GROUP BY 1)
+@query(f"""WITH {_PATTERNS}, p AS (SELECT pattern, count(DISTINCT call) AS n FROM pc WHERE event_type = 'purchase' GROUP BY 1)
   SELECT tier, CAST(CASE tier WHEN 'common' THEN 2 WHEN 'listed' THEN 3 ELSE 5 END AS INTEGER) AS required, count(*) AS rows FROM
-  (SELECT CASE WHEN p.n >= 2 THEN 'common' WHEN p.n = 1 THEN 'listed' ELSE 'unlisted' END AS tier FROM c LEFT JOIN p ON {_PATTERN.format('c.call')} = p.pattern) GROUP BY ALL""")
+  (SELECT CASE WHEN p.n >= 2 THEN 'common' WHEN p.n = 1 THEN 'listed' ELSE 'unlisted' END AS tier FROM pc LEFT JOIN p USING (pattern)) GROUP BY ALL""")
 def pattern_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _calls(spark, sf_dir).select("call", "event_type", T.pattern_of(F.col("call")).alias("pattern"))
     listed = calls.where("event_type = 'purchase'").groupBy("pattern").agg(F.countDistinct("call").alias("n"))
