@@ -111,12 +111,10 @@ def combinations_filling(window: int, lengths: list[int]):
 
     have = np.zeros(window + 1, bool)
     have[lengths] = True
-    found = []
     a, b = np.meshgrid(np.arange(0, window // 3 + 1), np.arange(1, window // 2 + 1), indexing="ij")
     c = window - a - b
     good = (a <= b) & (b <= c) & (have[a] | (a == 0)) & have[b] & have[np.clip(c, 0, window)]
-    found = np.stack([a[good], b[good], c[good]], axis=1)
-    return found
+    return np.stack([a[good], b[good], c[good]], axis=1)
 
 
 def solve_counts(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
