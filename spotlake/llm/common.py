@@ -30,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), as Parquet: for wide rows of which later readers need few columns."""
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
