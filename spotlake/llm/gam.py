@@ -6,8 +6,8 @@ leaves to that feature's lookup table. Afterwards the pairs of features whose tw
 gain tables of their own, boosted the same way over coarser bins. A score is the intercept plus one table entry for each
 feature and pair, added by array lookups over a whole batch.
 
-Training rows come from the labels that the caller passes: a sample bounded by `most_rows` (by default 20,000), taken by
-the smallest hash of the id, so it is the same in every run. Only the sample's features reach the driver.
+Training rows come from the labels that the caller passes: a sample bounded by `most_rows` (about 20,000 by default), taken by a
+hash of the id, so it is the same in every run. Only the sample's ids are broadcast and only its features reach the driver.
 
 Null text counts as empty; an empty text has a score like any other. Rows and ids are kept one by one; other columns are
 kept, those named as the outputs are replaced. Without a label of each class the score is the share of label 1 (0.5
@@ -141,7 +141,9 @@ def _leaves(gradient: np.ndarray, hessian: np.ndarray, leaves: int = 3, smooth:
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15) -> Model:
     """Cyclic boosting of the feature tables, then of the pair tables on what is left."""
-    share = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return Model()
+    share = float(y.mean())
     if not 0 < share < 1:
         return Model(intercept=math.log((share + 1e-3) / (1 - share + 1e-3)))
     n_features = x.shape[1]
@@ -187,20 +189,28 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15) ->
     return model
 
 
-def training_sample(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, most_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most most_rows labelled rows, those of smallest hash of the id."""
-    one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__label"))
-    rows = features.join(one, features[id_col] == one["__id"]).select(F.xxhash64("__id").alias("h"), "__id", "features", "__label")
-    rows = rows.orderBy("h", "__id").limit(most_rows).toPandas()
+def label_sample(labels: DataFrame, id_col: str, label_col: str, most_rows: int) -> DataFrame:
+    """(__id, __label) of about most_rows labelled ids: those whose hash lies below a bound that the number of labels sets. All, if fewer."""
+    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__label"))
+    one = cut(one)
+    n, parts = one.count(), 1 << 20
+    return one if n <= most_rows else one.where(F.pmod(F.xxhash64("__id"), F.lit(parts)) < parts * most_rows // n)
+
+
+def training_rows(features: DataFrame, sample: DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample, in the order of id and label, on the driver."""
+    rows = features.join(F.broadcast(sample), features[id_col] == sample["__id"]).select("__id", "features", "__label").toPandas()  # about most_rows
     if rows.empty:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
-    return np.stack(rows["features"].to_numpy()), rows["__label"].to_numpy(float)
+    x, y = np.stack(rows["features"].to_numpy()), rows["__label"].to_numpy(float)
+    order = np.lexsort((*x.T, y, rows["__id"].to_numpy()))
+    return x[order], y[order]
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", least: float = 0.3, most_rows: int = 20_000) -> DataFrame:
     """docs without the text, with score (double) and predicted (int: 1 if score >= least). labels: the rows to learn from."""
     features = cut(with_features(docs, text_col))
-    model = fit(*training_sample(features, labels, id_col, label_col, most_rows))
+    model = fit(*training_rows(features, label_sample(labels, id_col, label_col, most_rows), id_col))
     kept = [c for c in features.columns if c not in ("features", "score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +227,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", least: float = 0.3, most_rows: int = 20_000) -> DataFrame:
     """The rows of docs that classify() predicts as 1, with the same columns. The sample is drawn from the labels, so that only its texts are read twice."""
-    one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias(label_col))
-    sample = cut(one.orderBy(F.xxhash64("__id"), "__id").limit(most_rows))
+    sample = label_sample(labels, id_col, label_col, most_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__t"))
-    texts = texts.join(F.broadcast(sample.select(F.col("__id").alias(id_col))), id_col, "left_semi")  # at most most_rows ids
-    features = with_features(texts, "__t")
-    model = fit(*training_sample(features, sample.withColumnRenamed("__id", id_col), id_col, label_col, most_rows))
+    texts = texts.join(F.broadcast(sample.select(F.col("__id").alias(id_col))), id_col, "left_semi")  # about most_rows ids
+    model = fit(*training_rows(with_features(texts, "__t"), sample, id_col))
     names = docs.columns
     at = names.index(text_col)
 
