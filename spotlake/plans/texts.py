@@ -59,9 +59,14 @@ def pattern_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.word AS a, b.word AS b, CASE WHEN contains(a.word, b.word) OR contains(b.word, a.word) THEN 'contains' ELSE 'similar' END AS relation
   FROM w a JOIN w b ON substr(a.word, 1, 3) = substr(b.word, 1, 3) AND a.word < b.word WHERE contains(a.word, b.word) OR contains(b.word, a.word) OR levenshtein(a.word, b.word) <= 2""")
 def variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir, "benchmark").where(F.length("word") >= 3).withColumn("head", F.substring("word", 1, 3))
+    """Similar words share a head; a word within another is one of its substrings, whatever the heads. The SQL still seeks both by head."""
+    words = _words(spark, sf_dir, "benchmark").withColumn("head", F.substring("word", 1, 3))
     pairs = words.select("head", F.col("word").alias("a")).join(words.select("head", F.col("word").alias("b")), "head").where("a < b")
-    return pairs.select("a", "b", T.variant_relation(F.col("a"), F.col("b")).alias("relation")).where("relation IS NOT NULL")
+    similar = pairs.select("a", "b", T.variant_relation(F.col("a"), F.col("b")).alias("relation")).where("relation = 'similar'")
+    size, places = F.length("word"), F.sequence(F.lit(1), F.length("word"))
+    parts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("word", i, n)))))
+    held = words.select(F.col("word").alias("whole"), F.explode(parts).alias("word")).where("word <> whole").join(words, "word")
+    return similar.unionByName(held.select(F.least("word", "whole").alias("a"), F.greatest("word", "whole").alias("b"), F.lit("contains").alias("relation")))
 
 
 _ASCII = "[^ -~]"

@@ -35,3 +35,16 @@ def test_error_rates(spark, tmp_path):
         rates = [distance(e.upper(), d.upper()) / len(e) for n, d in docs if n % 45 == i]
         want[i] = (len(rates), round(sum(rates) / len(rates), 6), sum(r < 0.1 for r in rates))
     assert {r.item_id: (r.n, r.cer_mean, r.good) for r in got.collect()} == want
+
+
+def test_variant_pairs(spark, tmp_path):
+    words = "RESTART START STARTS STARE ART A AR TABLE ABLE ABLER B12 12 BANANA ANA NAN TABLET CABLE STAR".split()
+    got = run(spark, tmp_path, "variant_pairs", benchmark=([(0, " ".join(words)), (1, "start, a")], "item_id long, text string"))
+    want = []
+    for a in words:
+        for b in words:
+            if a < b and (a in b or b in a):
+                want.append((a, b, "contains"))
+            elif a < b and a[:3] == b[:3] and min(len(a), len(b)) >= 3 and distance(a, b) <= 2:
+                want.append((a, b, "similar"))
+    assert sorted(map(tuple, got.select("a", "b", "relation").collect())) == sorted(want)
