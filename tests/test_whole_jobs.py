@@ -48,3 +48,10 @@ def test_variant_pairs(spark, tmp_path):
             elif a < b and a[:3] == b[:3] and min(len(a), len(b)) >= 3 and distance(a, b) <= 2:
                 want.append((a, b, "similar"))
     assert sorted(map(tuple, got.select("a", "b", "relation").collect())) == sorted(want)
+
+
+def test_morse_round_trip(spark, tmp_path):
+    texts = [(0, "CQ de K1ABC, " * 30 + "last word?"), (1, "short\u00e9 one"), (2, "!!")]
+    got = run(spark, tmp_path, "morse_round_trip", benchmark=(texts, "item_id long, text string"))
+    clean = {i: re.sub(" +", " ", re.sub("[^A-Z0-9/?.,= ]", "", re.sub("[^ -~]", " ", t).upper())).strip() for i, t in texts}
+    assert {r.track: r.text for r in got.collect()} == {i: t for i, t in clean.items() if t}
