@@ -55,3 +55,19 @@ def test_morse_round_trip(spark, tmp_path):
     got = run(spark, tmp_path, "morse_round_trip", benchmark=(texts, "item_id long, text string"))
     clean = {i: re.sub(" +", " ", re.sub("[^A-Z0-9/?.,= ]", "", re.sub("[^ -~]", " ", t).upper())).strip() for i, t in texts}
     assert {r.track: r.text for r in got.collect()} == {i: t for i, t in clean.items() if t}
+
+
+def test_merged_intervals(spark, tmp_path):
+    hour = 3_600_000_000
+    orders = [(4, "a", 500_000.0, 0), (3, "a", 1.0, 3), (5, "a", 1.0, 10), (1, "b", 2.0, 1)]
+    frame = spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_totalprice double, h int")
+    frame.withColumn("o_orderdate", F.timestamp_micros(F.col("h") * hour)).drop("h").write.parquet(str(tmp_path / "orders.parquet"))
+    got = run(spark, tmp_path, "merged_intervals").select("k", "a", "b", "n")
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 6 * hour, 2), ("a", 10 * hour, 10 * hour, 1), ("b", hour, 2 * hour, 1)]
+
+
+def test_triple_tally(spark, tmp_path):
+    labels = [(1, 0, 1), (2, 1, 0), (3, 1, 0), (4, 0, 1), (5, 1, 1)]
+    docs = [(i, 900 * (i % 3)) for i in range(1, 5)]
+    got = run(spark, tmp_path, "triple_tally", labels=(labels, "doc_id long, quality int, toxic int"), documents=(docs, "doc_id long, n_chars int"))
+    assert [r.asDict() for r in got.collect()] == [{"gains": 2, "losses": 2, "held": 1, "n": 4}]
