@@ -2,7 +2,7 @@ r"""Operator 4: license scans by ordered signature rules, in DataFrame functions
 
 Words are runs of letters, digits and non-ASCII characters after A-Z are lower-cased; a text is matched as its words between
 single blanks. Rules are regexes over that form. A keyword prefilter goes first: a text without any keyword is not
-normalised, and a rule is tried only on texts that hold its own keyword. Detections are word intervals; one that lies within
+normalised, and a rule is tried only on texts that hold its own keyword. The prefilter is made of the keywords of all rules. Detections are word intervals; one that lies within
 another of higher priority (or of the same priority, if longer or of an earlier rule) is suppressed.
 
 Base phrases are rules too, but their places are reported as they are, suppressed or not.
@@ -27,13 +27,13 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrase -> label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, keyword, and a pattern for the license's name in words; versions follow as words of their own.
+#: Label, keyword (whole words, one of which every match holds), and a pattern for the license's name in words; versions follow as words of their own.
 NAMES = (
     ("apache-1.1", "apache", "apache (?:software )?licen[cs]e(?: version)? 1 1"),
     ("apache-2.0", "apache", "apache(?: software)?(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?"),
     ("mit", "mit", "mit(?: x11)?(?: licen[cs]e)?"),
     ("x11", "x11", "x11(?: licen[cs]e)?"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "bsd|freebsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
     ("bsd", "bsd", "bsd(?: style)?(?: licen[cs]e)?"),
@@ -57,7 +57,7 @@ NAMES = (
     ("boost", "boost", "boost software licen[cs]e(?: version)?(?: 1(?: 0)?)?"),
     ("unlicense", "unlicense", "unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
-    ("python", "python", "(?:psf|python software foundation) licen[cs]e"),
+    ("python", "python|psf", "(?:psf|python software foundation) licen[cs]e"),
     ("openssl", "openssl", "openssl licen[cs]e"),
     ("sil-ofl", "ofl|open font", "(?:ofl|sil open font licen[cs]e|open font licen[cs]e)(?: version)?(?: 1 1)?"),
     ("eupl", "eupl|european union", "(?:eupl|european union public licen[cs]e)"),
@@ -94,6 +94,11 @@ PHRASES = (
 )
 #: Names that are also plain words; alone they say nothing.
 NEEDS_FORM = ("mit", "isc", "x11", "bsd")
+#: Of these, those in so many texts that their keyword takes in the word that a form has before the name.
+COMMON = ("mit", "isc", "x11")
+BEFORE = "under|of|the|see|read|to|by|a|licen[cs]e|identifier"
+#: A version may follow a keyword without a blank.
+VERSION = "(?:v?[0-9])?"
 
 
 @dataclass(frozen=True)
@@ -114,25 +119,30 @@ def signature_rules() -> list[Rule]:
         for label, keyword, name in NAMES:
             if key == "name" and label in NEEDS_FORM:
                 name = name.removesuffix("(?: licen[cs]e)?") + " licen[cs]e"
+            if label in COMMON:
+                keyword = name if key == "name" else f"(?:{BEFORE}) {keyword}"
             found.append((label, keyword, around.format(name=f"(?:{name})"), priority, confidence, False))
     found += [(label, keyword, pattern, priority, confidence, False) for label, keyword, pattern, priority, confidence in PHRASES]
     return [Rule(i, label, keyword, f" (?:{pattern})(?= )", priority, confidence, base) for i, (label, keyword, pattern, priority, confidence, base) in enumerate(found)]
 
 
 RULES = signature_rules()
-#: One scan that most texts fail: words that license statements hold, whatever the license.
-PREFILTER = r"(?i)licen[cs]e|copyright|reserved|general|spdx|creative|public|gpl|gfdl|cc0|wtfpl|cddl|eupl|odbl|\bofl\b|\bmpl\b|\bepl\b|apache|bsd|zlib|permission|redistribut|free software|proprietary|unauthori[sz]ed|(?<![A-Za-z0-9])cc(?![A-Za-z0-9])"
+#: One scan that most texts fail: the keywords of all rules as whole words of a text with A-Z lower-cased.
+PREFILTER = rf"(?<!{ANY_WORD[:-1]})(?:{'|'.join(sorted({r.keyword for r in RULES}))}){VERSION}(?!{ANY_WORD[:-1]})".replace(" ", BETWEEN)
+
+
+def lowered(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def normalised(text: Column) -> Column:
     """' word word ... word ' with A-Z lower-cased; ' ' for a text without words."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(lower, BETWEEN, " "), F.lit(" ")), " +", " ")
+    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(lowered(text), BETWEEN, " "), F.lit(" ")), " +", " ")
 
 
 def _rule_table() -> Column:
     kinds = "struct<number:int,label:string,keyword:string,pattern:string,priority:int,confidence:double,base:boolean>"
-    rows = [F.struct(F.lit(r.number).alias("number"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")).cast(kinds) for r in RULES]
+    rows = [F.struct(F.lit(r.number).alias("number"), F.lit(r.label).alias("label"), F.lit(f" (?:{r.keyword}){VERSION} ").alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")).cast(kinds) for r in RULES]
     return F.array(*rows)
 
 
@@ -172,7 +182,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (text_col, *outputs)]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     # the rest of the plan reads this twice, so it is written once; only texts past the prefilter are in it
-    norm = F.when(text.rlike(PREFILTER), normalised(text))
+    norm = F.when(lowered(text).rlike(PREFILTER), normalised(text))
     n_words = F.regexp_count(text, F.lit(ANY_WORD)).cast("long")
     rows = cut(docs.select(F.monotonically_increasing_id().alias("uid"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in kept], n_words.alias("n_words"), norm.alias("norm")))
     found = detections(rows.where(F.col("norm").isNotNull()).select("uid", "norm"))

@@ -252,6 +252,47 @@ def test_license_scan(spark):
     assert license_scan.scan(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def _strings(parsed, rng):
+    """One string that a parsed pattern matches, branches and options drawn."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                kind, value = rng.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+            case "BRANCH":
+                out += _strings(rng.choice(arg[1]), rng)
+            case "SUBPATTERN":
+                out += _strings(arg[3], rng)
+            case "MAX_REPEAT":
+                out += "".join(_strings(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+            case "ASSERT":
+                pass
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_license_prefilter_gates_no_rule(spark):
+    rng = random.Random(9)
+    prefilter, examples = re.compile(license_scan.PREFILTER), []
+    for rule in license_scan.RULES:
+        parsed = re._parser.parse(rule.pattern)
+        drawn = [_strings(parsed, rng).strip() for _ in range(200)]
+        for text in drawn:
+            assert re.search(rule.pattern, f" {text} ") and re.search(f" (?:{rule.keyword}){license_scan.VERSION} ", f" {text} "), (rule, text)
+            assert prefilter.search(text) and prefilter.search(text.replace(" ", "_")) and prefilter.search(f"x_{text}--y"), (rule, text)
+        examples.append((rule.number, drawn[0]))
+    norm = license_scan.normalised(F.upper("text"))
+    found = license_scan.detections(spark.createDataFrame(examples, "uid int, text string").select("uid", norm.alias("norm")))
+    assert {r.uid for r in found.where("uid = rule").collect()} == {r.number for r in license_scan.RULES}
+    said = {"released under MIT": "mit", "distributed under the terms of the ISC": "isc", "made available under X11": "x11", "MPL_2.0 applies": "mpl-2.0", "EPL_1.0": "epl-1.0", "OFL_1.1": "sil-ofl", "released under the PSF license": "python", "komm mit uns": "", "submit it": "", "RELEASED UNDER\nMIT": "mit"}
+    got = by_id(license_scan.scan(docs_of(spark, [None] * 4 + list(said))))
+    assert {t: got[i].labels for i, t in enumerate(said, 4)} == said
+
+
 def test_classifier(spark):
     rng = random.Random(7)
     clean = lambda: " ".join(rng.choice(["the", "rain", "fell", "on", "hills", "softly"]) for _ in range(60)) + "."
