@@ -1,7 +1,7 @@
 r"""Operator 3: surrogates for personal data, in DataFrame functions only.
 
 Entities are found by one regex over the whole text and typed by form: e-mail addresses, phone numbers, IPv4 addresses, card
-numbers, long hexadecimal secrets and keys, values named as a password, token or key, social security numbers, and names after a title. Each distinct entity, in a
+numbers, long hexadecimal secrets and keys, values of six or more characters named as a password, token or key, social security numbers, and names after a title. Each distinct entity, in a
 canonical form that is the same for its spellings (case of an address, separators of a number), gets one surrogate from a
 keyed hash: addresses become addresses in a reserved domain, numbers numbers of the same length and check digit, IPs
 addresses of the reserved block, names names of the title's gender and of the name's script. The surrogate is then written in the
@@ -9,6 +9,9 @@ form of each occurrence (its separators, its case). Coreference holds because th
 because surrogates are checked: entities that drew the same surrogate, or one that occurs in the corpus as an entity, draw
 again with the next attempt until none collides.
 
+A named value counts whole, however long. After `=` or a quote it is an entity whatever it holds; a bare value after a colon only with a
+digit in it, for prose goes on there.
+
 Occurrences are joined with the surrogates on the entity; an entity in very many documents is a skewed join key, which Spark splits.
 
 Null text stays null and has no entities. Rows are kept one by one, repeated rows and ids included; all columns are kept with
@@ -29,9 +32,10 @@ TITLES = {
 }
 _TITLE = "|".join(sorted((t.replace(".", r"\.") for t in TITLES), key=lambda t: (-len(t), t)))
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])"
 _NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
-CREDENTIAL = rf"(?<={_NAMED}\s{{0,2}}[=:]\s{{0,2}}[\"']{{0,1}})(?=[^\s\"']{{0,120}}\d)[A-Za-z0-9_+/.~-]{{6,128}}"
+_VALUE = r"[A-Za-z0-9_+/.~-]{6,}+"
+CREDENTIAL = rf"(?:(?<={_NAMED}\s{{0,2}}(?:=|[=:]\s{{0,2}}[\"']|=\s{{1,2}}))|(?<={_NAMED}\s{{0,2}}:\s{{0,2}})(?=[^\s\"']*\d)){_VALUE}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?![\d-])"
 #: A number ends where its form does: what follows a blank may be an address or a card of its own.
@@ -46,9 +50,9 @@ NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 KINDS = {"email": EMAIL, "secret": SECRET, "credential": CREDENTIAL, "ip": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD, "name": NAME}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: The form of a whole entity of a kind, once it stands alone without the name before it.
-_ALONE = {k: p for k, p in KINDS.items() if k != "credential"} | {"credential": r"[A-Za-z0-9_+/.~-]{6,128}"}
+_ALONE = {k: p for k, p in KINDS.items() if k != "credential"} | {"credential": _VALUE}
 #: What every entity holds one of; a text without it is not searched.
-PREFILTER = rf"\d|@|[a-f]{{32}}|[A-F]{{32}}|AKIA|gh[pousr]_|sk-|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
+PREFILTER = rf"\d|@|{_NAMED}\s{{0,2}}[=:]|[a-f]{{32}}|[A-F]{{32}}|AKIA|gh[pousr]_|sk-|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
 
 #: Syllables and endings that surrogate names are made of, by script; endings by gender (M, F, N).
 SYLLABLES = {

@@ -230,6 +230,17 @@ def test_pii_collisions_draw_again(spark, monkeypatch):
     assert len(cores) == len(set(cores)) == 60
 
 
+def test_pii_has_no_longest_secret(spark):
+    jwt, hexed, key = "eyJh" + "bGciOi9_" * 24 + "tail", "0a" * 70, "sk-" + "Ab" * 50
+    texts = [f'token = "{jwt}" end', f"lone {hexed} end", f"lone {key} end", "password=opensesame end", "password: 'opensesame' end", "token: " + "x" * 130 + "9 end", "the token: yesterday"]
+    got = {r.doc_id if r.doc_id is not None else 3: r for r in pii.replace_entities(docs_of(spark, texts), "key").collect()}
+    for i, (t, secret) in enumerate(zip(texts, [jwt, hexed, key, "opensesame", "opensesame", "x" * 130 + "9"], strict=False)):
+        before, after = t.split(secret)
+        assert got[i].n_entities == 1 and got[i].text.startswith(before) and got[i].text.endswith(after)
+        assert len(got[i].text) == len(t) and secret[-8:] not in got[i].text and secret[:8].removeprefix("sk-") not in got[i].text
+    assert got[6].text == texts[6]
+
+
 def test_license_scan(spark):
     texts = [*TEXTS, "Licensed under CC BY-NC 4.0.", "cc by cc by, CC\n--BY", "cc bye acc by", "This work is licensed under the GNU General Public License, version 3. All rights reserved.", "ALL RIGHTS... RESERVED écc by", "Released under the MIT License. SPDX-License-Identifier: Apache-2.0"]
     got = by_id(license_scan.scan(docs_of(spark, texts)))
