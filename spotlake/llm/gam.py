@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotlake.llm.common import cut
+from spotlake.llm.common import cut, slices
 
 FEATURES = (
     "log_words", "mean_word", "long_words", "symbols", "digits", "upper", "exclaims", "pipes", "commas", "stops",
@@ -79,7 +79,7 @@ def with_features(docs: DataFrame, text_col: str = "text", out_col: str = "featu
     kept = [c for c in docs.columns if c not in (text_col, out_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(kept)):
             values = [text_features(text or "") for text in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.list_(pa.float64()))], names=[*kept, out_col])
 
@@ -235,10 +235,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values = np.array([text_features(text or "") for text in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(model.scores(values) >= least))
+        for batch in slices(batches, at):
+            values = np.array([text_features(text or "") for text in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(model.scores(values) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 

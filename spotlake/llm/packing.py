@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlake.llm.chunks import ChunkEncoder
-from spotlake.llm.common import cut, stored
+from spotlake.llm.common import cut, slices, stored
 
 #: Rounds of the solver, combinations raised in a round, and combinations kept at most.
 ROUNDS, A_ROUND, MOST = 160, 192, 4096
@@ -86,7 +86,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_ids, end = _ids(tokenizer_path).text_ids, end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches, 2):
             n, fulls, rest, crcs, raws = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 ids = text_ids(text or "") + end

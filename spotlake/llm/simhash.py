@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import cut, stored
+from spotlake.llm.common import attach, cut, slices, stored
 from spotlake.llm.components import smallest_reachable
 
 BYTES = 8
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4) -> Dat
     kept = [c for c in docs.columns if c not in (text_col, "fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(kept)):
             fps = [fingerprint(text or "", words) for text in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=[*kept, "fp"])
 
