@@ -13,7 +13,8 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, twice over, and replaces the links by links between the hooks;
     links within one hook vanish. Labels only fall and stay inside their component, so when no link is left each
-    component has one label, its smallest node. Rounds grow with the logarithm of a component's width. Every round is
+    component has one label, its smallest node. Rounds grow about with the logarithm of a component's
+    width where the order of nodes is as good as random, as that of hashes is; along a chain of rising nodes they grow with its length. Every round is
     written to the shared folder. Nulls aren't nodes: such links are dropped. No links: an empty table.
     """
     both = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")

@@ -1,14 +1,15 @@
 """Operator 2: near-duplicates by SimHash fingerprints, a byte-position inverted index and count filtering.
 
 Two 64-bit fingerprints that differ in at most four bits differ in at most four of their eight bytes, so they share at
-least four positional bytes: the guaranteed minimum. The index lists each distinct fingerprint under byte positions taken
-three at a time; twenty such triples suffice for any four of the eight positions to hold one (three groups of positions:
-a triple inside a group, or two of a group and one of the next). Fingerprints met in a posting have their shared
-positional bytes tallied, pairs below the minimum are dropped, and the rest are verified bit by bit.
+least four positional bytes: the guaranteed minimum. The index lists each distinct fingerprint under its bytes at three positions at a
+time; the triples are chosen so that any four positions hold at least two of them, while three positions hold one at most. So a pair
+is met once for each listed triple among the positional bytes that it shares: meetings are tallied per pair over all postings, pairs
+below LEAST_SHARED meetings (those of fewer than four shared bytes) are dropped, and the rest are verified bit by bit.
 
 Large postings aren't expanded into pairs. First each fingerprint of a posting is compared with the posting's smallest
-member only, which joins nearly all of a group of near copies. Pairs are then sought only between fingerprints that still
-lie in different components, so that the work inside a group that is already joined is none.
+member only, which joins nearly all of a group of near copies. Pairs are then sought only in postings that still hold more than one
+component, and there only between members outside the posting's largest component and all others, so a group that is already joined
+is never paired with itself.
 
 Null text counts as empty: fingerprint zero, linked like any other. Rows are kept one by one, repeated rows and ids
 included; a null id stays null and never names a component (a component of null ids only has a null id). Other
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.llm.common import attach, cut, slices, stored
@@ -29,15 +30,19 @@ from spotlake.llm.components import smallest_reachable
 
 BYTES = 8
 SEED = 42
-_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+#: Meetings in postings that four shared positional bytes guarantee, and three don't reach.
+LEAST_SHARED = 2
 
 
 def index_positions() -> list[tuple[int, ...]]:
-    """Triples of byte positions of which any four positions hold at least one."""
-    found = [t for group in _GROUPS for t in combinations(group, 3)]
-    for here, after in zip(_GROUPS, (*_GROUPS[1:], _GROUPS[0]), strict=True):
-        found += [(*two, one) for two in combinations(here, 2) for one in after]
-    return found
+    """Triples of byte positions of which any four positions hold at least LEAST_SHARED: all triples, less those that can be spared one after another."""
+    kept = list(combinations(range(BYTES), 3))
+    fours = [set(four) for four in combinations(range(BYTES), 4)]
+    for triple in list(kept):
+        fewer = [t for t in kept if t != triple]
+        if all(sum(set(t) <= four for t in fewer) >= LEAST_SHARED for four in fours):
+            kept = fewer
+    return kept
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -90,11 +95,9 @@ def _postings(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
 
 
-def _near(x: str, y: str, bits: int):
-    """Count filter, then verification."""
-    differ = F.col(x).bitwiseXOR(F.col(y))
-    shared = sum(F.when(F.shiftright(differ, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(BYTES))
-    return (shared >= BYTES - bits) & (F.bit_count(differ) <= bits)
+def _near(x: str, y: str, bits: int) -> Column:
+    """Verification."""
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
 
 
 def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
@@ -107,10 +110,17 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     shared = cut(postings.join(heads, "key"))
     stars = shared.where("node <> a").where(_near("fp", "head_fp", bits)).select("a", F.col("node").alias("b")).distinct()
     first = cut(smallest_reachable(stars))
-    named = shared.select("key", "fp", "node").join(first, "node", "left").select("key", "fp", F.coalesce("root", "node").alias("root"))
-    x = named.select("key", F.col("fp").alias("fp_x"), F.col("root").alias("a"))
-    y = named.select("key", F.col("fp").alias("fp_y"), F.col("root").alias("b"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & _near("fp_x", "fp_y", bits)).select("a", "b").distinct()
+    named = cut(shared.select("key", "fp", "node").join(first, "node", "left").select("key", "fp", F.coalesce("root", "node").alias("root")))
+    # per posting the members by component: only postings of several components have pairs left, and those outside its largest one seek them
+    held = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = held.groupBy("key").agg(F.max(F.struct("n", "root")).getField("root").alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", "top")
+    open_rows = cut(named.join(mixed, "key"))
+    x = open_rows.where("root <> top").select("key", F.col("fp").alias("fp_x"), F.col("root").alias("a"))
+    y = open_rows.select("key", F.col("fp").alias("fp_y"), F.col("root").alias("b"), (F.col("root") == F.col("top")).alias("in_top"))
+    met = x.join(y, "key").where((F.col("a") != F.col("b")) & (F.col("in_top") | (F.col("fp_x") < F.col("fp_y"))))
+    low, high = F.least("fp_x", "fp_y").alias("low"), F.greatest("fp_x", "fp_y").alias("high")
+    tally = met.groupBy(low, high).agg(F.count("*").alias("meetings"), F.min(F.least("a", "b")).alias("a"), F.max(F.greatest("a", "b")).alias("b"))
+    rest = tally.where((F.col("meetings") >= LEAST_SHARED) & _near("low", "high", bits)).select("a", "b").distinct()
     second = smallest_reachable(rest)
     onto = second.select(F.col("node").alias("mid"), F.col("root").alias("last"))
     lone = second.select("node", "root").join(first.select("node"), "node", "left_anti")
@@ -118,22 +128,30 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     return moved.unionByName(lone)
 
 
+#: Parts that a component's rows are dealt over when they learn its smallest id.
+PARTS = 16
+
+
 def _component_of(marked: DataFrame, id_col: str, bits: int) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of marked."""
+    """(fp, root, component_id, n) for each distinct fingerprint of marked, n being its rows."""
     # fingerprints are the nodes: one id may stand on several texts, and their order is as good as random, which keeps hooking chains short
     least = F.min(F.col(f"`{id_col}`")).cast("long").alias("least")
-    nodes = cut(marked.groupBy("fp").agg(least).withColumn("node", F.col("fp")))
-    named = nodes.join(links(nodes.select("fp", "node"), bits), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-    by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(by_root, "root").select("fp", "root", "component_id")
+    nodes = cut(marked.groupBy("fp").agg(least, F.count("*").alias("n")).withColumn("node", F.col("fp")))
+    named = cut(nodes.join(links(nodes.select("fp", "node"), bits), "node", "left").select("fp", "least", "n", "root"))
+    alone = named.where("root IS NULL").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"), "n")
+    # only linked ones meet, in parts, so that a large component is spread
+    linked = named.where("root IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int"))
+    by_root = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return alone.unionByName(linked.join(by_root, ["root", "part"]).select("fp", "root", "component_id", "n"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """docs without the text, with fp (long) and component_id (smallest id reachable through links, itself included)."""
     kept = [c for c in docs.columns if c not in (text_col, "fp", "component_id")]
-    marked = cut(fingerprints(docs.select(*[F.col(f"`{c}`") for c in [*kept, text_col]]), text_col, words))
-    by_fp = _component_of(marked, id_col, bits).select("fp", "component_id")
-    return marked.join(by_fp, "fp", "left").select(*[F.col(f"`{c}`") for c in kept], "fp", "component_id")
+    marked = cut(fingerprints(docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in kept], F.col(f"`{text_col}`").alias("__t")), "__t", words))
+    by_fp = cut(_component_of(marked, f"k_{id_col}", bits).select("fp", "component_id", "n"))
+    out = attach(marked, by_fp, "fp", "n", marked.count())
+    return out.select(*[F.col(f"`k_{c}`").alias(c) for c in kept], "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
@@ -142,7 +160,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").alias("__text"))
     rows = stored(fingerprints(told.withColumn("__t", F.col("__text")).drop("__text"), "__t", words), "simhash")
     marked = rows.select(F.col(f"`k_{id_col}`").alias(id_col), "uid", "fp")
-    by_fp = _component_of(marked, id_col, bits).select("fp", "root")
     place = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("uid"))
-    first = marked.join(by_fp, "fp").groupBy("root").agg(F.min(place).getField("uid").alias("uid"))
-    return rows.join(first, "uid", "left_semi").select(*[F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    # the first row of each fingerprint, then the first of those of each component: no join meets the rows of a group
+    first = marked.groupBy("fp").agg(F.min(place).alias("first"))
+    by_fp = _component_of(marked, id_col, bits).select("fp", "root")
+    best = first.join(by_fp, "fp").groupBy("root").agg(F.min("first").getField("uid").alias("uid"))
+    return rows.join(best, "uid", "left_semi").select(*[F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, names, strict=True)])

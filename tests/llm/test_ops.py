@@ -130,9 +130,11 @@ def _components(nodes, linked):
 
 
 def test_index_covers_four_positions():
+    """Any four positions meet in at least LEAST_SHARED postings, any three in at most one."""
     triples = simhash.index_positions()
-    assert len(triples) == 20
-    assert all(any(set(t) <= set(four) for t in triples) for four in itertools.combinations(range(8), 4))
+    assert len(set(triples)) == len(triples) < 56 and simhash.LEAST_SHARED >= 2
+    assert all(sum(set(t) <= set(four) for t in triples) >= simhash.LEAST_SHARED for four in itertools.combinations(range(8), 4))
+    assert min(sum(set(t) <= set(four) for t in triples) for four in itertools.combinations(range(8), 4)) == simhash.LEAST_SHARED
 
 
 def test_components(spark):
@@ -359,17 +361,35 @@ def test_top_k(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     vectors = topk.integer_vectors(table, "vec_id", "embedding")
     got = {}
-    for r in topk.top_k(vectors, vectors.where("id % 100 = 0"), 5).collect():
+    for r in topk.top_k(vectors, F.col("id") % 100 == 0, 5).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    whole = {i: np.floor(1024 * np.array(v, "f4").astype("f8")).astype(int) for i, v in rows if i is not None and i < 2000}
+    whole = {i: np.floor(1024 * np.array(v, "f4").astype("f8")).astype(int) for i, v in rows if i is not None and i < 2000} | {2001: np.zeros(8, int)}
     want = {}
     for q in (i for i in whole if i % 100 == 0):
         ranked = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]
         want[q] = [(n, i, -s) for n, (s, i) in enumerate(ranked, 1)]
     assert {q: sorted(v) for q, v in got.items()} == want
     few = vectors.where("id in (0, 1, 2)")
-    assert sorted(r.vec_id for r in topk.top_k(few, vectors.where("id = 0"), 5).collect()) == [1, 2]
-    assert topk.top_k(vectors.limit(0), vectors, 5).count() == 0
+    assert sorted(r.vec_id for r in topk.top_k(few, F.col("id") == 0, 5).collect()) == [1, 2]
+    assert topk.top_k(vectors.limit(0), F.col("id") == 0, 5).count() == 0 and topk.top_k(vectors, F.col("id") == -5, 5).count() == 0
+
+
+def test_top_k_of_odd_vectors(spark):
+    """Repeated ids, ragged and empty vectors, large components, sums that floats would round, and scores beyond a long."""
+    rng = random.Random(12)
+    rows = [(0, [1e7, 1.0, -3.0]), (0, [1e7, 1.0, -3.0]), (1, [1e7, 1.001]), (2, [-1e7, 2.0, 5.0, 7.0]), (3, []), (4, [1e300, 1.0]), (5, [-1e300]), (100, [1e12, 1e-3]), (101, [1e12, 0.002]), (102, [1e12, 0.001]), (200, [0.5] * 9)]
+    rows += [(300 + i, [rng.uniform(-1, 1) for _ in range(rng.randrange(6))]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(topk.integer_vectors(table, "vec_id", "embedding"), F.col("id") % 100 == 0, 4).collect()]
+    clip = lambda x, top: max(-top, min(top, x))
+    ints = [(i, [int(np.floor(np.clip(1024.0 * x, -9.2e18, 9.2e18))) for x in v]) for i, v in rows]
+    want = []
+    for n, (q, x) in enumerate(ints):
+        if q % 100 == 0:
+            scores = [(-max(-(2**63), clip(sum(a * b for a, b in zip(x, y, strict=False)), 2**63 - 1)), i) for m, (i, y) in enumerate(ints) if m != n]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:4], 1)]
+    assert sorted(got) == sorted(want)
+    assert any(q == i == 0 for q, _, i, _ in got)
 
 
 def test_quality_rules(spark):
@@ -396,6 +416,24 @@ def test_quality_rules(spark):
     assert quality_rules.apply_rules(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_quality_fences_are_the_groups_own(spark):
+    """The same text is kept among its like and dropped in a group where nothing else is like it; counts near a fence are let be."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short = lambda: " ".join(word(rng.choice([3, 4, 5])) for _ in range(80))
+    long_words = lambda: " ".join(word(rng.choice([9, 10, 11])) for _ in range(80))
+    tables = lambda: " ".join(word(4) + rng.choice(["|", "", "#"]) for _ in range(80))
+    odd_long, odd_table, stray = long_words(), tables(), short() + " 5 % & 2 $"
+    rows = [("prose", short()) for _ in range(100)] + [("chemistry", long_words()) for _ in range(100)] + [("forms", tables()) for _ in range(100)]
+    rows += [(s, t) for s in ("prose", "chemistry", "forms") for t in (odd_long, odd_table, stray)]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.reason for r in quality_rules.apply_rules(docs).collect()}
+    verdicts = {(s, n): got[300 + 3 * i + j] for i, s in enumerate(("prose", "chemistry", "forms")) for j, n in enumerate(("long", "table", "stray"))}
+    assert verdicts["prose", "long"] == "word_length" and verdicts["chemistry", "long"] is None
+    assert verdicts["prose", "table"] == verdicts["chemistry", "table"] == "symbol_ratio" and verdicts["forms", "table"] is None
+    assert verdicts["prose", "stray"] is None and sum(got[i] is not None for i in range(300)) <= 3
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

@@ -124,7 +124,7 @@ def test_named_values_count_whole(spark):
 
 def test_texts_of_a_megabyte(spark):
     hostile = {
-        "a@b" + ".c" * 400_000: 1, "z" * 1_000_000: 0, "a." * 500_000 + "@": 0, "a@" * 500_000: 0, "1" * 1_000_000: 1, "1." * 500_000: 0, "+1 " * 300_000: 0, "Mr. A" + "b" * 1_000_000: 1, "Mr. " * 250_000: 0,
+        "a@b" + ".c" * 400_000: 1, "z" * 1_000_000: 0, "a." * 500_000 + "@": 0, "a@" * 500_000: 0, "1" * 1_000_000: 1, "1." * 500_000: 0, "+1 " * 300_000: 0, "Mr. A" + "b" * 1_000_000: 1, "Mr. " * 250_000: None,
         "password=" * 100_000: None, "password: " + "x" * 1_000_000: 0, "password: '" + "x" * 1_000_000: 1, "0a" * 500_000: 1, "4111 " * 200_000: None, "AKIA" * 250_000: 1, "sk-" * 300_000: 0, "1-" * 400_000: 0, "(" * 500_000: 0, "é@" * 400_000: 0,
     }
     got = replaced(spark, list(hostile))
