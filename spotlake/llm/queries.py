@@ -95,7 +95,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_count": op10_token_count,
 }
 
+_CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|)"
+#: Lengths of a turn's parts, its place and tokens, then stretches of half the room, long last turns apart, and what windows repeat.
 ORACLES: dict[str, str] = {
+    "op6_chat": rf"""
+        WITH c AS (
+          SELECT coalesce('=' || CAST(conv_id AS VARCHAR), '') AS conv, conv_id, coalesce(CAST(turn AS BIGINT), -4611686018427387904) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT '=-7', -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT '=-7', -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        t AS (
+          SELECT *, len(regexp_extract_all(text, '\p{{L}}{{1,6}}|[^ \t\n\x0B\f\r\p{{L}}]')) + 4 AS tokens,
+            length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g')) + length(regexp_replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '{_CONTROL}', '\1\\\2\3', 'g')) + 9 AS size
+          FROM c),
+        p AS (
+          SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(tokens) OVER (PARTITION BY conv ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix
+          FROM t WINDOW w AS (PARTITION BY conv ORDER BY turn, role, text)),
+        s AS (SELECT conv, tokens AS st, size AS system_size FROM p WHERE place = 0 AND role = 'system'),
+        r AS (SELECT p.*, st, system_size, CASE WHEN coalesce(st, 0) <= 512 THEN 1024 - coalesce(st, 0) ELSE 1024 END AS room FROM p LEFT JOIN s USING (conv)),
+        b AS (SELECT *, CAST(floor(prefix / floor(room / 2)) AS BIGINT) AS stretch FROM r),
+        o AS (SELECT *, sum(tokens) OVER (PARTITION BY conv, stretch) > CASE WHEN stretch = 0 THEN 1024 ELSE room END AND place = max(place) OVER (PARTITION BY conv, stretch) AS apart FROM b),
+        x AS (SELECT *, stretch * 2 + CASE WHEN apart THEN 1 ELSE 0 END AS win FROM o),
+        v AS (SELECT conv, win, min(place) AS first, sum(tokens) AS own, max(st) AS st, max(system_size) AS system_size FROM x GROUP BY conv, win),
+        l AS (SELECT *, coalesce(win > 0 AND (own + st <= 1024 OR own > 1024), false) AS led FROM v),
+        h AS (
+          SELECT l.conv, l.win, x.size, sum(x.tokens) OVER (PARTITION BY l.conv, l.win ORDER BY k.h) AS run, 1024 - own - CASE WHEN led THEN l.st ELSE 0 END AS left_over
+          FROM l, (VALUES (1), (2)) AS k(h), x WHERE x.conv = l.conv AND x.place = l.first - k.h AND l.win > 0 AND l.first - k.h >= CASE WHEN led THEN 1 ELSE 0 END),
+        n AS (SELECT conv, sum(size) AS size FROM (SELECT conv, size FROM x UNION ALL SELECT conv, size FROM h WHERE run <= left_over UNION ALL SELECT conv, system_size FROM l WHERE led) GROUP BY conv),
+        g AS (
+          SELECT conv, any_value(conv_id) AS conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS whole,
+            coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM p GROUP BY conv)
+        SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM g JOIN n USING (conv)""",
     "op8_topk": """
         WITH usable AS MATERIALIZED (
           SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

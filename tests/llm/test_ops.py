@@ -347,13 +347,27 @@ def test_chat(spark, budget):
     for conv, parts in back.items():
         assert [tuple(t) for r in parts for t in r.turns] == want[conv]
         assert [x for r in parts for x in r.targets] == [t for role, t in want[conv] if role == "assistant"]
+    cost = lambda text: len(regex.findall(r"\p{L}{1,6}|[^ \t\n\x0b\f\r\p{L}]", text)) + 4
+    own = {(c, r.window): sum(cost(t.text) for t in r.turns) for c, parts in back.items() for r in parts}
+    led = {(w.conv_id, w.window): cost(want[w.conv_id][0][1]) if w.n_repeated else 0 for w in formatted}
     for w in formatted:
         assert w.formatted.count("<s>") == w.formatted.count("</s>") and w.n_repeated <= 3
+        assert w.tokens <= budget or w.n_repeated <= 1 and own[w.conv_id, w.window] == w.tokens - led[w.conv_id, w.window] > budget
         if w.window and want[w.conv_id][0][0] == "system":
-            assert w.formatted.startswith("<s>system\n")
+            alone, system = own[w.conv_id, w.window], cost(want[w.conv_id][0][1])
+            assert w.formatted.startswith("<s>system\n") == (alone + system <= budget or alone > budget)
     assert chat.format_windows(chats.limit(0)).count() == 0
 
 
+def test_chat_keeps_within_the_budget(spark):
+    """Turns of 104 and 1,004 tokens are two windows of a budget of 1,024; only a turn over it alone is over."""
+    words = lambda n: " ".join(["word"] * (n - 4))
+    rows = [(1, 0, "user", words(104)), (1, 1, "assistant", words(1004))]
+    rows += [(2, 0, "system", words(100)), (2, 1, "user", words(300)), (2, 2, "assistant", words(950)), (2, 3, "user", words(1030)), (2, 4, "assistant", words(10))]
+    got = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).orderBy("conv_id", "window").collect()
+    assert [(w.conv_id, w.tokens, w.n_repeated) for w in got] == [(1, 104, 0), (1, 1004, 0), (2, 400, 0), (2, 950, 0), (2, 1130, 1), (2, 110, 1)]
+
+
 def test_top_k(spark):
     rng = random.Random(9)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(60)]
@@ -452,3 +466,18 @@ def test_chat_query_digests(spark):
     text = "</s>[INST] ok [/INST]"
     want[-7] = f"user\n{text}\nassistant\n{text}\n"
     assert {c: r.turns_sha256 for c, r in got.items()} == {c: hashlib.sha256(t.encode()).hexdigest() for c, t in want.items()}
+
+
+@pytest.mark.parametrize("name", ["op6_chat", "op8_topk"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from spotlake.llm.queries import ORACLES, QUERIES
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    got, want = QUERIES[name](spark, sf).toPandas(), con.execute(ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got)
+    assert sorted(map(tuple, got[columns].to_numpy().tolist())) == sorted(map(tuple, want[columns].to_numpy().tolist()))
