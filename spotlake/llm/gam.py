@@ -74,7 +74,7 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame, text_col: str = "text", out_col: str = "features") -> DataFrame:
+def with_features(docs: DataFrame, text_col: str = "text", out_col: str = "__features") -> DataFrame:
     """docs without the text, with out_col (array<double>)."""
     kept = [c for c in docs.columns if c not in (text_col, out_col)]
 
@@ -193,13 +193,14 @@ def label_sample(labels: DataFrame, id_col: str, label_col: str, most_rows: int)
     """(__id, __label) of about most_rows labelled ids: those whose hash lies below a bound that the number of labels sets. All, if fewer."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__label"))
     one = cut(one)
-    n, parts = one.count(), 1 << 20
-    return one if n <= most_rows else one.where(F.pmod(F.xxhash64("__id"), F.lit(parts)) < parts * most_rows // n)
+    n, parts = one.count(), 1 << 40
+    return one if n <= most_rows else one.where(F.pmod(F.xxhash64("__id"), F.lit(parts)) < max(1, parts * most_rows // n))
 
 
 def training_rows(features: DataFrame, sample: DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the sample, in the order of id and label, on the driver."""
-    rows = features.join(F.broadcast(sample), features[id_col] == sample["__id"]).select("__id", "features", "__label").toPandas()  # about most_rows
+    met = features.select(F.col(f"`{id_col}`").alias("__doc"), F.col("__features").alias("features")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
+    rows = met.groupBy("__id").agg(F.min("features").alias("features"), F.max("__label").alias("__label")).toPandas()  # a row for each of about most_rows ids, however often one is repeated
     if rows.empty:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     x, y = np.stack(rows["features"].to_numpy()), rows["__label"].to_numpy(float)
@@ -211,7 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     """docs without the text, with score (double) and predicted (int: 1 if score >= least). labels: the rows to learn from."""
     features = cut(with_features(docs, text_col))
     model = fit(*training_rows(features, label_sample(labels, id_col, label_col, most_rows), id_col))
-    kept = [c for c in features.columns if c not in ("features", "score", "predicted")]
+    kept = [c for c in features.columns if c not in ("__features", "score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +223,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
 
     cols = [F.col(f"`{c}`") for c in kept]
     schema = features.select(*cols).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return features.select(*cols, "features").mapInArrow(run, schema)
+    return features.select(*cols, "__features").mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", least: float = 0.3, most_rows: int = 20_000) -> DataFrame:

@@ -1,9 +1,10 @@
 r"""Operator 4: license scans by ordered signature rules, in DataFrame functions only.
 
 Words are runs of letters, digits and non-ASCII characters after A-Z are lower-cased; a text is matched as its words between
-single blanks. Rules are regexes over that form. A keyword prefilter goes first: a text without any keyword is not
-normalised, and a rule is tried only on texts that hold its own keyword. The prefilter is made of the keywords of all rules. Detections are word intervals; one that lies within
-another of higher priority (or of the same priority, if longer or of an earlier rule) is suppressed.
+single blanks. Rules are regexes over that form, each a literal of its own, so that a task compiles it once. A keyword prefilter goes
+first: a text without any keyword is not kept for the rules, and a rule is tried only on texts that hold its own keyword. The prefilter is
+made of the keywords of all rules; plain searches for their first words spare most texts its regex. Detections are word intervals; one
+that lies within another of higher priority (or of the same priority, if longer or of an earlier rule) is suppressed.
 
 Base phrases are rules too, but their places are reported as they are, suppressed or not.
 
@@ -13,6 +14,7 @@ are kept, those named as the outputs are replaced. An empty table gives an empty
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spotlake.llm.common import cut
 
-#: Characters of a word before A-Z are lower-cased, and what stands between words.
+#: Characters of a word, and what stands between words once A-Z are lower-cased.
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -131,19 +133,47 @@ RULES = signature_rules()
 PREFILTER = rf"(?<!{ANY_WORD[:-1]})(?:{'|'.join(sorted({r.keyword for r in RULES}))}){VERSION}(?!{ANY_WORD[:-1]})".replace(" ", BETWEEN)
 
 
+def heads(keyword: str) -> list[str]:
+    """What each alternative of a keyword starts with, as plain words; a text with the keyword holds one of them after a blank."""
+    return [re.match("[a-z0-9]+(?: [a-z]+)*", part).group() for part in keyword.removeprefix(f"(?:{BEFORE}) ").split("|")]
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def normalised(text: Column) -> Column:
     """' word word ... word ' with A-Z lower-cased; ' ' for a text without words."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(lowered(text), BETWEEN, " "), F.lit(" ")), " +", " ")
+    return F.regexp_replace(F.concat(F.lit(" "), lowered(text), F.lit(" ")), BETWEEN, " ")
+
+
+def _holds(norm: Column, words: list[str]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | F.contains(norm, F.lit(f" {word}"))
+    return found
+
+
+def may_match(norm: Column) -> Column:
+    """Whether a normalised text holds the keyword of any rule."""
+    return _holds(norm, sorted({h for r in RULES for h in heads(r.keyword)})) & F.rlike(norm, F.lit(PREFILTER))
+
+
+def _tried(norm: Column) -> Column:
+    """Numbers of the rules whose keyword a normalised text holds."""
+    by_keyword: dict[str, list[int]] = {}
+    for r in RULES:
+        by_keyword.setdefault(r.keyword, []).append(r.number)
+    none = F.array().cast("array<int>")
+    return F.concat(*[F.when(_holds(norm, heads(k)) & F.rlike(norm, F.lit(f" (?:{k}){VERSION} ")), F.array(*map(F.lit, numbers))).otherwise(none) for k, numbers in by_keyword.items()])
 
 
-def _rule_table() -> Column:
-    kinds = "struct<number:int,label:string,keyword:string,pattern:string,priority:int,confidence:double,base:boolean>"
-    rows = [F.struct(F.lit(r.number).alias("number"), F.lit(r.label).alias("label"), F.lit(f" (?:{r.keyword}){VERSION} ").alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")).cast(kinds) for r in RULES]
-    return F.array(*rows)
+def _of_rule(value) -> Column:
+    """value(rule) of the rule that column `rule` numbers."""
+    number, out = F.col("rule"), F
+    for r in RULES:
+        out = out.when(number == r.number, value(r))
+    return out
 
 
 def _blanks(s: Column) -> Column:
@@ -152,11 +182,10 @@ def _blanks(s: Column) -> Column:
 
 def detections(texts: DataFrame) -> DataFrame:
     """(uid, norm) -> uid, label, priority, confidence, base, rule, start and stop (words, stop exclusive), kept (not suppressed)."""
-    tried = texts.select("uid", "norm", F.explode(F.filter(_rule_table(), lambda r: F.rlike("norm", r["keyword"]))).alias("r"))
-    found = tried.select("uid", "r", F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)).alias("hits"), "norm").where(F.size("hits") > 0)
-    gaps = F.transform(F.split("norm", F.col("r.pattern"), -1), _blanks)
-    widths = F.transform("hits", _blanks)
-    found = found.select("uid", "r", gaps.alias("gaps"), widths.alias("widths"))
+    tried = texts.select("uid", "norm", F.explode(_tried(F.col("norm"))).alias("rule"))
+    hits = tried.withColumn("hits", _of_rule(lambda r: F.regexp_extract_all("norm", F.lit(r.pattern), F.lit(0)))).where(F.size("hits") > 0)
+    gaps = F.transform(_of_rule(lambda r: F.split("norm", r.pattern, -1)), _blanks)
+    found = hits.select("uid", "rule", gaps.alias("gaps"), F.transform("hits", _blanks).alias("widths"))
     # words before hit i: the blanks before it, which are those of gaps 0..i and of hits 0..i-1
     places = F.aggregate(
         F.sequence(F.lit(0), F.size("widths") - 1),
@@ -167,7 +196,9 @@ def detections(texts: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["out"],
     )
-    spans = found.select("uid", "r.*", F.explode(places).alias("p")).select("uid", F.col("number").alias("rule"), "label", "priority", "confidence", "base", "p.start", "p.stop")
+    told = F.struct(F.lit("").alias("label"), F.lit(0).alias("priority"), F.lit(0.0).alias("confidence"), F.lit(False).alias("base"))
+    about = F.coalesce(F.get(F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")) for r in RULES]), F.col("rule")), told)
+    spans = found.select("uid", "rule", about.alias("about"), F.explode(places).alias("p")).select("uid", "rule", "about.*", "p.start", "p.stop")
     earlier = Window.partitionBy("uid").orderBy("start", F.desc("stop"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.lit(False)
     for level in sorted({r.priority for r in RULES}):
@@ -181,10 +212,11 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     outputs = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = [c for c in docs.columns if c not in (text_col, *outputs)]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    spaced = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in kept], normalised(text).alias("norm"))
     # the rest of the plan reads this twice, so it is written once; only texts past the prefilter are in it
-    norm = F.when(lowered(text).rlike(PREFILTER), normalised(text))
-    n_words = F.regexp_count(text, F.lit(ANY_WORD)).cast("long")
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("uid"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in kept], n_words.alias("n_words"), norm.alias("norm")))
+    norm = F.when(may_match(F.col("norm")), F.col("norm"))
+    n_words = (_blanks(F.col("norm")) - 1).cast("long")
+    rows = cut(spaced.select(F.monotonically_increasing_id().alias("uid"), *[F.col(f"`k_{c}`") for c in kept], n_words.alias("n_words"), norm.alias("norm")))
     found = detections(rows.where(F.col("norm").isNotNull()).select("uid", "norm"))
     base, own = F.col("base"), F.col("kept") | F.col("base")
     summed = found.groupBy("uid").agg(

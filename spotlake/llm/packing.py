@@ -5,6 +5,9 @@ most window - 1 rows, so the driver can hold it whatever the corpus. Over it, sh
 that fill the window exactly are enumerated, their repeat counts solved by non-negative least squares, and rounded to what
 the histogram can supply. Combinations fill sequences without padding and without cutting a remainder.
 
+The solver works on the histogram alone, so its limits are the same at every size: ROUNDS rounds that each move at most A_ROUND
+combinations, of which the MOST with the largest counts are used. Whatever they leave goes to the residual stream; no id is lost by them.
+
 Residual remainders are packed greedily: laid end to end in a fixed order and cut where a window is full. What is left at
 the very end is cut into powers of two, the lengths at which a sequence needs no padding. So no sequence is padded.
 
