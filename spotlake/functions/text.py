@@ -40,10 +40,10 @@ def common_prefix_length(a: Column, b: Column) -> Column:
 
 
 def variant_relation(a: Column, b: Column) -> Column:
-    """contains, if one holds the other; similar, at a shared prefix of 3 and an edit distance of 2; else null."""
+    """contains, if one holds the other; similar, at a shared prefix of 3 and an edit distance of 2; else null, as for equal strings."""
     related = F.contains(a, b) | F.contains(b, a)
     close = (F.substring(a, 1, 3) == F.substring(b, 1, 3)) & (F.length(a) >= 3) & (F.length(b) >= 3) & (F.levenshtein(a, b) <= 2)
-    return F.when(related, "contains").when(close, "similar")
+    return F.when(a == b, F.lit(None).cast("string")).when(related, "contains").when(close, "similar")
 
 
 def character_error_rate(expected: Column, decoded: Column) -> Column:

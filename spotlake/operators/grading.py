@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spotlake.functions.numeric import BANDS, band_rank
+from spotlake.functions.text import normal_spotter
 from spotlake.operators.aggregates import modal_nearest
 from spotlake.operators.joins import band_join, containment_join
 from spotlake.operators.temporal import merge_intervals
@@ -25,31 +27,42 @@ def coverage(reports: DataFrame, at: str, join_gap: float, width: float, archive
     return merge_intervals(local.select(F.lit(0).alias("all"), "start", "stop"), ["all"], "start", "stop", join_gap).select("start", "stop")
 
 
-def grade_spots(spots: DataFrame, reports: DataFrame, window: int, freq_tol: float, speed_tol: float, speed_share: float, freq_step: float, join_gap: int) -> DataFrame:
+def folded(call: Column) -> Column:
+    """A call as it is compared: without blanks around it, in upper case."""
+    return F.upper(F.trim(call.cast("string")))
+
+
+def grade_spots(
+    spots: DataFrame, reports: DataFrame, window: int, freq_tol: float, speed_tol: float, speed_share: float, freq_step: float, join_gap: int, spotters: tuple[str, ...] = (), excluded: tuple[str, ...] = (), bands: tuple = BANDS
+) -> DataFrame:
     """A grade per spot.
 
-    spots: spot_id, call, t, freq, wpm, band. reports: r_id, call, r_t, r_freq, r_wpm, r_band, archive. Windows are inclusive. A spot
-    matches reports of its call in the window on its band (or within freq_tol where it is in no band); it disagrees if the
-    modal frequency is over freq_tol away, or the median speed over max(speed_tol, speed_share of the median). Without
-    such reports it is elsewhere if another band has one, none if the window is covered, else unknown.
+    spots: spot_id, call, t, freq, wpm, band. reports: r_id, call, r_t, r_freq, r_wpm, r_band, archive, spotter. Windows are inclusive. Only
+    reports of `spotters` count (all, if none is named), and none of `excluded`. A spot matches reports of its call in the window on its
+    band (or within freq_tol where it is in no band); it disagrees if it is over freq_tol from their modal frequency, or over
+    max(speed_tol, speed_share of the median) from their median speed. Without such reports it is elsewhere if another band has one,
+    none if the window is covered, else unknown. freq_offset is the spot's frequency less the modal one; bands lists all bands with reports.
     """
-    pairs = band_join(spots, reports, ["call"], "t", "r_t", window)
+    kept = spotter_kept(F.col("spotter"), spotters, excluded)
+    near = band_join(spots.withColumn("__call", folded(F.col("call"))), reports.where(kept).withColumn("__call", folded(F.col("call"))).drop("call"), ["__call"], "t", "r_t", window)
     same = F.when(F.col("band") == NO_BAND, F.abs(F.col("freq") - F.col("r_freq")) <= freq_tol).otherwise(F.col("band") == F.col("r_band"))
-    pairs = pairs.withColumn("same", same)
+    pairs = near.withColumn("same", same)
+    ranked = F.array_sort(F.collect_set(F.struct(band_rank(F.col("r_band"), bands).alias("rank"), F.col("r_band").alias("b"))))
     summed = pairs.groupBy("spot_id").agg(
         F.count_if("same").alias("reports"),
+        F.countDistinct(F.when(F.col("same"), normal_spotter(F.col("spotter")))).alias("skimmers"),
         F.median(F.when(F.col("same"), F.col("r_wpm"))).alias("median_wpm"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("same"), F.col("r_band")))), ",").alias("bands"),
+        F.array_join(ranked["b"], ",").alias("bands"),
     )
     step = F.round(F.col("r_freq") / freq_step) * freq_step
     modal = modal_nearest(pairs.where("same"), ["spot_id"], step, F.col("freq"), "modal_freq")
     covered = _covered(spots, coverage(reports, "r_t", join_gap, 64.0 * window), window)
     graded = spots.join(summed, "spot_id", "left").join(modal, "spot_id", "left").join(covered, "spot_id", "left")
-    offset = F.col("modal_freq") - F.col("freq")
+    offset = F.col("freq") - F.col("modal_freq")
     off_freq = F.abs(offset) > freq_tol
     off_speed = F.abs(F.col("wpm") - F.col("median_wpm")) > F.greatest(F.lit(float(speed_tol)), F.col("median_wpm") * speed_share)
     found = F.coalesce(F.col("reports"), F.lit(0)) > 0
-    grade = F.when(found & (off_freq | off_speed), "disagree").when(found, "match").when(F.col("covered").isNull(), "unknown").when(F.col("bands") != "", "elsewhere").otherwise("none")
+    grade = F.when(found & F.coalesce(off_freq | off_speed, F.lit(False)), "disagree").when(found, "match").when(F.col("covered").isNull(), "unknown").when(F.col("bands") != "", "elsewhere").otherwise("none")
     disagreements = F.concat_ws(",", F.when(off_freq, "frequency"), F.when(off_speed, "speed"))
     return graded.select(
         "spot_id",
@@ -57,6 +70,7 @@ def grade_spots(spots: DataFrame, reports: DataFrame, window: int, freq_tol: flo
         "band",
         grade.alias("grade"),
         F.coalesce("reports", F.lit(0)).cast("long").alias("reports"),
+        F.coalesce("skimmers", F.lit(0)).cast("long").alias("skimmers"),
         "modal_freq",
         "median_wpm",
         F.round(offset, 6).alias("freq_offset"),
@@ -65,6 +79,14 @@ def grade_spots(spots: DataFrame, reports: DataFrame, window: int, freq_tol: flo
     )
 
 
+def spotter_kept(spotter: Column, spotters: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> Column:
+    """Whether a spotter is among `spotters` (any, if none is named) and not among `excluded`, names compared in their normal form."""
+    normal = lambda names: [n.strip().upper().removesuffix("-#") for n in names]
+    who = F.coalesce(normal_spotter(spotter), F.lit(""))
+    kept = ~who.isin(*normal(excluded)) if excluded else F.lit(True)
+    return kept & who.isin(*normal(spotters)) if spotters else kept
+
+
 def _covered(spots: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """spot_id, covered (true) of spots whose whole window lies in a span."""
     inside = containment_join(spots.select("spot_id", "t"), spans, "t", "start", "stop", 64.0 * window)

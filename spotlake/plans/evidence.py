@@ -126,10 +126,9 @@ def sender_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.round(F.stddev_pop("value").over(w), 6).alias("deviation"), F.count("*").over(w).alias("n"))
 
 
-@query("""WITH a AS (SELECT doc_id, quality FROM labels), b AS (SELECT doc_id, n_chars > 1000 AS long FROM documents), f AS (SELECT doc_id, toxic FROM labels WHERE doc_id % 2 = 0)
+@query("""WITH a AS (SELECT doc_id, quality FROM labels), b AS (SELECT doc_id, n_chars > 1000 AS long FROM documents), f AS (SELECT doc_id, toxic FROM labels)
   SELECT count(*) FILTER (f.toxic = 1 AND quality = 0) AS gains, count(*) FILTER (f.toxic = 0 AND quality = 1) AS losses, count(*) FILTER (long) AS held, count(*) AS n FROM a JOIN b USING (doc_id) JOIN f USING (doc_id)""")
 def triple_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all labels; the SQL still has the even documents only."""
     labels = table(spark, sf_dir, "labels")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 1000).alias("long"))
     three = labels.select("doc_id", "quality").join(docs, "doc_id").join(labels.select("doc_id", "toxic"), "doc_id")

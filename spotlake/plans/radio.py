@@ -33,12 +33,11 @@ def decimated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return halved.select("input", "start_ts", F.round(F.aggregate("re", F.lit(0.0), lambda a, x: a + x * x), 9).alias("energy"))
 
 
-_CLEAN = "trim(regexp_replace(regexp_replace(upper(regexp_replace(substr(text, 1, 200), '[^ -~]', ' ', 'g')), '[^A-Z0-9/?.,= ]', '', 'g'), ' +', ' ', 'g'))"
+_CLEAN = "trim(regexp_replace(regexp_replace(upper(regexp_replace(text, '[^ -~]', ' ', 'g')), '[^A-Z0-9/?.,= ]', '', 'g'), ' +', ' ', 'g'))"
 
 
 @query(f"SELECT item_id AS track, {_CLEAN} AS text FROM benchmark WHERE {_CLEAN} <> ''")
 def morse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts; the SQL still has 200 characters."""
     texts = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", " ").alias("text"), (60.0 / (F.col("item_id") % 5 + 1)).alias("dit"))
     return morse.decode_runs(morse.keyed_runs(texts, "item_id", "text", F.col("dit")))
 

@@ -19,24 +19,24 @@ def _spots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = events(spark, sf_dir).withColumn("band", numeric.band_of(F.col("value"), BANDS))
     spots = e.where("event_type = 'purchase'").select(F.col("event_id").alias("spot_id"), F.col("user_id").alias("call"), "t", F.col("value").alias("freq"), F.col("k").alias("wpm"), "band")
     reports = e.where("event_type <> 'purchase'").select(
-        F.col("event_id").alias("r_id"), F.col("user_id").alias("call"), F.col("t").alias("r_t"), F.col("value").alias("r_freq"), F.col("k").alias("r_wpm"), F.col("band").alias("r_band"), F.col("event_type").alias("archive")
+        F.col("event_id").alias("r_id"), F.col("user_id").alias("call"), F.col("t").alias("r_t"), F.col("value").alias("r_freq"), F.col("k").alias("r_wpm"), F.col("band").alias("r_band"), F.col("event_type").alias("archive"), F.col("event_type").alias("spotter")
     )
     return spots, reports
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots, reports = _spots(spark, sf_dir)
-    return grading.grade_spots(spots, reports, _WINDOW, _TOL, 3, 0.2, _STEP, _GAP)
+    return grading.grade_spots(spots, reports, _WINDOW, _TOL, 3, 0.2, _STEP, _GAP, excluded=("Error-#",), bands=BANDS)
 
 
 _GRADED = f"""
   {EVENTS},
   s AS (SELECT event_id AS spot_id, user_id AS call, t, value AS freq, k AS wpm, {_BAND} AS band FROM ev WHERE event_type = 'purchase'),
   r AS (SELECT event_id AS r_id, user_id AS call, t AS r_t, value AS r_freq, k AS r_wpm, {_BAND} AS r_band, event_type AS archive FROM ev WHERE event_type <> 'purchase'),
-  p AS (SELECT s.*, r.r_freq, r.r_wpm, r.r_band, CASE WHEN s.band = 'unknown' THEN abs(s.freq - r.r_freq) <= {_TOL} ELSE s.band = r.r_band END AS same
-        FROM s JOIN r ON s.call = r.call AND r.r_t BETWEEN s.t - {_WINDOW} AND s.t + {_WINDOW}),
-  agg AS (SELECT spot_id, count(*) FILTER (same) AS reports, median(r_wpm) FILTER (same) AS median_wpm,
-          coalesce(string_agg(DISTINCT r_band, ',' ORDER BY r_band) FILTER (NOT same), '') AS bands FROM p GROUP BY spot_id),
+  p AS (SELECT s.*, r.r_freq, r.r_wpm, r.r_band, r.archive, CASE WHEN s.band = 'unknown' THEN abs(s.freq - r.r_freq) <= {_TOL} ELSE s.band = r.r_band END AS same
+        FROM s JOIN r ON s.call = r.call AND r.archive <> 'error' AND r.r_t BETWEEN s.t - {_WINDOW} AND s.t + {_WINDOW}),
+  agg AS (SELECT spot_id, count(*) FILTER (same) AS reports, median(r_wpm) FILTER (same) AS median_wpm, count(DISTINCT archive) FILTER (same) AS skimmers,
+          array_to_string(list_transform(list_sort(list(DISTINCT CASE r_band WHEN 'low' THEN '0low' WHEN 'mid' THEN '1mid' WHEN 'high' THEN '2high' ELSE '3unknown' END)), lambda x: x[2:]), ',') AS bands FROM p GROUP BY spot_id),
   cnt AS (SELECT spot_id, round(r_freq / {_STEP}) * {_STEP} AS m, min(freq) AS freq, count(*) AS n FROM p WHERE same GROUP BY 1, 2),
   modal AS (SELECT spot_id, m AS modal_freq FROM (SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY n DESC, abs(m - freq), m) AS rn FROM cnt) WHERE rn = 1),
   per AS (SELECT archive, r_t, CASE WHEN r_t - lag(r_t) OVER (PARTITION BY archive ORDER BY r_t) <= {_GAP} THEN 0 ELSE 1 END AS nw FROM r),
@@ -44,7 +44,7 @@ _GRADED = f"""
   joined AS (SELECT a, b, CASE WHEN a <= max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {_GAP} THEN 0 ELSE 1 END AS nw FROM isl),
   cov AS (SELECT min(a) AS a, max(b) AS b FROM (SELECT *, sum(nw) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM joined) GROUP BY g),
   graded AS (
-    SELECT s.spot_id, s.call, s.band, CAST(coalesce(reports, 0) AS BIGINT) AS reports, modal_freq, median_wpm, round(modal_freq - freq, 6) AS freq_offset, coalesce(bands, '') AS bands,
+    SELECT s.spot_id, s.call, s.band, CAST(coalesce(reports, 0) AS BIGINT) AS reports, modal_freq, median_wpm, CAST(coalesce(skimmers, 0) AS BIGINT) AS skimmers, round(freq - modal_freq, 6) AS freq_offset, coalesce(bands, '') AS bands,
       coalesce(concat_ws(',', CASE WHEN abs(modal_freq - freq) > {_TOL} THEN 'frequency' END, CASE WHEN abs(wpm - median_wpm) > greatest(3.0, median_wpm * 0.2) THEN 'speed' END), '') AS disagreements,
       CASE WHEN coalesce(reports, 0) > 0 AND (abs(modal_freq - freq) > {_TOL} OR abs(wpm - median_wpm) > greatest(3.0, median_wpm * 0.2)) THEN 'disagree'
            WHEN coalesce(reports, 0) > 0 THEN 'match'
@@ -53,7 +53,7 @@ _GRADED = f"""
     FROM s LEFT JOIN agg USING (spot_id) LEFT JOIN modal USING (spot_id))"""
 
 
-@query(f"WITH {_GRADED} SELECT spot_id, call, band, grade, reports, modal_freq, median_wpm, freq_offset, disagreements, bands FROM graded")
+@query(f"WITH {_GRADED} SELECT spot_id, call, band, grade, reports, skimmers, modal_freq, median_wpm, freq_offset, disagreements, bands FROM graded")
 def grade_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graded(spark, sf_dir)
 

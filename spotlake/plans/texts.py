@@ -55,11 +55,12 @@ def pattern_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.join(listed, "pattern", "left").groupBy(tier.alias("tier")).agg(F.count("*").alias("rows")).withColumn("required", T.required_reps(F.col("tier")))
 
 
-@query(f"""WITH w AS (SELECT word FROM {_sql_words('benchmark')} WHERE length(word) >= 3)
+@query(f"""WITH w AS (SELECT word FROM {_sql_words('benchmark')})
   SELECT a.word AS a, b.word AS b, CASE WHEN contains(a.word, b.word) OR contains(b.word, a.word) THEN 'contains' ELSE 'similar' END AS relation
-  FROM w a JOIN w b ON substr(a.word, 1, 3) = substr(b.word, 1, 3) AND a.word < b.word WHERE contains(a.word, b.word) OR contains(b.word, a.word) OR levenshtein(a.word, b.word) <= 2""")
+  FROM w a JOIN w b ON a.word < b.word WHERE contains(a.word, b.word) OR contains(b.word, a.word)
+  OR (length(a.word) >= 3 AND length(b.word) >= 3 AND substr(a.word, 1, 3) = substr(b.word, 1, 3) AND levenshtein(a.word, b.word) <= 2)""")
 def variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar words share a head; a word within another is one of its substrings, whatever the heads. The SQL still seeks both by head."""
+    """Similar words share a head; a word within another is one of its substrings, whatever the heads."""
     words = _words(spark, sf_dir, "benchmark").withColumn("head", F.substring("word", 1, 3))
     pairs = words.select("head", F.col("word").alias("a")).join(words.select("head", F.col("word").alias("b")), "head").where("a < b")
     similar = pairs.select("a", "b", T.variant_relation(F.col("a"), F.col("b")).alias("relation")).where("relation = 'similar'")
@@ -72,11 +73,11 @@ def variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASCII = "[^ -~]"
 
 
-@query(f"""WITH b AS (SELECT item_id, upper(substr(regexp_replace(text, '{_ASCII}', '', 'g'), 1, 60)) AS e FROM benchmark), d AS (SELECT doc_id % 40 AS item_id, upper(substr(regexp_replace(text, '{_ASCII}', '', 'g'), 1, 60)) AS x FROM documents),
+@query(f"""WITH b AS (SELECT item_id, upper(regexp_replace(text, '{_ASCII}', '', 'g')) AS e FROM benchmark), d AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS item_id, upper(regexp_replace(text, '{_ASCII}', '', 'g')) AS x FROM documents),
   n AS (SELECT item_id, trim(regexp_replace(e, '\\s+', ' ', 'g')) AS e, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS x FROM b JOIN d USING (item_id)), r AS (SELECT item_id, levenshtein(e, x) / greatest(length(e), 1) AS rate FROM n)
   SELECT item_id, count(*) AS n, round(avg(rate), 6) AS cer_mean, count(*) FILTER (rate < 0.1) AS good FROM r GROUP BY item_id""")
 def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts; documents are dealt over all items. The SQL still has 40 items and 60 characters."""
+    """Whole texts; documents are dealt over all items."""
     plain = F.regexp_replace("text", _ASCII, "")
     items = table(spark, sf_dir, "benchmark")
     truth = items.select("item_id", plain.alias("expected"))

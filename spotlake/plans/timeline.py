@@ -45,11 +45,10 @@ def held_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.held_for(flagged, ["user_id"], "t", "over", 2 * DAY)
 
 
-@query("""WITH i AS (SELECT o_orderpriority AS k, epoch_us(o_orderdate) AS a, epoch_us(o_orderdate) + 3600000000 * (o_orderkey % 5) AS b FROM orders WHERE o_totalprice > 400000),
+@query("""WITH i AS (SELECT o_orderpriority AS k, epoch_us(o_orderdate) AS a, epoch_us(o_orderdate) + 3600000000 * (o_orderkey % 5) AS b FROM orders),
   j AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM i),
   g AS (SELECT *, sum(nw) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM j) SELECT k, min(a) AS a, max(b) AS b, count(*) AS n FROM g GROUP BY k, isl""")
 def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all orders; the SQL still has the dear ones only."""
     a = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), a.alias("a"), (a + HOUR * (F.col("o_orderkey") % 5)).alias("b"))
     return temporal.merge_intervals(rows, ["k"], "a", "b")

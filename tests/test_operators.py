@@ -64,15 +64,37 @@ def test_grades(spark):
         "spot_id string, call string, t long, freq double, wpm int, band string",
     )
     reports = spark.createDataFrame(
-        [(1, "A", 1100, 14_025_100.0, 26, "20m", "x"), (2, "A", 900, 14_025_100.0, 26, "20m", "x"), (3, "B", 1000, 14_031_000.0, 25, "20m", "x"), (4, "C", 1180, 7_035_000.0, 25, "40m", "x"), *[(10 + i, "Z", 700 + 60 * i, 1.0, 1, "20m", "x") for i in range(12)]],
-        "r_id int, call string, r_t long, r_freq double, r_wpm int, r_band string, archive string",
+        [(1, " a", 1100, 14_025_100.0, 26, "20m", "x", "S1-#"), (2, "A", 900, 14_025_100.0, 26, "20m", "x", "s1"), (3, "B", 1000, 14_031_000.0, 25, "20m", "x", "S2"), (4, "C", 1180, 7_035_000.0, 25, "40m", "x", "S2"), *[(10 + i, "Z", 700 + 60 * i, 1.0, 1, "20m", "x", None) for i in range(12)]],
+        "r_id int, call string, r_t long, r_freq double, r_wpm int, r_band string, archive string, spotter string",
     )
     graded = {r.spot_id: r for r in grading.grade_spots(spots, reports, 180, 500.0, 3, 0.2, 100.0, 60).collect()}
     assert {k: r.grade for k, r in graded.items()} == {"m": "match", "d": "disagree", "e": "elsewhere", "n": "none", "u": "unknown"}
-    assert graded["m"].modal_freq == 14_025_100.0 and graded["m"].freq_offset == 100.0
+    assert graded["m"].modal_freq == 14_025_100.0 and graded["m"].freq_offset == -100.0
+    assert (graded["m"].reports, graded["m"].skimmers, graded["m"].bands) == (2, 1, "20m")
     assert graded["d"].disagreements == "frequency" and graded["e"].bands == "40m"
 
 
+def test_grades_of_a_day(spark):
+    """Four spots of a morning against three archives' reports: a match 100 Hz up, none, a disagreement 1,400 Hz up and 10 WPM off, elsewhere; the median offset is 750 Hz up."""
+    spots = [("7", "W1AW", 1000, 14_025_100.0, 25), ("9", "K5XYZ", 1600, 7_012_300.0, 22), ("12", "W1AW", 2800, 14_026_400.0, 30), ("15", "DL1ABC", 3700, 14_030_000.0, 28)]
+    heard = [("N4RV", 0, 7021.0, 24, "K5TR"), ("W1AW", 1020, 14025.0, 22, "K5TR"), ("W1AW", 1035, 14025.0, 24, "DL8LAS"), ("W1AW", 1050, 14024.9, 25, "W3LPL"), ("K5XYZ", 1630, 7012.3, 22, "W3XYZ-1"),
+             ("W1AW", 2815, 14025.0, 20, "K5TR"), ("W1AW", 2840, 14025.0, 20, "W3LPL"), ("DL1ABC", 3640, 7030.0, 28, "DL8LAS"), ("N4RV", 4600, 7021.0, 24, "K5TR")]
+    s = spark.createDataFrame(spots, "spot_id string, call string, t long, freq double, wpm int").withColumn("band", numeric.band_of(F.col("freq")))
+    r = spark.createDataFrame([(i, c, t, khz * 1000, w, "day", who) for i, (c, t, khz, w, who) in enumerate(heard)], "r_id int, call string, r_t long, r_freq double, r_wpm int, archive string, spotter string").withColumn("r_band", numeric.band_of(F.col("r_freq")))
+    grades = grading.grade_spots(s, r, 180, 500.0, 3, 0.2, 100.0, 5000, excluded=("w3xyz-1", "W3XYZ"))
+    got = {g.spot_id: (g.grade, g.reports, g.skimmers, g.modal_freq, g.median_wpm, g.freq_offset, g.disagreements, g.bands) for g in grades.collect()}
+    assert got == {
+        "7": ("match", 3, 3, 14_025_000.0, 24.0, 100.0, "", "20m"),
+        "9": ("none", 0, 0, None, None, None, "", ""),
+        "12": ("disagree", 2, 2, 14_025_000.0, 20.0, 1400.0, "frequency,speed", "20m"),
+        "15": ("elsewhere", 0, 0, None, None, None, "", "40m"),
+    }
+    table = {g.band: (g.spots, g.n_match, g.n_disagree, g.n_elsewhere, g.n_none, g.median_offset) for g in grading.by_band(grades).collect()}
+    assert table == {"20m": (3, 1, 1, 1, 0, 750.0), "40m": (1, 0, 0, 0, 1, None), None: (4, 1, 1, 1, 1, 750.0)}
+    only = grading.grade_spots(s, r, 180, 500.0, 3, 0.2, 100.0, 5000, spotters=("k5tr-#",)).collect()
+    assert {g.spot_id: (g.grade, g.reports) for g in only} == {"7": ("match", 1), "9": ("none", 0), "12": ("disagree", 1), "15": ("none", 0)}
+
+
 def _naive_respots(data, window, bucket, near, gain):
     state, out = {}, []
     for i, t, f, snr, kind, source in data:
