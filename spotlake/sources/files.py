@@ -1,7 +1,7 @@
 """Readers of spot archives, daily reports, cluster lines, reference lists, node ledgers and sample files.
 
-Malformed lines are kept apart and counted, never silently dropped: each reader of text returns good rows, and bad_lines() of the
-same input the others.
+Malformed lines are kept apart, never silently dropped: each reader of text returns the good rows and its bad_* counterpart the others,
+by the negation of the same condition.
 """
 
 from __future__ import annotations
@@ -40,14 +40,27 @@ def bad_spot_lines(spark: SparkSession, path: str | list[str]) -> int:
 
 def read_reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Reports of daily CSV files, columns found by their header: spotter, call, freq_hz, snr, wpm, time (Unix seconds), mode, archive."""
+    rows = _report_lines(spark, path)
+    return rows.where(_report_is_good()).drop("value")
+
+
+def bad_reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of daily CSV files that are no report: archive, value (the fields, comma-joined)."""
+    return _report_lines(spark, path).where(~_report_is_good()).select("archive", "value")
+
+
+def _report_is_good():
+    return F.coalesce((F.col("call") != "") & F.col("freq_hz").isNotNull() & F.col("time").isNotNull(), F.lit(False))
+
+
+def _report_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = spark.read.option("header", True).csv(path)
     when = F.unix_timestamp(F.try_to_timestamp("date", F.lit("yyyy-MM-dd HH:mm:ss")))
     number = lambda c: F.expr(f"try_cast({c} AS DOUBLE)")
-    out = rows.select(
+    return rows.select(
         F.regexp_replace(F.upper(F.trim("callsign")), "-#$", "").alias("spotter"), F.upper(F.trim("dx")).alias("call"), (number("freq") * 1000).alias("freq_hz"), number("db").alias("snr"), number("speed").alias("wpm"),
-        when.alias("time"), "mode", F.input_file_name().alias("archive"),
+        when.alias("time"), "mode", F.input_file_name().alias("archive"), F.concat_ws(",", *[F.col(f"`{c}`") for c in rows.columns]).alias("value"),
     )
-    return out.where("call <> '' AND freq_hz IS NOT NULL AND time IS NOT NULL")
 
 
 #: spotter, kHz, call, mode, dB, WPM, type, HHMM of a cluster line.
@@ -62,15 +75,29 @@ def parse_dx_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return found.select("*", part(1).alias("when"), part(2).alias("spotter"), part(3).cast("double").alias("khz"), part(4).alias("call"), part(5).alias("mode"), part(6).cast("int").alias("snr"), wpm.alias("wpm"), part(8).alias("kind"), part(9).alias("hhmm"))
 
 
+def bad_dx_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The rows that parse_dx_lines() leaves out."""
+    return lines.where(~F.coalesce(F.col(column).rlike(DX_LINE), F.lit(False)))
+
+
 def read_list(spark: SparkSession, path: str, comment: str = r"^\s*(?:#|!!)") -> DataFrame:
     """The entries of a list file, one a line, in upper case, without comments and blanks."""
     return spark.read.text(path).select(F.upper(F.trim("value")).alias("entry")).where(~F.col("entry").rlike(comment) & (F.col("entry") != "")).distinct()
 
 
+#: A line of a range file.
+RANGE = r"^\s*[0-9.]+-[0-9.]+\s*$"
+
+
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     """Frequency ranges `low-high` in Hz, one a line."""
     parts = F.split(F.trim("value"), "-")
-    return spark.read.text(path).where(F.col("value").rlike(r"^\s*[0-9.]+-[0-9.]+\s*$")).select(F.get(parts, F.lit(0)).cast("double").alias("low"), F.get(parts, F.lit(1)).cast("double").alias("high"))
+    return spark.read.text(path).where(F.col("value").rlike(RANGE)).select(F.get(parts, F.lit(0)).cast("double").alias("low"), F.get(parts, F.lit(1)).cast("double").alias("high"))
+
+
+def bad_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a range file that are neither a range, a comment nor blank: value."""
+    return spark.read.text(path).where(~F.col("value").rlike(RANGE) & ~F.col("value").rlike(r"^\s*(?:#.*)?$"))
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:

@@ -100,11 +100,11 @@ def _naive_respots(data, window, bucket, near, gain):
     for i, t, f, snr, kind, source in data:
         b = round(f / bucket)
         beside = b + (1 if f / bucket > b else -1)
-        seen = [state[x] for x in (b, beside) if x in state and t - state[x][0] < window and (x == b or abs(state[x][1] - f) < near)]
+        seen = [state[x] for x in (beside, b) if x in state and t - state[x][0] < window and (x == b or abs(state[x][1] - f) < near)]
         if any(e[4] != source for e in seen):
             out.append((i, "other_input"))
             continue
-        last = max(seen, default=None)
+        last = sorted(seen, key=lambda e: e[0])[-1] if seen else None  # of two as new the own bucket's, which stands last
         if last and snr - last[2] < gain and kind == last[3]:
             out.append((i, "duplicate"))
             continue
@@ -130,6 +130,24 @@ def test_gates(spark):
     assert rows(gates.greedy_gate(df, ["call"], "t", "id", 100).select("id", "admitted")) == sorted(want, key=repr)
 
 
+def test_respot_ties_go_to_the_own_bucket(spark):
+    """Two spots of one time on either side of a bucket's edge: the next is judged by the one in its own bucket, here of its own kind."""
+    data = [("K1A", 1, 100, 149.0, 10.0, "cq", 0), ("K1A", 2, 100, 151.0, 20.0, "de", 0), ("K1A", 3, 160, 149.0, 11.0, "cq", 0), ("K1A", 4, 160, 151.0, 21.0, "de", 0)]
+    df = spark.createDataFrame(data, "call string, id int, t long, f double, snr double, kind string, source int")
+    assert rows(gates.respot_dedupe(df, "call", "t", "id", "f", "snr", "kind", "source", 600).select("id", "outcome")) == [(1, "new"), (2, "changed"), (3, "duplicate"), (4, "duplicate")]
+
+
+def test_gates_carry_state_over_batches(spark):
+    """A key without a silence, longer than an Arrow batch, beside lone rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        data = [("hot", i, i * 7) for i in range(500)] + [("lone", 1000 + i, i * 5000) for i in range(20)]
+        got = rows(gates.greedy_gate(spark.createDataFrame(data, "k string, id int, t long"), ["k"], "t", "id", 100).select("id", "admitted"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([(i, i % 15 == 0) for i in range(500)] + [(1000 + i, True) for i in range(20)], key=repr)
+
+
 def test_streaming_gate_equals_batch(spark, tmp_path):
     from spotlake.streaming import gates as streamed
 
@@ -270,12 +288,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "r.csv").write_text("callsign,freq,dx,mode,db,date,speed\nw1aw-#,14025.1,k1abc,CW,20,2026-10-11 00:00:10,25\nbad,row,x,CW,1,never,\n")
     report = files.read_reports(spark, str(tmp_path / "r.csv")).collect()
     assert [(r.spotter, r.call, round(r.freq_hz), r.time) for r in report] == [("W1AW", "K1ABC", 14025100, 1791676810)]
+    assert [r.value for r in files.bad_reports(spark, str(tmp_path / "r.csv")).collect()] == ["bad,row,x,CW,1,never"]
     spot = spark.createDataFrame([("K1ABC", 14025100.0, 10.0, 25.0, "cq", "CW", 1_791_676_810)], "callsign string, freq_hz double, snr_db double, wpm double, spot_type string, mode string, time long")
     line = sinks.cluster_lines(spot, "W1AW").collect()[0].line
     parsed = files.parse_dx_lines(spark.createDataFrame([(line,), ("hello",)], "value string")).collect()
     assert [(p.spotter, p.khz, p.call, p.snr, p.wpm, p.kind, p.hhmm) for p in parsed] == [("W1AW", 14025.1, "K1ABC", 17, 25, "CQ", "0000")]
     (tmp_path / "n.txt").write_text("# c\n100-200\nx\n")
     assert rows(files.read_ranges(spark, str(tmp_path / "n.txt"))) == [(100.0, 200.0)]
+    assert [r.value for r in files.bad_ranges(spark, str(tmp_path / "n.txt")).collect()] == ["x"]
+    assert [r.value for r in files.bad_dx_lines(spark.createDataFrame([(line,), ("hello",), (None,)], "value string")).collect()] == ["hello", None]
     import numpy as np
 
     np.arange(10, dtype="<f4").tofile(tmp_path / "a.cf32")
