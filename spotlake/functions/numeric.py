@@ -123,3 +123,28 @@ def usable(samples: Column) -> Column:
 
 def khz(hz: Column) -> Column:
     return F.format_string("%.2f", hz / 1000)
+
+
+def class_sigma(n: Column, variance: Column, mean: Column, least: int, fallback: Column, floor: float = 0.02) -> Column:
+    """Standard deviation of the logarithm of a class of durations by the delta method, at least `floor`; `fallback` for a class of fewer than `least`."""
+    return F.when((n < least) | (mean <= 0), fallback).otherwise(F.greatest(F.sqrt(variance) / mean, F.lit(floor)))
+
+
+def common_time(offset: Column, ts: Column, scale: Column) -> Column:
+    """A local sample time on the common clock."""
+    return (offset + F.round(ts * scale)).cast("long")
+
+
+def unix_of(epoch: Column, ts: Column, rate: Column) -> Column:
+    """Unix seconds of a sample time."""
+    return F.floor(epoch + ts / rate).cast("long")
+
+
+def input_of_track(track: Column, inputs: int) -> Column:
+    """The input that a track id belongs to: ids start at 1 + input and rise by the number of inputs; null below 1."""
+    return F.when(track >= 1, F.pmod(track - 1, F.lit(inputs)))
+
+
+def status_code(flags: list[Column]) -> Column:
+    """How many of the flags hold; a null flag doesn't."""
+    return sum((F.coalesce(f.cast("int"), F.lit(0)) for f in flags), F.lit(0))

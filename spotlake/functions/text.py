@@ -104,6 +104,31 @@ def locator(lat: Column, lon: Column) -> Column:
     )
 
 
+def locator_centre(grid: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of the centre of a four or six character locator; null for other texts."""
+    at = lambda i, base: F.ascii(F.substring(F.upper(grid), i, 1)) - ord(base)
+    fine = F.length(grid) == 6
+    lat = at(2, "A") * 10.0 - 90 + at(4, "0") + F.when(fine, (at(6, "A") + 0.5) / 24).otherwise(0.5)
+    lon = at(1, "A") * 20.0 - 180 + at(3, "0") * 2 + F.when(fine, (at(5, "A") + 0.5) / 12).otherwise(1.0)
+    valid = F.rlike(grid, F.lit("^(?i:[A-R]{2}[0-9]{2}(?:[A-X]{2})?)$"))
+    return F.when(valid, lat), F.when(valid, lon)
+
+
+def text_score(call: Column, text: Column) -> tuple[Column, Column, Column]:
+    """Whether a text holds a call as a word, as a word after CQ, DE or TEST, and anywhere once blanks are left out."""
+    words = F.concat(F.lit(" "), F.regexp_replace(text, r"\s+", " "), F.lit(" "))
+    after = lambda frame: F.contains(words, F.concat(F.lit(f" {frame} "), call, F.lit(" ")))
+    as_word = F.contains(words, F.concat(F.lit(" "), call, F.lit(" ")))
+    return as_word, after("CQ") | after("DE") | after("TEST"), F.contains(F.replace(text, F.lit(" "), F.lit("")), call)
+
+
+def fitting(s: Column, budget: int) -> Column:
+    """The longest prefix of a string whose UTF-8 form has at most `budget` bytes."""
+    short = F.substring(s, 1, budget)
+    sizes = F.transform(F.sequence(F.lit(0), F.length(short)), lambda n: F.struct((F.octet_length(F.substring(short, F.lit(1), n)) <= budget).alias("ok"), n.alias("n")))
+    return F.substring(short, F.lit(1), F.array_max(F.filter(sizes, lambda x: x["ok"]))["n"])
+
+
 def escape_xml(s: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         s = F.replace(s, F.lit(raw), F.lit(safe))

@@ -62,3 +62,29 @@ def bootstrap_interval(clusters: DataFrame, id_col: str, hits: str, total: str,
     whole = clusters.agg((F.sum(hits) / F.sum(total)).alias("estimate"))
     low, high = int(0.025 * resamples), max(int(0.025 * resamples), int(0.975 * resamples) - 1)
     return ordered.crossJoin(whole).select(F.get("rates", F.lit(low)).alias("low"), F.get("rates", F.lit(high)).alias("high"), "estimate")
+
+
+def calibration(readings: DataFrame, keys: list[str], ppm: str, valid: Column, least: int) -> DataFrame:
+    """Per key: n, median and spread of the valid readings, the median null below `least` of them."""
+    kept = F.when(valid, F.col(ppm))
+    grouped = readings.groupBy(*keys).agg(F.count(kept).alias("n"), F.median(kept).alias("median"), (F.max(kept) - F.min(kept)).alias("spread"))
+    return grouped.withColumn("median", F.when(F.col("n") >= least, F.col("median")))
+
+
+def separation(rows: DataFrame, keys: list[str], value: str, right: Column) -> DataFrame:
+    """Per key the quartiles of a value over right and wrong rows, and gap: the right median less the wrong one."""
+    of = lambda flag: F.percentile(F.when(flag, F.col(value)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = rows.groupBy(*keys).agg(of(right).alias("r"), of(~right).alias("w"))
+    cols = [F.get(F.col(side), F.lit(i)).alias(f"{name}_q{i + 1}") for side, name in (("r", "right"), ("w", "wrong")) for i in range(3)]
+    return out.select(*keys, *cols, (F.get("r", F.lit(1)) - F.get("w", F.lit(1))).alias("gap"))
+
+
+def capped(df: DataFrame, keys: list[str], rank_by: list[Column], most: int) -> DataFrame:
+    """df with evicted: whether a row is beyond the `most` first of its key by `rank_by`."""
+    return df.withColumn("evicted", F.row_number().over(Window.partitionBy(*keys).orderBy(*rank_by)) > most)
+
+
+def bin_lists(df: DataFrame, call: str, freq: str, width: float, kept: list[str]) -> DataFrame:
+    """Per call and rounded frequency (half to even) the rows, as a sorted array of structs."""
+    binned = F.bround(F.col(freq) / width).cast("long").alias("bin")
+    return df.groupBy(call, binned).agg(F.sort_array(F.collect_list(F.struct(*kept))).alias("rows"))

@@ -75,6 +75,12 @@ def containment_join(points: DataFrame, intervals: DataFrame, at: str, start: st
     return dots.join(spread, "__b").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop))).drop("__b")
 
 
+def outside_windows(points: DataFrame, windows: DataFrame, key: str, at: str, low: str, high: str, width: float) -> DataFrame:
+    """points that lie in no window [low, high); key identifies a point."""
+    inside = containment_join(points, windows, at, low, high, width).where(F.col(at) < F.col(high)).select(key).distinct()
+    return points.join(inside, key, "left_anti")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, l_span: tuple[str, str], r_span: tuple[str, str], width: float) -> DataFrame:
     """Pairs of intervals that share more than an end. width: about an interval's length. A pair counts in the first bucket that both touch."""
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")

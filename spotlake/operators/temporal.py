@@ -75,3 +75,44 @@ def counter_increase(df: DataFrame, keys: list[str], at: str, value: str, out: s
     """df with the growth of a counter since the row before; a fall is a reset, after which the value itself counts."""
     last = F.lag(value).over(by(keys, at))
     return df.withColumn(out, F.when(last.isNull(), 0).when(F.col(value) < last, F.col(value)).otherwise(F.col(value) - last))
+
+
+def sequence_gaps(df: DataFrame, keys: list[str], at: str, tie: str, seq: str, bits: int) -> DataFrame:
+    """df with verdict (first, next, restart, repeat, lost, late) and lost (numbers skipped) of wrapping sequence numbers in order of arrival."""
+    last = F.lag(seq).over(by(keys, at, tie))
+    step = F.pmod(F.col(seq) - last, F.lit(1 << bits))
+    verdict = F.when(last.isNull(), "first").when(step == 1, "next").when(F.col(seq) == 0, "restart").when(step == 0, "repeat").when(step < 1 << (bits - 1), "lost").otherwise("late")
+    return df.withColumn("verdict", verdict).withColumn("lost", F.when(F.col("verdict") == "lost", step - 1).otherwise(0).cast("long"))
+
+
+def loss_marks(df: DataFrame, keys: list[str], at: str, tie: str, lost: str, most: int) -> DataFrame:
+    """df with clock (losses of fewer than `most` so far, which advance the clock) and segment (longer ones so far: discontinuities, each after which the clock starts anew)."""
+    order = by(keys, at, tie)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    cut = df.withColumn("segment", F.count_if(F.col(lost) >= most).over(upto))
+    inside = by([*keys, "segment"], at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("clock", F.sum(F.when(F.col(lost) < most, F.col(lost)).otherwise(0)).over(inside))
+
+
+def hysteresis(df: DataFrame, keys: list[str], at: str, tie: str, value: str, rise: float, drop: float, out: str = "on") -> DataFrame:
+    """df with a state that turns on at or above `rise`, off below `drop`, and else stays; off at first."""
+    decisive = F.when(F.col(value) >= rise, True).when(F.col(value) < drop, False)
+    held = F.last(decisive, ignorenulls=True).over(by(keys, at, tie).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, F.coalesce(held, F.lit(False)))
+
+
+def resequenced(df: DataFrame, keys: list[str], closing: str, at: str, tie: list[str], out: str = "place") -> DataFrame:
+    """df with the place of a row within its batch (keys): by time and tie, closing rows last."""
+    return df.withColumn(out, F.row_number().over(by(keys, closing, at, *tie)))
+
+
+def unplanned(outages: DataFrame, planned: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """outages (keys, o_id, start, stop) with excused: how much of each lies in the planned windows (keys, p_start, p_stop) of its key, overlaps of those counted once."""
+    merged = merge_intervals(planned, keys, "p_start", "p_stop").drop("n")
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    left = outages.where("start < stop").withColumn("__b", F.explode(F.sequence(bucket("start"), bucket("stop"))))
+    right = merged.where("p_start < p_stop").withColumn("__b", F.explode(F.sequence(bucket("p_start"), bucket("p_stop"))))
+    met = left.join(right, [*keys, "__b"]).where((F.col("start") < F.col("p_stop")) & (F.col("p_start") < F.col("stop")))
+    met = met.where(F.col("__b") == F.greatest(bucket("start"), bucket("p_start")))
+    share = F.sum(F.least("stop", "p_stop") - F.greatest("start", "p_start")).alias("excused")
+    return outages.join(met.groupBy("o_id").agg(share), "o_id", "left").withColumn("excused", F.coalesce("excused", F.lit(0)))
