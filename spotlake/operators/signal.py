@@ -1,7 +1,7 @@
 """Kernels over blocks of samples: filters, a polyphase channelizer and power spectra.
 
-A kernel needs samples beyond its block, so a block first gets its halo, the head of the next block, by one window function; then
-blocks are independent. The numpy part of each kernel is one array expression.
+A kernel needs samples beyond its block, so a block first gets its halo, the head of the block that starts where it ends, by an
+equi-join on recording and time; then blocks are independent, and a recording is as many tasks as its blocks allow. The numpy part of each kernel is one array expression.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.functions.numeric import CHANNEL_HZ
@@ -19,14 +19,11 @@ from spotlake.functions.numeric import CHANNEL_HZ
 
 def with_halo(blocks: DataFrame, need: int) -> DataFrame:
     """blocks (input, block, start_ts, re, im) with n (own samples) and re, im lengthened by up to `need` samples of the next block."""
-    order = Window.partitionBy("input").orderBy("block")
-    head = F.struct(F.slice("re", 1, need).alias("re"), F.slice("im", 1, need).alias("im"), F.col("start_ts").alias("ts"))
-    after = F.lead(head).over(order)
-    joined = blocks.withColumn("n", F.size("re")).withColumn("__next", after)
-    # only a block that follows on directly lends its head
-    follows = F.col("__next.ts") == F.col("start_ts") + F.col("n")
-    grown = lambda c: F.when(follows, F.concat(F.col(c), F.col(f"__next.{c}"))).otherwise(F.col(c))
-    return joined.withColumn("re", grown("re")).withColumn("im", grown("im")).drop("__next")
+    heads = blocks.select(F.col("input").alias("__input"), F.col("start_ts").alias("__ts"), F.slice("re", 1, need).alias("__re"), F.slice("im", 1, need).alias("__im"))
+    sized = blocks.withColumn("n", F.size("re"))
+    joined = sized.join(heads, (F.col("input") == F.col("__input")) & (F.col("start_ts") + F.col("n") == F.col("__ts")), "left")
+    grown = lambda c: F.when(F.col("__ts").isNotNull(), F.concat(F.col(c), F.col(f"__{c}"))).otherwise(F.col(c))
+    return joined.withColumn("re", grown("re")).withColumn("im", grown("im")).drop("__input", "__ts", "__re", "__im")
 
 
 def prototype(n_channels: int, taps: int = 8, beta: float = 7.857) -> np.ndarray:
@@ -46,14 +43,19 @@ def channelize(blocks: DataFrame, n_channels: int, taps: int = 8) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names, times, powers = [], [], []
             for name, start, n, re, im in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 x = np.asarray(re, "f8") + 1j * np.asarray(im, "f8")
                 hops = np.arange(0, min(n, len(x) - size + 1), step)
                 if len(hops):
                     folded = (x[hops[:, None] + np.arange(size)] * window).reshape(len(hops), taps, n_channels).sum(axis=1)
-                    power = np.abs(np.fft.fft(folded, axis=1)) ** 2
-                    at = start + hops
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(hops)), pa.array(at // step, pa.int64()), pa.array(at, pa.int64()), pa.array(list(power), pa.list_(pa.float64()))], names=["input", "hop", "sample_ts", "power"])
+                    names += [name] * len(hops)
+                    times.append(start + hops)
+                    powers.append(np.abs(np.fft.fft(folded, axis=1)) ** 2)
+            if names:
+                at, flat = np.concatenate(times), np.concatenate(powers)
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * n_channels, pa.int32()), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(at // step, pa.int64()), pa.array(at, pa.int64()), held], names=["input", "hop", "sample_ts", "power"])
 
     ready = with_halo(blocks, size - 1).select(F.col("input").cast("string").alias("input"), "start_ts", "n", "re", "im")
     return ready.mapInArrow(run, "input string, hop long, sample_ts long, power array<double>")
@@ -65,10 +67,13 @@ def fir(blocks: DataFrame, taps: np.ndarray, every: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, block, start, n, re, im in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            starts, parts = [], []
+            for start, n, re, im in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 x = np.asarray(re, "f8") + 1j * np.asarray(im, "f8")
-                y = np.convolve(x, kernel, "valid")[:n:every] if len(x) >= len(kernel) else np.zeros(0, complex)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([start // every], pa.int64()), pa.array([y.real], pa.list_(pa.float64())), pa.array([y.imag], pa.list_(pa.float64()))], names=["input", "block", "start_ts", "re", "im"])
+                starts.append(start // every)
+                parts.append(np.convolve(x, kernel, "valid")[:n:every] if len(x) >= len(kernel) else np.zeros(0, complex))
+            real, imaginary = (pa.array([getattr(y, side) for y in parts], pa.list_(pa.float64())) for side in ("real", "imag"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.int64()), real, imaginary], names=["input", "block", "start_ts", "re", "im"])
 
     ready = with_halo(blocks, len(kernel) - 1).select(F.col("input").cast("string").alias("input"), F.col("block").cast("long").alias("block"), "start_ts", "n", "re", "im")
     return ready.mapInArrow(run, "input string, block long, start_ts long, re array<double>, im array<double>")

@@ -33,8 +33,9 @@ def crash_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sliding_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     beside = F.lead("power").over(temporal.by(["hop"], "channel"))
     pairs = _spectra(spark, sf_dir).withColumn("y", beside).where("y IS NOT NULL")
-    rho = F.corr("power", "y").over(temporal.by(["channel"], "hop").rowsBetween(-99, 0))
-    return pairs.withColumn("rho", rho).where("hop % 75 = 74").select("hop", F.col("channel").alias("low"), F.round("rho", 5).alias("rho"))
+    rho = F.corr("power", "y").over(temporal.by(["channel", "part"], "hop").rowsBetween(-99, 0))
+    parts = spectrum.framed(pairs, ["channel"], "hop", 99)
+    return parts.withColumn("rho", rho).where("own AND hop % 75 = 74").select("hop", F.col("channel").alias("low"), F.round("rho", 5).alias("rho"))
 
 
 @query(f"WITH {_ROWS} SELECT channel, CAST(hop // 60 AS BIGINT) AS interval, round(max(db) - 14.3, 6) AS snr FROM s GROUP BY ALL")

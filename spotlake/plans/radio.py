@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spotlake.operators import exchange, morse, signal
@@ -12,7 +12,7 @@ from spotlake.plans.registry import EVENTS, events, query, table
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as blocks of 64 real samples of a recording per label."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("input"), F.col("vec_id").alias("block"), F.col("embedding").alias("re"))
-    start = F.row_number().over(signal.Window.partitionBy("input").orderBy("block")) - 1
+    start = F.row_number().over(Window.partitionBy("input").orderBy("block")) - 1
     return rows.withColumn("start_ts", (start * 64).cast("long")).withColumn("im", F.transform("re", lambda x: F.lit(0.0).cast("float")))
 
 
