@@ -12,7 +12,7 @@ def newest(df: DataFrame, order: str, n: int, keep: Column | None = None) -> Dat
     return rows.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
-def within(df: DataFrame, at: str, now: int, span: int) -> DataFrame:
+def within(df: DataFrame, at: str, now: int | Column, span: int) -> DataFrame:
     """Rows of the last `span` up to now; a span of 0 selects nothing."""
     return df.where(F.lit(span > 0) & (F.col(at) > now - span) & (F.col(at) <= now))
 
@@ -22,7 +22,7 @@ def occurrences(df: DataFrame, keys: list[str], order: str, out: str = "occurren
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
-def retained(df: DataFrame, keys: list[str], order: str, at: str, now: int, span: int, least: int, most: int) -> DataFrame:
+def retained(df: DataFrame, keys: list[str], order: str, at: str, now: int | Column, span: int, least: int, most: int) -> DataFrame:
     """Per key the `least` newest rows, and those of the last span, but never more than `most`."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     ranked = df.withColumn("__rank", rank)

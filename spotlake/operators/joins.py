@@ -92,8 +92,9 @@ def overlap_join(left: DataFrame, right: DataFrame, l_span: tuple[str, str], r_s
 
 def longest_prefix(words: DataFrame, prefixes: DataFrame, word: str, prefix: str) -> DataFrame:
     """words with the longest entry of prefixes that it starts with (null if none): its prefixes are exploded and equi-joined."""
-    longest = prefixes.agg(F.max(F.length(prefix))).first()[0] or 0
-    parts = words.select(word).distinct().where(F.length(word) > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.length(word), F.lit(max(longest, 1))))))
+    longest = F.broadcast(prefixes.agg(F.greatest(F.coalesce(F.max(F.length(prefix)), F.lit(1)), F.lit(1)).alias("__longest")))
+    parts = words.select(word).distinct().where(F.length(word) > 0).crossJoin(longest)  # by one row
+    parts = parts.withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.length(word), F.col("__longest"))))).drop("__longest")
     parts = parts.withColumn(prefix, F.col(word).substr(F.lit(1), F.col("__n")))
     best = parts.join(prefixes.select(prefix).distinct(), prefix).groupBy(word).agg(F.max_by(prefix, "__n").alias(prefix))
     return words.join(best, word, "left")

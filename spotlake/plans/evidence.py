@@ -69,10 +69,10 @@ def nearest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.nearest_gap(events(spark, sf_dir), ["user_id"], "value", "event_id").select("event_id", F.round("gap", 6).alias("gap"))
 
 
-@query(f"""WITH {EVENTS}, g AS (SELECT d, s FROM (SELECT DISTINCT t // {6 * HOUR} AS d FROM ev), (SELECT DISTINCT event_type AS s FROM ev)), c AS (SELECT d, s, count(ev.event_id) AS n FROM g LEFT JOIN ev ON ev.t // {6 * HOUR} = d AND event_type = s GROUP BY ALL)
+@query(f"""WITH {EVENTS}, g AS (SELECT d, s FROM (SELECT DISTINCT t // {HOUR // 6} AS d FROM ev), (SELECT DISTINCT event_type AS s FROM ev)), c AS (SELECT d, s, count(ev.event_id) AS n FROM g LEFT JOIN ev ON ev.t // {HOUR // 6} = d AND event_type = s GROUP BY ALL)
   SELECT d AS slot, s AS source FROM (SELECT *, max(n) OVER (PARTITION BY d) AS most FROM c) WHERE n = 0 AND most > 0""")
 def silent_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = events(spark, sf_dir).select(F.floor(F.col("t") / (6 * HOUR)).alias("slot"), F.col("event_type").alias("source"))
+    slots = events(spark, sf_dir).select(F.floor(F.col("t") / (HOUR // 6)).alias("slot"), F.col("event_type").alias("source"))
     kinds = slots.select("source").distinct().agg(F.collect_list("source").alias("all"))  # as many as there are inputs
     grid = slots.select("slot").distinct().crossJoin(F.broadcast(kinds)).select("slot", F.explode("all").alias("source"))
     counts = grid.join(slots.groupBy("slot", "source").agg(F.count("*").alias("n")), ["slot", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -62,13 +62,28 @@ def greedy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.greedy_gate(events(spark, sf_dir), ["user_id"], "t", "event_id", DAY).select("event_id", "admitted")
 
 
-@query()
+_ROW_BY_ROW = f"""WITH RECURSIVE {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn, event_id % 2 AS src, round_even(value / 30, 0) AS own,
+  round_even(value / 30, 0) + CASE WHEN value / 30 > round_even(value / 30, 0) THEN 1 ELSE -1 END AS beside FROM ev)"""
+
+
+@query(f"""{_ROW_BY_ROW}, w AS (
+    SELECT user_id, rn, event_id, 'new' AS outcome, [{{'b': own, 't': t, 'f': value, 'snr': k, 'kind': event_type, 'src': src}}] AS c FROM r WHERE rn = 1
+    UNION ALL SELECT user_id, rn, event_id, outcome, CASE WHEN outcome IN ('new', 'changed') THEN list_append(list_filter(c, lambda e: e.b <> own), {{'b': own, 't': t, 'f': value, 'snr': k, 'kind': event_type, 'src': src}}) ELSE c END AS c FROM (
+      SELECT *, CASE WHEN o.src <> src OR g.src <> src THEN 'other_input' WHEN l IS NULL THEN 'new' WHEN k - l.snr < 6 AND event_type = l.kind THEN 'duplicate' ELSE 'changed' END AS outcome FROM (
+        SELECT *, CASE WHEN o IS NULL OR g.t > o.t THEN g ELSE o END AS l FROM (
+          SELECT r.*, w.c, list_filter(w.c, lambda e: e.b = r.own AND r.t - e.t < {2 * DAY})[1] AS o, list_filter(w.c, lambda e: e.b = r.beside AND r.t - e.t < {2 * DAY} AND abs(e.f - r.value) < 9.4)[1] AS g
+          FROM w JOIN r ON r.user_id = w.user_id AND r.rn = w.rn + 1))))
+  SELECT event_id, outcome FROM w""")
 def respot_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("input", F.col("event_id") % 2)
     return gates.respot_dedupe(e, "user_id", "t", "event_id", "value", "k", "event_type", "input", 2 * DAY, 30.0, 9.4).select("event_id", "outcome")
 
 
-@query()
+@query(f"""{_ROW_BY_ROW}, w AS (
+    SELECT user_id, rn, event_id, [{{'t': t, 'k': k}}] AS c FROM r WHERE rn = 1
+    UNION ALL SELECT user_id, rn, event_id, CASE WHEN len(f) = 0 OR abs(k - f[-1].k) >= 3 OR t - f[-1].t >= {2 * DAY} THEN list_append(f, {{'t': t, 'k': k}}) ELSE f END AS c FROM (
+      SELECT r.*, list_filter(w.c, lambda x: r.t - x.t <= {3 * DAY}) AS f FROM w JOIN r ON r.user_id = w.user_id AND r.rn = w.rn + 1))
+  SELECT event_id, CAST(len(c) AS INTEGER) AS repetitions FROM w""")
 def repetition_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.message_repetitions(events(spark, sf_dir), ["user_id"], "t", "event_id", "k", 3 * DAY, 3, 2 * DAY).select("event_id", "repetitions")
 
@@ -84,17 +99,20 @@ def history_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.newest(events(spark, sf_dir), "event_id", 10, keep).select("event_id", "t", "value")
 
 
+def _with_now(e: DataFrame) -> DataFrame:
+    """events with now: the latest time, a one-row aggregate inside the plan."""
+    return e.crossJoin(F.broadcast(e.agg(F.max("t").alias("now"))))
+
+
 @query(f"WITH {EVENTS} SELECT event_id FROM ev WHERE t > (SELECT max(t) FROM ev) - {DAY} AND t <= (SELECT max(t) FROM ev)")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return history.within(e, "t", e.agg(F.max("t")).first()[0], DAY).select("event_id")
+    return history.within(_with_now(events(spark, sf_dir)), "t", F.col("now"), DAY).select("event_id")
 
 
 @query(f"""WITH {EVENTS} SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM ev)
   WHERE rn <= 40 AND (rn <= 5 OR t >= (SELECT max(t) FROM ev) - {5 * DAY})""")
 def history_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return history.retained(e, ["user_id"], "event_id", "t", e.agg(F.max("t")).first()[0], 5 * DAY, 5, 40).select("event_id")
+    return history.retained(_with_now(events(spark, sf_dir)), ["user_id"], "event_id", "t", F.col("now"), 5 * DAY, 5, 40).select("event_id")
 
 
 @query(f"""WITH {EVENTS}, c AS (SELECT user_id, CASE WHEN k % 5 = 0 THEN NULL ELSE event_id - k END AS since, event_type <> 'error' AS known, event_id AS upto, event_id - 50 AS held FROM ev)
