@@ -80,6 +80,60 @@ def bad_dx_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(~F.coalesce(F.col(column).rlike(DX_LINE), F.lit(False)))
 
 
+#: Columns of a call, and mode names that may abut it.
+CALL_COLUMN, MODES = 15, "CW|RTTY|FT8|FT4|PSK31|PSK63"
+
+
+def parse_skimmer_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """lines with kind (spot, other_mode, none) and, for spots, spotter, khz, call, snr, wpm, type (CQ, DE, BEACON or unknown).
+
+    Fields are frequency, call, perhaps a mode, dB figure, `dB`, speed, unit, perhaps a type, time. A call that fills its column may abut the field after it.
+    """
+    split = F.regexp_extract_all(F.regexp_replace(F.col(column), r"^\s*DX de [^:]*:", ""), F.lit(r"\S+"), F.lit(0))
+    name = F.regexp_extract(column, r"^\s*DX de ([^:]*):", 1)
+    second = F.get("__t", F.lit(1))
+    head, tail = F.substring(second, 1, CALL_COLUMN), F.substring(second, F.lit(CALL_COLUMN + 1), F.length(second))
+    is_int = lambda c: F.coalesce(F.rlike(c, F.lit(r"^[+-]?[0-9]{1,9}$")), F.lit(False))
+    db_at = lambda i: F.coalesce(F.get("__t", F.lit(i)) == "dB", F.lit(False))
+    abuts = (F.length(second) > CALL_COLUMN) & ((db_at(3) & F.rlike(tail, F.lit(f"^(?:{MODES})$"))) | (db_at(2) & is_int(tail)))
+    fixed = F.when(abuts, F.concat(F.slice("__t", 1, 1), F.array(head, tail), F.slice("__t", 3, F.greatest(F.size("__t") - 2, F.lit(0))))).otherwise(F.col("__t"))
+    rows = lines.withColumn("__who", F.regexp_replace(F.upper(F.trim(name)), "-#$", "")).withColumn("__t", split).withColumn("__t", fixed)
+    moded = ~(is_int(F.get("__t", F.lit(2))) & db_at(3))
+    base = F.when(moded, 3).otherwise(2)
+    field = lambda i: F.get("__t", base + i)
+    khz = F.expr("try_cast(__t[0] AS DOUBLE)")
+    ok = (F.col("__who") != "") & ~F.rlike("__who", F.lit(r"\s")) & (F.size("__t") >= base + 5) & F.coalesce((khz > 0) & (khz < float("inf")), F.lit(False))
+    ok = ok & is_int(field(0)) & (field(1) == "dB") & F.rlike(field(2), F.lit("^[0-9]{1,9}$")) & F.rlike(F.element_at("__t", -1), F.lit("^[0-9]{4}Z$"))
+    ok = F.coalesce(ok, F.lit(False))
+    cw = ok & (~moded | (F.get("__t", F.lit(2)) == "CW")) & (field(3) == "WPM")
+    types = F.array_join(F.slice("__t", base + 5, F.greatest(F.size("__t") - base - 5, F.lit(0))), " ")
+    kind = F.when(types.isin("CQ", "DE", "BEACON"), types).when(types == "NCDXF B", "BEACON").otherwise("unknown")
+    told = lambda c, name: F.when(cw, c).alias(name)
+    return rows.select(
+        *lines.columns, F.when(cw, "spot").when(ok, "other_mode").otherwise("none").alias("kind"), told(F.col("__who"), "spotter"), told(khz, "khz"), told(F.upper(F.get("__t", F.lit(1))), "call"),
+        told(field(0).try_cast("int"), "snr"), told(field(2).try_cast("int"), "wpm"), told(kind, "type"),
+    )
+
+
+LEDGER = "kind string, ts double, reachable boolean, healthz boolean, start_time double, counters map<string,double>, spots map<string,double>, start double, `end` double, planned boolean, manual boolean, text string, cmd string, exit int"
+
+
+def read_ledger(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of a node ledger (JSON lines): samples, notes and recoveries, by kind; lines of another kind or torn ones are left out."""
+    rows = spark.read.schema(LEDGER + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.where(F.col("_bad").isNull() & F.col("kind").isin("sample", "note", "recovery")).drop("_bad")
+
+
+def parse_metrics(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Samples of a metric text: family, labels (map), number. Comments and malformed lines are left out."""
+    form = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+-?[0-9]+)?\s*$"
+    pairs = F.regexp_extract_all(F.regexp_extract(column, form, 2), F.lit(r'[A-Za-z_][A-Za-z0-9_]*="(?:[^"\\\\]|\\\\.)*"'), F.lit(0))
+    entry = lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_extract(p, r'(?s)^[^=]*="(.*)"$', 1).alias("value"))
+    number = F.regexp_extract(column, form, 3).try_cast("double")
+    found = lines.where(F.col(column).rlike(form)).select(F.regexp_extract(column, form, 1).alias("family"), F.map_from_entries(F.transform(pairs, entry)).alias("labels"), number.alias("number"))
+    return found.where("number IS NOT NULL")
+
+
 def read_list(spark: SparkSession, path: str, comment: str = r"^\s*(?:#|!!)") -> DataFrame:
     """The entries of a list file, one a line, in upper case, without comments and blanks."""
     return spark.read.text(path).select(F.upper(F.trim("value")).alias("entry")).where(~F.col("entry").rlike(comment) & (F.col("entry") != "")).distinct()

@@ -302,3 +302,49 @@ def test_sources(spark, tmp_path):
     np.arange(10, dtype="<f4").tofile(tmp_path / "a.cf32")
     blocks = files.read_samples(spark, str(tmp_path / "a.cf32"), block=2).orderBy("block").collect()
     assert [b.re for b in blocks] == [[0.0, 2.0], [4.0, 6.0], [8.0]] and [b.start_ts for b in blocks] == [0, 2, 4]
+
+
+def test_skimmer_lines(spark):
+    from spotlake.sources import files
+
+    lines = {
+        "DX de W1AW-#:    14025.1  K1ABC          CW    17 dB  25 WPM  CQ      1234Z": ("spot", "W1AW", 14025.1, "K1ABC", 17, 25, "CQ"),
+        "DX de w3xyz-1-#: 7012.3 DL1ABC 9 dB 22 WPM NCDXF B 0000Z": ("spot", "W3XYZ-1", 7012.3, "DL1ABC", 9, 22, "BEACON"),
+        "DX de W1AW:  14080.0  K1ABC  RTTY  12 dB  45 BPS  CQ 1234Z": ("other_mode", None, None, None, None, None, None),
+        "DX de W1AW:  14025.1  K1ABCDEFGHIJKLMN 12 dB 25 WPM 1234Z": ("spot", "W1AW", 14025.1, "K1ABCDEFGHIJKLMN", 12, 25, "unknown"),
+        "DX de W1AW:  14025.1  K1ABCDEFGHIJK/PCW 12 dB 25 WPM 1234Z": ("spot", "W1AW", 14025.1, "K1ABCDEFGHIJK/P", 12, 25, "unknown"),
+        "To ALL de W1AW: hello": ("none", None, None, None, None, None, None),
+        "DX de W1AW:  -1 K1ABC CW 1 dB 20 WPM 1234Z": ("none", None, None, None, None, None, None),
+    }
+    got = {r.value: (r.kind, r.spotter, r.khz, r.call, r.snr, r.wpm, r.type) for r in files.parse_skimmer_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert got == lines
+
+
+def test_ledger_and_metrics(spark, tmp_path):
+    from spotlake.sources import files
+
+    (tmp_path / "l.jsonl").write_text('{"kind":"sample","ts":5.0,"reachable":true,"counters":{"a":3}}\n{"kind":"note","start":1,"end":2,"planned":true}\n{"kind":"other"}\n{"kind":"sam\n')
+    assert rows(files.read_ledger(spark, str(tmp_path / "l.jsonl")).select("kind", "ts", "planned")) == sorted([("sample", 5.0, None), ("note", None, True)], key=repr)
+    text = ["# HELP x", 'spots_total{source="a b",type="CQ"} 12', "up 1", "broken{", 'lag{le="+Inf"} NaN 1700']
+    got = files.parse_metrics(spark.createDataFrame([(x,) for x in text], "value string")).collect()
+    assert [(r.family, r.labels) for r in got] == [("spots_total", {"source": "a b", "type": "CQ"}), ("up", {}), ("lag", {"le": "+Inf"})] and got[0].number == 12.0
+
+
+def test_country_rules(spark):
+    from spotlake.operators import country
+
+    aliases = spark.createDataFrame([("K", False, False, 1, 291, "NA", 5), ("KH6", False, False, 2, 110, "OC", 31), ("KH6", False, True, 3, 999, "OC", 31), ("K1ABC", True, False, 4, 1, "EU", 14)], "prefix string, exact boolean, starred boolean, o long, dxcc long, continent string, zone int")
+    calls = spark.createDataFrame([(c,) for c in ("k9aa", "KH6X", "K1ABC", "K1ABC/P", "K1ABCD", "K1ABC/XX", "K9AA/MM", "Q1A", "")], "call string")
+    got = {r.call: (r.dxcc, r.continent, r.zone) for r in country.geography(calls, country.tidy_aliases(aliases, "o"), "call").collect()}
+    home = (291, "NA", 5)
+    assert got == {"k9aa": home, "KH6X": (999, "OC", 31), "K1ABC": (1, "EU", 14), "K1ABC/P": (1, "EU", 14), "K1ABCD": home, "K1ABC/XX": home, "K9AA/MM": (0, "", 0), "Q1A": (-1, "", 0), "": (-1, "", 0)}
+
+
+def test_text_budget_and_locators(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert [value(text.fitting(F.lit("a\u00e9\U0001f389b"), n)) for n in (0, 1, 2, 3, 6, 7, 99)] == ["", "a", "a", "a\u00e9", "a\u00e9", "a\u00e9\U0001f389", "a\u00e9\U0001f389b"]
+    lat, lon = text.locator_centre(F.lit("FN31pr"))
+    assert round(value(lat), 6) == 41.729167 and round(value(lon), 6) == -72.708333
+    lat, lon = text.locator_centre(F.lit("FN31"))
+    assert (value(lat), value(lon)) == (41.5, -73.0) and value(text.locator_centre(F.lit("ZZ99"))[0]) is None
