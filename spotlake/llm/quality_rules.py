@@ -43,9 +43,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def repeated_words(normal: Column, n_words: Column) -> Column:
     """Words inside eight-word windows that occur twice or more; normal: words joined and ended by single blanks."""
-    nth = "(?:[^ ]+ ){%d}"
+    nth = "(?:[^ ]++ ){%d}"  # each match starts where the last one ended, so that no word is searched from within, however long
     shifted = [normal if not k else F.regexp_replace(normal, "^" + nth % k, "") for k in range(WINDOW)]
-    every_eighth = [F.regexp_extract_all(s, F.lit(nth % WINDOW), F.lit(0)) for s in shifted]
+    every_eighth = [F.regexp_extract_all(s, F.lit(r"\G" + nth % WINDOW), F.lit(0)) for s in shifted]
     windows = F.concat(*every_eighth)
     any_twice = F.size(windows) > F.size(F.array_distinct(windows))
     # window number i of pass k starts at word 8 i + k

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import regex
 
 import corpus_pipeline
-from spotlake.llm import gam, pii, quality_rules, simhash
+from spotlake.llm import gam, pii, simhash
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,7 +30,7 @@ def _classified(docs):
 
 
 def _passing(docs):
-    """Base rules and Tukey fences; quantiles as sketches of few values have them: the value at rank ceil(q n)."""
+    """Base rules and the fences of each language and source; quantiles as sketches of few values have them: the value at rank ceil(q n)."""
     counts = {}
     for r in docs:
         words = re.findall(r"[^\x20\x09-\x0d]+", r["text"])
@@ -39,21 +39,31 @@ def _passing(docs):
             places[tuple(words[k : k + 8])].append(k)
         covered = {x for v in places.values() if len(v) > 1 for k in v for x in range(k, k + 8)}
         lines = [x for x in r["text"].split("\n") if x.strip()]
-        n = max(len(words), 1)
-        chars = sum(map(len, words))
-        base = len(words) < 20 or 100 * len(covered) > 30 * len(words)
-        counts[r["doc_id"]] = (base, {"symbol_ratio": len(re.findall(r"[#*$%&|<>]", r["text"])) / max(chars, 1), "dup_line_ratio": (len(lines) - len(set(lines))) / n, "repeat_ratio": len(covered) / n, "word_length": chars / n})
+        n, chars = len(words), sum(map(len, words))
+        base = n < 20 or 100 * len(covered) > 30 * n
+        # name: (ratio, events, exposure in events)
+        measures = {
+            "symbols": (len(re.findall(r"[#*$%&|<>]", r["text"])), chars, 1),
+            "lines": (len(lines) - len(set(lines)), n, 1),
+            "repeats": (len(covered), n, 8),
+        }
+        counts[r["doc_id"]] = (base, measures, chars / max(n, 1))
+
+    def fence(values):
+        low, middle, high, tail = (sorted(values)[max(int(np.ceil(q * len(values))), 1) - 1] for q in (0.25, 0.5, 0.75, 0.95))
+        return high + 3 * (high - low) if high > low else middle + (tail - middle) / 4
+
     groups = collections.defaultdict(list)
     for r in docs:
-        groups[r["lang"], r["source"]].append(counts[r["doc_id"]][1])
+        groups[r["lang"], r["source"]].append(counts[r["doc_id"]])
     kept = set()
     for r in docs:
-        base, ratios = counts[r["doc_id"]]
-        ok = not base
-        for name, floor in quality_rules.FLOORS.items():
-            values = sorted(g[name] for g in groups[r["lang"], r["source"]])
-            low, high = (values[max(int(np.ceil(q * len(values))), 1) - 1] for q in (0.25, 0.75))
-            ok = ok and ratios[name] <= max(floor, high + quality_rules.SPREAD * (high - low))
+        base, measures, length = counts[r["doc_id"]]
+        group = groups[r["lang"], r["source"]]
+        ok = not base and length <= fence([g[2] for g in group])
+        for name, (count, exposure, size) in measures.items():
+            expected = fence([g[1][name][0] / max(g[1][name][1], 1) for g in group]) * exposure / size
+            ok = ok and count / size <= expected + 3 * max(expected, 1) ** 0.5
         if ok:
             kept.add(r["doc_id"])
     return kept
@@ -104,3 +114,37 @@ def test_stages(spark, tmp_path):
         assert zlib.crc32(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
     assert sum(p["length"] for p in pieces) == sum(map(len, ids.values()))
     assert sorted((r.doc_id, r.start) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((p["doc_id"], p["start"]) for p in pieces)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, uid string, kept string, n_entities string, features string, sequence_id string, __hits string"
+
+
+def _odd_documents(spark):
+    plain = " ".join(f"word{i % 97} of the hill" for i in range(60)) + ". Mr. John Smith, a@b.example.com"
+    texts = [None, "", " ", plain, plain, plain, "x" * 200_000, "one two " * 30_000, "\u00e9\u4e16 " * 40 + "\U0001f389", "# | $ " * 50]
+    rows = [(i if i != 2 else None, t, "en" if i % 3 else None, "s" if i % 2 else None, None, 1.0, "f", "u", "k", "n", "v", "q", "h") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3], rows[0]], ODD)
+
+
+def test_stages_on_odd_documents(spark):
+    """Nulls in every column, empty and long texts, ties and repeated rows, clashing extra columns: each stage keeps columns and whole rows."""
+    docs = _odd_documents(spark)
+    have = collections.Counter(r.text for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        if name == "personal_data":
+            assert len(rows) == docs.count() and not any("Smith" in (r.text or "") or "a@b" in (r.text or "") for r in rows)
+            assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()} and all(r.fp == "f" for r in rows)
+        else:
+            assert not collections.Counter(r.text for r in rows) - have and all(r.uid == "u" and r.kept == "k" for r in rows), name
+        if name == "near_dedup":
+            assert len({r.text for r in rows if r.text and r.text.strip()}) == len([r for r in rows if r.text and r.text.strip()])
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in docs.collect()}
+
+
+def test_stages_on_no_documents(spark):
+    docs = _odd_documents(spark).limit(0)
+    assert all(stage(spark, docs, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
