@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spotlake.functions import numeric
 from spotlake.functions import text as T
-from spotlake.operators import aggregates, country, joins, shadow, temporal
+from spotlake.operators import aggregates, country, joins, shadow, temporal, transcript
 from spotlake.plans.registry import DAY, EVENTS, HOUR, events, query, table
 from spotlake.plans.spectra import _ROWS, _spectra
 from spotlake.plans.texts import _CALLS, _calls
@@ -188,3 +188,37 @@ def clock_and_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract(said, "5[1-9]n", 0).alias("raw"),
         T.last_report(said).alias("report"),
     )
+
+
+def _transcript(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Purchases and views as transcript words of six hours, clicks as words of a run, signups as spots; words are calls of users."""
+    said = F.concat(F.lit("K"), (F.col("user_id") % 10).cast("string"), F.char((65 + F.col("user_id") % 26).cast("int")), F.char((65 + F.col("k") % 2).cast("int")))
+    e = events(spark, sf_dir).withColumn("word", said)
+    pitch = F.when(F.col("k") % 5 != 0, F.col("value"))
+    rows = e.where("event_type IN ('purchase', 'view')").select(F.col("event_id").alias("row_id"), F.lit(0).alias("n"), F.col("t").alias("start"), (F.col("t") + 6 * HOUR).alias("stop"), pitch.alias("row_pitch"), "word")
+    run = e.where("event_type = 'click'").select(F.col("event_id").alias("w_id"), "t", pitch.alias("pitch"), "word")
+    spots = e.where("event_type = 'signup'").select(F.col("event_id").alias("s_id"), F.col("word").alias("call"), F.col("t").alias("s_t"), pitch.alias("pitch"))
+    return rows, run, spots
+
+
+_TRANSCRIPT = f"""{EVENTS}, e AS (SELECT *, 'K' || CAST(user_id % 10 AS VARCHAR) || chr(65 + CAST(user_id % 26 AS INTEGER)) || chr(65 + CAST(k % 2 AS INTEGER)) AS word, CASE WHEN k % 5 <> 0 THEN value END AS pitch FROM ev),
+  tr AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY event_id) AS rn FROM e WHERE event_type IN ('purchase', 'view')),
+  cs AS (SELECT word, list({{'id': event_id, 't': t, 'p': pitch}} ORDER BY t, event_id) AS cands FROM e WHERE event_type = 'click' GROUP BY word),
+  w AS (SELECT word, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS row_id, CAST(NULL AS BIGINT) AS w_id FROM (SELECT DISTINCT word FROM tr)
+    UNION ALL SELECT word, rn, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, event_id, got FROM (
+      SELECT tr.word, tr.rn, tr.event_id, w.used, list_filter(coalesce(cs.cands, []), lambda c: c.t >= tr.t - {HOUR} AND c.t <= tr.t + {7 * HOUR} AND (tr.pitch IS NULL OR coalesce(abs(c.p - tr.pitch) <= 30, false)) AND NOT list_contains(w.used, c.id))[1].id AS got
+      FROM w JOIN tr ON tr.word = w.word AND tr.rn = w.rn + 1 LEFT JOIN cs ON cs.word = tr.word)),
+  sm AS (SELECT DISTINCT s.event_id, s.word FROM e s JOIN tr ON s.event_type = 'signup' AND s.word = tr.word AND s.t >= tr.t - {HOUR} AND s.t <= tr.t + {7 * HOUR} AND (tr.pitch IS NULL OR coalesce(abs(s.pitch - tr.pitch) <= 30, false)))"""
+
+
+@query(f"WITH RECURSIVE {_TRANSCRIPT} SELECT row_id, w_id FROM w WHERE w_id IS NOT NULL")
+def transcript_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, run, _ = _transcript(spark, sf_dir)
+    return transcript.word_matches(rows, run, HOUR, 30.0).select("row_id", "w_id")
+
+
+@query(f"""WITH RECURSIVE {_TRANSCRIPT}, n AS (SELECT (SELECT count(*) FROM e WHERE event_type = 'signup') AS spots, (SELECT count(DISTINCT event_id) FROM sm) AS spots_matched, (SELECT count(DISTINCT word) FROM tr) AS transcript_calls,
+    (SELECT count(DISTINCT word) FROM sm) AS calls_found, (SELECT count(*) FROM tr) AS transcript_words, (SELECT count(*) FROM w WHERE w_id IS NOT NULL) AS words_found)
+  SELECT *, round(spots_matched / spots, 6) AS spot_precision, round(calls_found / transcript_calls, 6) AS call_recall, round(words_found / transcript_words, 6) AS word_recall FROM n""")
+def transcript_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.scores(*_transcript(spark, sf_dir), HOUR, 30.0, 8 * HOUR)
