@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from spotlake.functions.text import is_plausible
 from spotlake.operators.joins import containment_join
 
 
+#: Islands of a text in a group.
+ISLANDS = 64
+
+
 def _at_pitch(pitch: Column, row_pitch: Column, tol: float) -> Column:
     """A row without a pitch takes any; else the pitch has to be known and near."""
     return row_pitch.isNull() | F.coalesce(F.abs(pitch - row_pitch) <= tol, F.lit(False))
@@ -20,7 +25,7 @@ def word_matches(rows: DataFrame, run: DataFrame, time_tol: float, pitch_tol: fl
 
     In the order of row_id and n each transcript word takes the earliest unused run word of its text that lies in its row's time, widened
     by time_tol, and at its pitch. Who takes what hangs only on words whose times overlap, directly or through others, so each text is cut into
-    islands of overlapping times, and an island is one small group.
+    islands of overlapping times; a group is some ISLANDS of them, which its times keep apart.
     """
     wanted = rows.select("word", (F.col("start") - time_tol).alias("lo"), (F.col("stop") + time_tol).alias("hi"), "row_id", "n", F.col("row_pitch").alias("p"), F.lit(None).cast(run.schema["w_id"].dataType).alias("w_id"))
     said = run.select("word", F.col("t").alias("lo"), F.col("t").alias("hi"), F.lit(None).cast(rows.schema["row_id"].dataType).alias("row_id"), F.lit(None).cast(rows.schema["n"].dataType).alias("n"), F.col("pitch").alias("p"), "w_id")
@@ -32,18 +37,20 @@ def word_matches(rows: DataFrame, run: DataFrame, time_tol: float, pitch_tol: fl
     both = both.withColumn("__both", (F.count("w_id").over(whole) > 0) & (F.count("row_id").over(whole) > 0)).where("__both").drop("__both", "__opens")
 
     def take(group: pd.DataFrame) -> pd.DataFrame:
-        words, heard, out = group[group["w_id"].isna()].sort_values(["row_id", "n"]), group[group["w_id"].notna()].sort_values(["lo", "w_id"]), []
-        free = list(heard[["w_id", "lo", "p"]].itertuples(index=False, name=None))
-        for row in words.itertuples():
-            for i, (w_id, t, pitch) in enumerate(free):
-                if row.lo <= t <= row.hi and (pd.isna(row.p) or (not pd.isna(pitch) and abs(pitch - row.p) <= pitch_tol)):
-                    out.append((row.row_id, row.n, w_id))
-                    del free[i]
-                    break
-        return pd.DataFrame(out, columns=["row_id", "n", "w_id"])
+        words, heard = group[group["w_id"].isna()].sort_values(["row_id", "n"]), group[group["w_id"].notna()].sort_values(["lo", "w_id"])
+        at, pitch, free = heard["lo"].to_numpy(float), heard["p"].to_numpy(float), np.ones(len(heard), bool)
+        first, last = np.searchsorted(at, words["lo"].to_numpy(float)), np.searchsorted(at, words["hi"].to_numpy(float), side="right")
+        taken = np.full(len(words), -1)
+        for n, (a, b, p) in enumerate(zip(first, last, words["p"].to_numpy(float), strict=True)):
+            fits = free[a:b] if np.isnan(p) else free[a:b] & (np.abs(pitch[a:b] - p) <= pitch_tol)
+            if fits.any():
+                taken[n] = a + int(fits.argmax())
+                free[taken[n]] = False
+        hit = taken >= 0
+        return pd.DataFrame({"row_id": words["row_id"].to_numpy()[hit], "n": words["n"].to_numpy()[hit], "w_id": heard["w_id"].to_numpy()[taken[hit]]})
 
     kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("row_id", "n", "w_id"))
-    return both.groupBy("word", "island").applyInPandas(take, kinds)
+    return both.groupBy("word", F.floor(F.col("island") / ISLANDS).alias("batch")).applyInPandas(take, kinds)
 
 
 def spot_matches(rows: DataFrame, spots: DataFrame, time_tol: float, pitch_tol: float, width: float) -> DataFrame:
