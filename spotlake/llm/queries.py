@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import byte_bpe, chat, gam, license_scan, packing, pii, quality_rules, simhash, token_count, topk
+from spotlake.llm import byte_bpe, chat, gam, license_scan, multi_index, packing, periodic_runs, pii, quality_rules, simhash, spelling, token_count, topk
 from spotlake.llm.common import table
 
 
@@ -82,6 +82,26 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), change=periodic_runs.repeated_from)
+    # greatest length/period by cross products, then smallest start and period
+    step = lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    text = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.aggregate("runs", none, step).alias("best"), text.alias("told"), "collapsed")
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long")
+    return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), F.sha2("told", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), slip=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -93,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_count": op10_token_count,
+    "op11_multi_index": op11_multi_index,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|)"
