@@ -1,4 +1,4 @@
 """All registered queries: importing the modules fills the registry."""
 
-from spotlake.plans import decoders, evidence, lookups, radio, reports, rules, scores, spectra, texts, timeline  # noqa: F401
+from spotlake.plans import decoders, evidence, exchanges, lookups, radio, reports, rules, scores, spectra, texts, timeline  # noqa: F401
 from spotlake.plans.registry import ORACLES, QUERIES  # noqa: F401
