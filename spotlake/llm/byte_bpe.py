@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.llm.chunks import ChunkEncoder, parts_alone
-from spotlake.llm.common import slices
+from spotlake.llm.common import shielded, slices, unshielded
 
 #: Where the 256 byte characters start; no character there is special to sentencepiece.
 FIRST_CHAR = 0x4E00
@@ -124,13 +124,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
             arrays = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decoded_col:
                 arrays.append(pa.array([engine.decode(x) for x in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *added])
 
-    cols = [F.col(f"`{c}`") for c in kept]
-    schema = df.select(*cols).schema
+    told = shielded(df, kept, text=text_col).withColumn("text", F.col("text").cast("string"))
+    schema = told.drop("text").schema
     for name in added:
         schema = schema.add(name, "long" if name == "n_tokens" else "binary")
-    return df.select(*cols, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return unshielded(told.mapInArrow(run, schema), kept, *added)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

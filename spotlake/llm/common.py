@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a column that an Arrow operator turns into Python objects at once; a single longer value goes alone.
@@ -48,6 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(df: DataFrame, columns: list[str], **others: str) -> DataFrame:
+    """Those columns of df, each as k_<name>: no name of an operator's own begins so, so none of them can clash. others: further columns, by the operator's names for them."""
+    return df.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in columns], *[F.col(f"`{c}`").alias(name) for name, c in others.items()])
+
+
+def unshielded(df: DataFrame, columns: list[str], *added: str | Column) -> DataFrame:
+    """The columns of shielded() under their own names again, and those added."""
+    return df.select(*[F.col(f"`k_{c}`").alias(c) for c in columns], *added)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose values in a string or binary column hold about `most` bytes, so that long texts aren't all held as objects."""
     import pyarrow.compute as pc

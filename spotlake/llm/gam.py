@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotlake.llm.common import cut, slices
+from spotlake.llm.common import cut, shielded, slices, unshielded
 
 FEATURES = (
     "log_words", "mean_word", "long_words", "symbols", "digits", "upper", "exclaims", "pipes", "commas", "stops",
@@ -210,28 +210,28 @@ def training_rows(features: DataFrame, sample: DataFrame, id_col: str) -> tuple[
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", least: float = 0.3, most_rows: int = 20_000) -> DataFrame:
     """docs without the text, with score (double) and predicted (int: 1 if score >= least). labels: the rows to learn from."""
-    features = cut(with_features(docs, text_col))
-    model = fit(*training_rows(features, label_sample(labels, id_col, label_col, most_rows), id_col))
-    kept = [c for c in features.columns if c not in ("__features", "score", "predicted")]
+    kept = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
+    features = cut(with_features(shielded(docs, kept, id=id_col, text=text_col), "text"))
+    model = fit(*training_rows(features, label_sample(labels, id_col, label_col, most_rows), "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
             scores = model.scores(flat.reshape(batch.num_rows, len(FEATURES)))
             arrays = [*batch.columns[:-1], pa.array(scores), pa.array((scores >= least).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "score", "predicted"])
 
-    cols = [F.col(f"`{c}`") for c in kept]
+    cols = [F.col(f"`k_{c}`") for c in kept]
     schema = features.select(*cols).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return features.select(*cols, "__features").mapInArrow(run, schema)
+    return unshielded(features.select(*cols, "__features").mapInArrow(run, schema), kept, "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", least: float = 0.3, most_rows: int = 20_000) -> DataFrame:
     """The rows of docs that classify() predicts as 1, with the same columns. The sample is drawn from the labels, so that only its texts are read twice."""
     sample = label_sample(labels, id_col, label_col, most_rows)
-    texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__t"))
-    texts = texts.join(F.broadcast(sample.select(F.col("__id").alias(id_col))), id_col, "left_semi")  # about most_rows ids
-    model = fit(*training_rows(with_features(texts, "__t"), sample, id_col))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.join(F.broadcast(sample.select(F.col("__id").alias("id"))), "id", "left_semi")  # about most_rows ids
+    model = fit(*training_rows(with_features(texts, "text"), sample, "id"))
     names = docs.columns
     at = names.index(text_col)
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import attach, cut, stored
+from spotlake.llm.common import attach, cut, shielded, stored, unshielded
 
 #: Title -> gender and script of the name after it; N: either.
 TITLES = {
@@ -241,7 +241,9 @@ def _units(rows: DataFrame) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", counted: bool = True) -> DataFrame:
     """docs with each entity of the text replaced by its surrogate, and with n_entities (int) if counted."""
-    names = [c for c in docs.columns if not (counted and c == "n_entities")]
+    own = [c for c in docs.columns if not (counted and c == "n_entities")]
+    docs, names = shielded(docs, own), [f"k_{c}" for c in own]
+    text_col = f"k_{text_col}"
     text = F.col(f"`{text_col}`")
     hits = F.when(F.rlike(text, F.lit(PREFILTER)), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     told = docs.select(F.monotonically_increasing_id().alias("__uid"), *[F.col(f"`{c}`") for c in names], hits.alias("__first"))
@@ -267,4 +269,4 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", counted:
     changed = rows.where(F.size("__hits") > 0).join(lists, "__uid")
     changed = changed.select(*[(rebuilt.alias(c) if c == text_col else F.col(f"`{c}`")) for c in names], *n)
     same = rows.where(F.coalesce(F.size("__hits"), F.lit(0)) <= 0).select(*[F.col(f"`{c}`") for c in names], *([F.lit(0).alias("n_entities")] if counted else []))
-    return same.unionByName(changed)
+    return unshielded(same.unionByName(changed), own, *(["n_entities"] if counted else []))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import cut, stored
+from spotlake.llm.common import cut, shielded, stored, unshielded
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,19 +138,23 @@ def _judged(counts: DataFrame, groups: tuple[str, ...], least_words: int, most_r
     return counts.join(fences, on, "left").select(*[F.col(f"`{c}`") for c in counts.columns], base_failed.alias("base_failed"), reason.alias("reason"))
 
 
+def _grouped(groups: tuple[str, ...]) -> dict[str, str]:
+    return {f"group_{i}": g for i, g in enumerate(groups)}
+
+
 def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text_col: str = "text", least_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """docs without the text, with the columns of COUNTS, base_failed, kept (both boolean) and reason (string, null if kept).
 
     Base rules: fewer than least_words words, or more than most_repeated per cent of the words repeated.
     """
-    counts = cut(with_counts(docs.drop("base_failed", "kept", "reason"), text_col))
-    return _judged(counts, groups, least_words, most_repeated).withColumn("kept", F.col("reason").isNull())
+    outputs = [*COUNTS, "base_failed", "kept", "reason"]
+    names = [c for c in docs.columns if c != text_col and c not in outputs]
+    counts = cut(with_counts(shielded(docs, names, **_grouped(groups), text=text_col), "text"))
+    judged = _judged(counts, tuple(_grouped(groups)), least_words, most_repeated).withColumn("kept", F.col("reason").isNull())
+    return unshielded(judged, names, *outputs)
 
 
 def keep_passing(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), text_col: str = "text", least_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """The rows of docs that apply_rules() keeps, with the same columns."""
-    names = [f"k_{c}" for c in docs.columns]
-    told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *[F.col(f"`{g}`").alias(g) for g in groups], F.col(f"`{text_col}`").alias("__whole"))
-    counts = stored(with_counts(told, "__whole"), "quality-rules")
-    kept = _judged(counts, groups, least_words, most_repeated).where(F.col("reason").isNull())
-    return kept.select(*[F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    counts = stored(with_counts(shielded(docs, docs.columns, **_grouped(groups), whole=text_col), "whole"), "quality-rules")
+    return unshielded(_judged(counts, tuple(_grouped(groups)), least_words, most_repeated).where(F.col("reason").isNull()), docs.columns)

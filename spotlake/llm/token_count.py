@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.llm.chunks import PartCache
-from spotlake.llm.common import slices
+from spotlake.llm.common import shielded, slices, unshielded
 
 MARK = "▁"
 #: Texts on which a counter has to agree with the library when it is made: blanks and their runs, newlines, marks, accents, bytes.
@@ -129,9 +129,9 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, text_col: st
         tokens = _counter(model_path)
         for batch in slices(batches, len(kept) + 1):
             counts = [tokens(text or "") for text in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*kept, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
-    text = F.col(f"`{text_col}`").cast("string")
-    narrow = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("__text"))
-    schema = narrow.drop("__text").schema.add("n_tokens", "long")
-    return narrow.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    told = shielded(df, kept, text=text_col).withColumn("text", F.col("text").cast("string"))
+    narrow = told.select(*[F.col(f"`k_{c}`") for c in kept], F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    schema = narrow.drop("text").schema.add("n_tokens", "long")
+    return unshielded(narrow.mapInArrow(run, schema), kept, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
