@@ -168,12 +168,9 @@ def _tried(norm: Column) -> Column:
     return F.concat(*[F.when(_holds(norm, heads(k)) & F.rlike(norm, F.lit(f" (?:{k}){VERSION} ")), F.array(*map(F.lit, numbers))).otherwise(none) for k, numbers in by_keyword.items()])
 
 
-def _of_rule(value) -> Column:
-    """value(rule) of the rule that column `rule` numbers."""
-    number, out = F.col("rule"), F
-    for r in RULES:
-        out = out.when(number == r.number, value(r))
-    return out
+def _pattern() -> Column:
+    """The pattern of the rule that column `rule` numbers: a look-up in one constant, as a branch for each rule would be beyond what Spark compiles."""
+    return F.get(F.array(*[F.lit(r.pattern) for r in RULES]), F.col("rule"))
 
 
 def _blanks(s: Column) -> Column:
@@ -183,8 +180,8 @@ def _blanks(s: Column) -> Column:
 def detections(texts: DataFrame) -> DataFrame:
     """(uid, norm) -> uid, label, priority, confidence, base, rule, start and stop (words, stop exclusive), kept (not suppressed)."""
     tried = texts.select("uid", "norm", F.explode(_tried(F.col("norm"))).alias("rule"))
-    hits = tried.withColumn("hits", _of_rule(lambda r: F.regexp_extract_all("norm", F.lit(r.pattern), F.lit(0)))).where(F.size("hits") > 0)
-    gaps = F.transform(_of_rule(lambda r: F.split("norm", r.pattern, -1)), _blanks)
+    hits = tried.withColumn("pattern", _pattern()).withColumn("hits", F.regexp_extract_all("norm", F.col("pattern"), F.lit(0))).where(F.size("hits") > 0)
+    gaps = F.transform(F.split("norm", F.col("pattern"), F.lit(-1)), _blanks)
     found = hits.select("uid", "rule", gaps.alias("gaps"), F.transform("hits", _blanks).alias("widths"))
     # words before hit i: the blanks before it, which are those of gaps 0..i and of hits 0..i-1
     places = F.aggregate(
