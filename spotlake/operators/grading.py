@@ -33,7 +33,8 @@ def folded(call: Column) -> Column:
 
 
 def grade_spots(
-    spots: DataFrame, reports: DataFrame, window: int, freq_tol: float, speed_tol: float, speed_share: float, freq_step: float, join_gap: int, spotters: tuple[str, ...] = (), excluded: tuple[str, ...] = (), bands: tuple = BANDS
+    spots: DataFrame, reports: DataFrame, window: int, freq_tol: float, speed_tol: float, speed_share: float, freq_step: float, join_gap: int, spotters: tuple[str, ...] = (), excluded: tuple[str, ...] = (), bands: tuple = BANDS,
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """A grade per spot.
 
@@ -41,7 +42,7 @@ def grade_spots(
     reports of `spotters` count (all, if none is named), and none of `excluded`. A spot matches reports of its call in the window on its
     band (or within freq_tol where it is in no band); it disagrees if it is over freq_tol from their modal frequency, or over
     max(speed_tol, speed_share of the median) from their median speed. Without such reports it is elsewhere if another band has one,
-    none if the window is covered, else unknown. freq_offset is the spot's frequency less the modal one; bands lists all bands with reports.
+    none if the window is covered, else unknown. Covered is what lies in one of `spans` (start, stop), by default in what the archives cover. freq_offset is the spot's frequency less the modal one; bands lists all bands with reports.
     """
     kept = spotter_kept(F.col("spotter"), spotters, excluded)
     near = band_join(spots.withColumn("__call", folded(F.col("call"))), reports.where(kept).withColumn("__call", folded(F.col("call"))).drop("call"), ["__call"], "t", "r_t", window)
@@ -56,7 +57,7 @@ def grade_spots(
     )
     step = F.round(F.col("r_freq") / freq_step) * freq_step
     modal = modal_nearest(pairs.where("same"), ["spot_id"], step, F.col("freq"), "modal_freq")
-    covered = _covered(spots, coverage(reports, "r_t", join_gap, 64.0 * window), window)
+    covered = _covered(spots, spans if spans is not None else coverage(reports, "r_t", join_gap, 64.0 * window), window)
     graded = spots.join(summed, "spot_id", "left").join(modal, "spot_id", "left").join(covered, "spot_id", "left")
     offset = F.col("freq") - F.col("modal_freq")
     off_freq = F.abs(offset) > freq_tol
