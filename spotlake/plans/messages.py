@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spotlake.operators import alignment, lattice, repetition
+from spotlake.operators import alignment, lattice, lifecycle, repetition
 from spotlake.plans.registry import DAY, EVENTS, HOUR, events, query, table
 from spotlake.plans.spectra import _ROWS, _spectra
 
@@ -58,3 +58,13 @@ def truth_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = events(spark, sf_dir).where("event_type = 'purchase'").crossJoin(count).select(F.col("event_id").alias("truth_id"), F.lit(0).alias("input"), (F.col("event_id") % F.col("hops")).cast("double").alias("t"), (F.col("k") * 0.6).alias("offset"))
     hops = _spectra(spark, sf_dir).select(F.lit(0).alias("input"), F.col("hop").alias("t"), "channel", "power")
     return alignment.truth_slices(truth, hops, 1.0, 20.0).groupBy("truth_id", "channel").agg(F.count("*").alias("hops"), F.round(F.avg("power"), 9).alias("power"))
+
+
+@query()
+def track_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of the spectra that rise and hold, with a character now and then."""
+    power, hop, channel = F.col("power"), F.col("hop"), F.col("channel")
+    rows = _spectra(spark, sf_dir).select(
+        F.lit("a").alias("input"), "hop", "channel", (power > 0.01).alias("rise"), (power > 0.005).alias("level"), ((power > 0.005) & ((hop + channel) % 9 == 0)).alias("decoded"), (channel + (power - 0.02)).alias("position")
+    )
+    return lifecycle.lives(rows, lifecycle.Timers(confirm=2, hang=20, sleep=40, mute=120, suppress=60)).withColumn("centre", F.round("centre", 6))
