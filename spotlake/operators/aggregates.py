@@ -43,11 +43,12 @@ def pooled(df: DataFrame, value: str, error: str) -> DataFrame:
 def bootstrap_interval(clusters: DataFrame, id_col: str, hits: str, total: str, resamples: int = 200) -> DataFrame:
     """A 95 % interval of sum(hits) / sum(total) over resampled clusters: low, high, estimate.
 
-    A cluster's weight in a resample is a Poisson(1) draw from a hash of its id and the resample's number, which stands for
+    A cluster's weight in a resample is a Poisson(1) draw from the md5 of its id and the resample's number, which stands for
     drawing clusters with replacement without gathering them; so the work is one exploded aggregation, whatever the number
     of clusters. Bounds are order statistics int(0.025 R) and int(0.975 R) - 1.
     """
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col("r")), F.lit(1_000_000)) / 1_000_000.0
+    drawn = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("r").cast("string")))
+    draw = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
     weight, cumulated, probability = F.lit(8), 0.0, 0.36787944117144233
     cuts = []
     for k in range(8):

@@ -115,3 +115,36 @@ def score(graded_spots: DataFrame, graded_reports: DataFrame) -> DataFrame:
     r = graded_reports.agg(F.count("*").alias("reports"), F.count_if(F.col("grade") == "found").alias("found"))
     both = s.crossJoin(r)  # one row by one row
     return both.select("spots", "reports", F.round(F.try_divide("hits", "spots"), 6).alias("precision"), F.round(F.try_divide("found", "reports"), 6).alias("recall"))
+
+
+def within(df: DataFrame, at: str, freq: str, passbands: tuple[tuple[float, float], ...] = (), start: float | None = None, stop: float | None = None) -> DataFrame:
+    """Rows in one of the passbands (inclusive; any, if none is named) and in the time from start on, before stop."""
+    kept = F.lit(True)
+    if passbands:
+        kept = F.lit(False)
+        for low, high in passbands:
+            kept = kept | F.col(freq).between(low, high)
+    if start is not None:
+        kept = kept & (F.col(at) >= start)
+    if stop is not None:
+        kept = kept & (F.col(at) < stop)
+    return df.where(F.coalesce(kept, F.lit(False)))
+
+
+def paired(spots: DataFrame, reports: DataFrame, rules: dict, passbands: tuple[tuple[float, float], ...] = (), start: float | None = None, stop: float | None = None) -> DataFrame:
+    """Per band and in total (band null): spots and how they are graded, reports and whether spots found them, recall, and the share of covered spots that no report backs.
+
+    rules: the further arguments of grade_spots(). Only spots and reports within() the passbands and the time count, but any may confirm them.
+    Reports of other spotters, or of calls that are none, don't count and cover nothing.
+    """
+    heard = reports.where(spotter_kept(F.col("spotter"), rules.get("spotters", ()), rules.get("excluded", ())))
+    graded = grade_spots(within(spots, "t", "freq", passbands, start, stop), heard, **rules)
+    backward = grade_reports(within(heard, "r_t", "r_freq", passbands, start, stop), spots, rules["window"])
+    counts = [F.count_if(F.col("grade") == g).alias(f"n_{g}") for g in ("match", "disagree", "elsewhere", "none", "unknown")]
+    forward = graded.groupBy("band").agg(F.count("*").alias("spots"), *counts)
+    back = backward.groupBy("band").agg(F.count("*").alias("reports"), F.count_if(F.col("grade") == "found").alias("found"), F.count_if(F.col("grade") == "elsewhere").alias("reports_elsewhere"))
+    numbers = ["spots", *[f"n_{g}" for g in ("match", "disagree", "elsewhere", "none", "unknown")], "reports", "found", "reports_elsewhere"]
+    both = forward.join(back, "band", "full").select("band", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
+    summed = both.rollup("band").agg(F.grouping("band").cast("int").alias("total"), *[F.sum(c).cast("long").alias(c) for c in numbers])
+    judged = F.col("n_match") + F.col("n_disagree") + F.col("n_elsewhere") + F.col("n_none")
+    return summed.select("*", F.round(F.try_divide("found", "reports"), 6).alias("recall"), F.round(F.try_divide(F.col("n_elsewhere") + F.col("n_none"), judged), 6).alias("candidate_false"))

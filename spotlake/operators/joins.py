@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def _on(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [left[x] == right[y] for x, y in keys])
+    return reduce(lambda a, b: a & b, [left[x] == right[y] for x, y in keys], F.lit(True))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, before: float, after: float, how: str = "inner") -> DataFrame:

@@ -116,3 +116,26 @@ def unplanned(outages: DataFrame, planned: DataFrame, keys: list[str], width: fl
     met = met.where(F.col("__b") == F.greatest(bucket("start"), bucket("p_start")))
     share = F.sum(F.least("stop", "p_stop") - F.greatest("start", "p_start")).alias("excused")
     return outages.join(met.groupBy("o_id").agg(share), "o_id", "left").withColumn("excused", F.coalesce("excused", F.lit(0)))
+
+
+def availability(samples: DataFrame, planned: DataFrame, keys: list[str], at: str, tie: str, up: str, patience: float, least_observed: float = 0.5, target: float = 0.99) -> DataFrame:
+    """samples (keys, at, tie, up) -> per key: up, down, unobserved, excused, availability and verdict.
+
+    A sample says the state until the next one; longer than `patience` until then is unobserved. Time down in the planned windows (keys, p_start, p_stop) is excused and counts
+    neither way. availability: up by up and what is left of down, null without either. verdict: unknown if less than least_observed of the time that is not excused was observed, else pass or fail by the target.
+    """
+    after = F.lead(at).over(by(keys, at, tie))
+    spans = samples.withColumn("stop", after).where("stop IS NOT NULL").withColumn("length", F.col("stop") - F.col(at))
+    state = F.when(F.col("length") > patience, "unobserved").when(F.col(up), "up").otherwise("down")
+    spans = spans.select(*keys, F.col(at).alias("start"), "stop", "length", state.alias("state"))
+    part = lambda s: F.coalesce(F.sum(F.when(F.col("state") == s, F.col("length"))), F.lit(0)).alias(s)
+    totals = spans.groupBy(*keys).agg(part("up"), part("down"), part("unobserved"))
+    # down spans of a key don't overlap, so each is an outage of its own, named by its start
+    down = spans.where("state = 'down'").select(*keys, F.struct(*keys, "start").alias("o_id"), "start", "stop")
+    excused = unplanned(down, planned, keys, max(patience, 1)).groupBy(*keys).agg(F.sum("excused").alias("excused"))
+    told = totals.join(excused, keys, "left").withColumn("excused", F.coalesce("excused", F.lit(0)))
+    charged = F.col("down") - F.col("excused")
+    share = F.try_divide(F.col("up"), F.col("up") + charged)
+    observed = F.try_divide(F.col("up") + charged, F.col("up") + charged + F.col("unobserved"))
+    verdict = F.when(F.coalesce(observed, F.lit(0.0)) < least_observed, "unknown").when(share >= target, "pass").otherwise("fail")
+    return told.select(*keys, "up", "down", "unobserved", "excused", F.round(share, 6).alias("availability"), verdict.alias("verdict"))

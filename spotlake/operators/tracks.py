@@ -65,3 +65,17 @@ def bad_streaks(df: DataFrame, keys: list[str], at: str, ok: str) -> DataFrame:
     last_good = F.max(F.when(F.col(ok), F.col(at))).over(Window.partitionBy(*keys))
     bad = df.withColumn("__good", last_good).where(F.col("__good").isNull() | (F.col(at) > F.col("__good")))
     return bad.groupBy(*keys).agg(F.count("*").alias("streak"), F.min(at).alias("since"))
+
+
+def in_band(at: Column, band: tuple[float, float] | None, guard: float = 0.0) -> Column:
+    """Whether a place lies in a half-open band, by `guard` at least; in any place without a band. For trusted and spawn bands and the guard of an analytic signal."""
+    return F.lit(True) if band is None else (at >= band[0] + guard) & (at < band[1] - guard)
+
+
+def veto_census(rises: DataFrame, rules: dict[str, Column], hop: str, channel: str, per_second: int) -> DataFrame:
+    """rises -> second, channel, veto, n: how often each rule was the first to refuse a rise. Rises that none refuses are left out."""
+    veto = F.lit(None).cast("string")
+    for name, refuses in reversed(rules.items()):
+        veto = F.when(refuses, name).otherwise(veto)
+    told = rises.select(F.floor(F.col(hop) / per_second).alias("second"), F.col(channel).alias("channel"), veto.alias("veto")).where("veto IS NOT NULL")
+    return told.groupBy("second", "channel", "veto").agg(F.count("*").alias("n"))

@@ -160,11 +160,24 @@ def pairing_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.pairing_tally(rows, "lang", F.col("quality") == 1, F.col("toxic") == 1).withColumn("overall", F.col("overall").cast("int"))
 
 
-@query()
+def _poisson(draw: str) -> str:
+    cuts, total, share = [], 0.0, 0.36787944117144233
+    for k in range(8):
+        total += share
+        cuts.append(f"WHEN {draw} < {total!r} THEN {k}")
+        share /= k + 1
+    return f"CASE {' '.join(cuts)} ELSE 8 END"
+
+
+@query(f"""WITH c AS (SELECT doc_id % 200 AS cluster, sum(quality) AS hits, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+  d AS (SELECT *, CAST('0x' || substr(md5(CAST(cluster AS VARCHAR) || ':' || CAST(r AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM c, (SELECT unnest(range(0, 200)) AS r)),
+  q AS (SELECT list(rate ORDER BY rate) AS rates FROM (SELECT r, sum({_poisson("u")} * hits) / sum({_poisson("u")} * total) AS rate FROM d GROUP BY r))
+  SELECT round(rates[6], 9) AS low, round(rates[195], 9) AS high, round((SELECT sum(hits) / sum(total) FROM c), 9) AS estimate FROM q""")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     clusters = rows.groupBy(F.pmod("doc_id", F.lit(200)).alias("cluster")).agg(F.sum("quality").alias("hits"), F.count("*").alias("total"))
-    return aggregates.bootstrap_interval(clusters, "cluster", "hits", "total")
+    found = aggregates.bootstrap_interval(clusters, "cluster", "hits", "total")
+    return found.select(*[F.round(c, 9).alias(c) for c in ("low", "high", "estimate")])
 
 
 @query("""WITH b AS (SELECT unnest([0, 1, 2, 3, 4]) AS bucket, unnest([5.0, 20.0, 60.0, 150.0, NULL]) AS bound), h AS (SELECT CASE WHEN value <= 5 THEN 0 WHEN value <= 20 THEN 1 WHEN value <= 60 THEN 2 WHEN value <= 150 THEN 3 ELSE 4 END AS bucket, count(*) AS n

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spotlake.functions import numeric
 from spotlake.functions import text as T
-from spotlake.operators import aggregates, country, joins, shadow, temporal, transcript
+from spotlake.operators import aggregates, country, joins, shadow, temporal, tracks, transcript
 from spotlake.plans.registry import DAY, EVENTS, HOUR, events, query, table
 from spotlake.plans.spectra import _ROWS, _spectra
 from spotlake.plans.texts import _CALLS, _calls
@@ -117,6 +117,22 @@ def planned_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.unplanned(outages, planned, ["user_id"], 6 * HOUR).select("o_id", (F.col("stop") - F.col("start")).alias("length"), "excused")
 
 
+_AVAILABLE = f"""{EVENTS}, sp AS (SELECT user_id, t AS start, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS stop, event_type <> 'error' AS up FROM ev),
+  st AS (SELECT *, stop - start AS length, CASE WHEN stop - start > {3 * DAY} THEN 'unobserved' WHEN up THEN 'up' ELSE 'down' END AS state FROM sp WHERE stop IS NOT NULL),
+  pw AS (SELECT user_id, t - {6 * HOUR} AS a, t + {12 * HOUR} AS b FROM ev WHERE event_type = 'signup'), pj AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM pw),
+  pm AS (SELECT user_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM pj) GROUP BY user_id, g),
+  ex AS (SELECT st.user_id, sum(least(stop, b) - greatest(start, a)) AS excused FROM st JOIN pm ON st.user_id = pm.user_id AND state = 'down' AND start < b AND a < stop GROUP BY st.user_id),
+  tt AS (SELECT st.user_id, coalesce(sum(length) FILTER (state = 'up'), 0) AS up, coalesce(sum(length) FILTER (state = 'down'), 0) AS down, coalesce(sum(length) FILTER (state = 'unobserved'), 0) AS unobserved, coalesce(any_value(excused), 0) AS excused FROM st LEFT JOIN ex ON ex.user_id = st.user_id GROUP BY st.user_id)"""
+
+
+@query(f"""WITH {_AVAILABLE} SELECT user_id, CAST(up AS BIGINT) AS up, CAST(down AS BIGINT) AS down, CAST(unobserved AS BIGINT) AS unobserved, CAST(excused AS BIGINT) AS excused, round(up / nullif(up + down - excused, 0), 6) AS availability,
+  CASE WHEN coalesce((up + down - excused) / nullif(up + down - excused + unobserved, 0), 0) < 0.5 THEN 'unknown' WHEN up / nullif(up + down - excused, 0) >= 0.9 THEN 'pass' ELSE 'fail' END AS verdict FROM tt""")
+def availability_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumn("up", F.col("event_type") != "error")
+    planned = e.where("event_type = 'signup'").select("user_id", (F.col("t") - 6 * HOUR).alias("p_start"), (F.col("t") + 12 * HOUR).alias("p_stop"))
+    return temporal.availability(e.select("user_id", "t", "event_id", "up"), planned, ["user_id"], "t", "event_id", "up", 3 * DAY, 0.5, 0.9)
+
+
 @query(f"""WITH {EVENTS} SELECT user_id, count(*) FILTER (event_type <> 'error') AS n, CASE WHEN count(*) FILTER (event_type <> 'error') >= 5 THEN round(median(value) FILTER (event_type <> 'error'), 6) END AS median,
   round(max(value) FILTER (event_type <> 'error') - min(value) FILTER (event_type <> 'error'), 6) AS spread FROM ev GROUP BY user_id""")
 def calibration_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +166,8 @@ def outside_digital_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ROWS} SELECT CAST(hop // 60 AS BIGINT) AS second, channel, CASE WHEN power < 0.001 THEN 'floor' WHEN power > 0.05 THEN 'crash' ELSE 'guard' END AS veto, count(*) AS n FROM s WHERE power < 0.001 OR power > 0.05 OR channel >= 60 GROUP BY ALL")
 def spawn_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    veto = F.when(F.col("power") < 0.001, "floor").when(F.col("power") > 0.05, "crash").when(F.col("channel") >= 60, "guard")
-    rows = _spectra(spark, sf_dir).select(F.floor(F.col("hop") / 60).alias("second"), "channel", veto.alias("veto"))
-    return rows.where("veto IS NOT NULL").groupBy("second", "channel", "veto").agg(F.count("*").alias("n"))
+    rules = {"floor": F.col("power") < 0.001, "crash": F.col("power") > 0.05, "guard": ~tracks.in_band(F.col("channel"), (0, 60))}
+    return tracks.veto_census(_spectra(spark, sf_dir), rules, "hop", "channel", 60)
 
 
 @query("""SELECT conv_id, turn, contains(' ' || w || ' ', ' ' || c || ' ') AS as_word, contains(' ' || w || ' ', ' CQ ' || c || ' ') OR contains(' ' || w || ' ', ' DE ' || c || ' ') OR contains(' ' || w || ' ', ' TEST ' || c || ' ') AS framed, contains(replace(text, ' ', ''), c) AS inside
