@@ -84,13 +84,14 @@ def spot_id(station: Column, nonce: Column, track: Column, ts: Column, call: Col
 
 
 def dx_line(spotter: Column, freq_khz: Column, call: Column, mode: Column, snr: Column, wpm: Column, kind: Column, hhmm: Column) -> Column:
-    """A cluster line in fixed columns: frequency ends at 24, call from 27, mode from 42; overlong fields shift only what they must."""
+    """A cluster line in fixed columns: frequency ends at 24, call from 27, mode from 42; overlong fields shift only what they must; a null speed is blank."""
     head = F.concat(F.lit("DX de "), spotter, F.lit("-#:"))
     freq = F.format_string("%.2f", freq_khz)
     room = F.greatest(F.length(freq) + 1, F.lit(24) - F.length(head))
     line = F.concat(head, F.lpad(freq, room, " "), F.lit("  "))
     line = F.concat(F.rpad(F.concat(line, call), F.greatest(F.lit(41), F.length(line) + F.length(call) + 1), " "), F.rpad(mode, 5, " "))
-    return F.concat(line, F.lpad(snr.cast("string"), 3, " "), F.lit(" dB "), F.lpad(wpm.cast("string"), 3, " "), F.lit(" WPM "), F.rpad(kind, 7, " "), hhmm, F.lit("Z"))
+    speed = F.coalesce(F.concat(F.lpad(wpm.cast("string"), 3, " "), F.lit(" WPM ")), F.lit(" " * 8))
+    return F.concat(line, F.lpad(snr.cast("string"), 3, " "), F.lit(" dB "), speed, F.rpad(kind, 7, " "), hhmm, F.lit("Z"))
 
 
 def locator(lat: Column, lon: Column) -> Column:
@@ -114,6 +115,14 @@ def locator_centre(grid: Column) -> tuple[Column, Column]:
     return F.when(valid, lat), F.when(valid, lon)
 
 
+def in_locator(grid: Column, lat: Column, lon: Column) -> Column:
+    """Whether a place lies in a four or six character square, its south and west sides included; null for other texts."""
+    middle_lat, middle_lon = locator_centre(grid)
+    fine = F.length(grid) == 6
+    half_lat, half_lon = F.when(fine, 0.5 / 24).otherwise(0.5), F.when(fine, 0.5 / 12).otherwise(1.0)
+    return (lat >= middle_lat - half_lat) & (lat < middle_lat + half_lat) & (lon >= middle_lon - half_lon) & (lon < middle_lon + half_lon)
+
+
 def text_score(call: Column, text: Column) -> tuple[Column, Column, Column]:
     """Whether a text holds a call as a word, as a word after CQ, DE or TEST, and anywhere once blanks are left out."""
     words = F.concat(F.lit(" "), F.regexp_replace(text, r"\s+", " "), F.lit(" "))

@@ -86,6 +86,24 @@ def half_band(taps: int = 127) -> np.ndarray:
     return shape / shape.sum()
 
 
+def decimate(blocks: DataFrame, factor: int, taps: int = 127) -> DataFrame:
+    """blocks at a `factor`-th of their rate, a power of two, by as many half-band stages. Blocks have to start at multiples of factor; the last taps - 1 samples of a stretch give none."""
+    if factor < 1 or factor & (factor - 1):
+        raise ValueError("the factor has to be a power of two")
+    while factor > 1:
+        blocks, factor = fir(blocks, half_band(taps), 2), factor // 2
+    return blocks
+
+
+def trusted_bandwidth(rate: float, factor: int, taps: int = 127, beta: float = 8.0) -> float:
+    """Hz around the centre that decimate() neither dampens nor folds: the output's rate less the last stage's transition, twice half of it on either side."""
+    if factor == 1:
+        return rate
+    attenuation = beta / 0.1102 + 8.7  # of a Kaiser window
+    transition = (attenuation - 7.95) / (14.36 * (taps - 1)) * (2 * rate / factor)
+    return rate / factor - transition
+
+
 def analytic(taps: int = 511) -> np.ndarray:
     """Complex taps that pass positive frequencies of a real signal: a delay plus i times a Hilbert filter."""
     at = np.arange(taps) - (taps - 1) // 2
