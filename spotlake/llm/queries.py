@@ -118,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_spelling_variants": op13_spelling_variants,
 }
 
+#: The crc32 of a list of bytes, by the table of its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END))"
 _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|)"
 #: Lengths of a turn's parts, its place and tokens, then stretches of half the room, long last turns apart, and what windows repeat.
 ORACLES: dict[str, str] = {
@@ -147,6 +150,47 @@ ORACLES: dict[str, str] = {
           SELECT conv, any_value(conv_id) AS conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS whole,
             coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM p GROUP BY conv)
         SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM g JOIN n USING (conv)""",
+    "op11_multi_index": """
+        WITH RECURSIVE u AS MATERIALIZED (
+          SELECT row_number() OVER () AS rn, vec_id, label, embedding::DOUBLE[] AS v,
+            coalesce(label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS sound FROM embeddings),
+        l AS MATERIALIZED (SELECT a.rn AS x, b.rn AS y FROM u a JOIN u b ON a.sound AND b.sound AND a.label = b.label AND a.rn <> b.rn AND list_cosine_similarity(a.v, b.v) >= 0.93),
+        r AS (SELECT rn AS x, rn AS y FROM u UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT r.x, min(u.vec_id) AS component_id FROM r JOIN u ON u.rn = r.y GROUP BY r.x),
+        n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM u JOIN c ON c.x = rn LEFT JOIN n ON n.x = rn""",
+    "op12_periodic_runs": f"""
+        WITH tab AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+        d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w,
+          xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '')")}::BIGINT[]), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8))) AS h FROM documents, tab),
+        g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS changed, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, (h // 10) % 8 AS m FROM d),
+        p AS (SELECT *, 1 + (n - a) // (3 + m) AS p FROM g),
+        x AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, n, CASE WHEN changed THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+        q AS MATERIALIZED (SELECT k, n, CAST(unnest(range(0, n)) AS BIGINT) AS i, unnest(w) AS word FROM x),
+        e AS (SELECT a.k, a.i, b.i - a.i AS q FROM q a JOIN q b ON a.k = b.k AND a.word = b.word AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+        s AS (SELECT k, q, min(i) AS start, count(*) + q AS length FROM (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM e) GROUP BY k, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+        r AS MATERIALIZED (SELECT k, start, length, min(q) AS period FROM s GROUP BY k, start, length),
+        t AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM r GROUP BY k),
+        b AS (SELECT k, start, length, period FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length / CAST(period AS DOUBLE) DESC, start, period) AS rn FROM r) WHERE rn = 1),
+        z AS (SELECT q.k, string_agg(word, ' ' ORDER BY i) AS kept FROM q LEFT JOIN (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM r) o USING (k, i) WHERE o.k IS NULL GROUP BY q.k)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM x LEFT JOIN t USING (k) LEFT JOIN b USING (k) LEFT JOIN z USING (k)""",
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE tab AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+        low AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM runs WHERE length(w) >= 5 GROUP BY ALL),
+        hashed AS (
+          SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")}::BIGINT[]), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8))) AS h FROM low, tab),
+        slipped AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM hashed),
+        v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        gaps AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS gap FROM (SELECT word, n, CAST(unnest(range(0, length(word))) AS BIGINT) AS i FROM v)),
+        near AS MATERIALIZED (
+          SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+          UNION SELECT g.word, v.word, v.n FROM gaps g JOIN v ON g.gap = v.word UNION SELECT v.word, g.word, g.n FROM gaps g JOIN v ON g.gap = v.word),
+        best AS (SELECT word, count(*) AS n_near, arg_min(other, {{'n': -other_n, 'w': other}}) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+        formed AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+        way AS (SELECT word, word AS root FROM formed UNION ALL SELECT way.word, f.form FROM way JOIN formed f ON f.word = way.root AND f.form IS NOT NULL)
+        SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, root FROM way JOIN (SELECT word AS root FROM formed WHERE form IS NULL) USING (root)) w ON w.word = f.word""",
     "op8_topk": """
         WITH usable AS MATERIALIZED (
           SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

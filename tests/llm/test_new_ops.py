@@ -313,3 +313,16 @@ def test_op13_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.QUERIES["op13_spelling_variants"](spark, SF).collect()
     assert set(map(tuple, got)) == brute_groups(brute_words(rows)) and len(got) > 1000
+
+
+@pytest.mark.parametrize("name", ["op11_multi_index", "op12_periodic_runs", "op13_spelling_variants"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    want = con.execute(queries.ORACLES[name])
+    columns, rows = [d[0] for d in want.description], want.fetchall()
+    got = [tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, SF).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, rows)) and len(rows) > 100
