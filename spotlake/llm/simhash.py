@@ -1,15 +1,15 @@
 """Operator 2: near-duplicates by SimHash fingerprints, a byte-position inverted index and count filtering.
 
 Two 64-bit fingerprints that differ in at most four bits differ in at most four of their eight bytes, so they share at
-least four positional bytes: the guaranteed minimum. The index lists each distinct fingerprint under its bytes at three positions at a
-time; the triples are chosen so that any four positions hold at least two of them, while three positions hold one at most. So a pair
-is met once for each listed triple among the positional bytes that it shares: meetings are tallied per pair over all postings, pairs
-below LEAST_SHARED meetings (those of fewer than four shared bytes) are dropped, and the rest are verified bit by bit.
+least four positional bytes: the guaranteed minimum. A list of all fingerprints with one byte at one place would hold a 256th of them, so the index lists each
+distinct fingerprint under its bytes at three positions at a time; any four positions hold one of the triples. Of each pair that meets the
+shared positional bytes are tallied; pairs below LEAST_SHARED are dropped, and the rest are verified bit by bit. Every link passes that filter.
 
 Large postings aren't expanded into pairs. First each fingerprint of a posting is compared with the posting's smallest
 member only, which joins nearly all of a group of near copies. Pairs are then sought only in postings that still hold more than one
 component, and there only between members outside the posting's largest component and all others, so a group that is already joined
-is never paired with itself.
+is never paired with itself. A posting of more than HOT_POSTING members is split by a fourth byte, at each of its five other positions: a pair with four shared bytes meets
+in one of those at least.
 
 Null text counts as empty: fingerprint zero, linked like any other. Rows are kept one by one, repeated rows and ids
 included; a null id stays null and never names a component (a component of null ids only has a null id). Other
@@ -30,19 +30,24 @@ from spotlake.llm.components import smallest_reachable
 
 BYTES = 8
 SEED = 42
-#: Meetings in postings that four shared positional bytes guarantee, and three don't reach.
-LEAST_SHARED = 2
+#: Positional bytes that a link of four bits shares at least.
+LEAST_SHARED = 4
+#: Members of a posting above which it is split by a fourth byte.
+HOT_POSTING = 4096
 
 
 def index_positions() -> list[tuple[int, ...]]:
-    """Triples of byte positions of which any four positions hold at least LEAST_SHARED: all triples, less those that can be spared one after another."""
-    kept = list(combinations(range(BYTES), 3))
-    fours = [set(four) for four in combinations(range(BYTES), 4)]
-    for triple in list(kept):
-        fewer = [t for t in kept if t != triple]
-        if all(sum(set(t) <= four for t in fewer) >= LEAST_SHARED for four in fours):
-            kept = fewer
-    return kept
+    """Triples of byte positions of which any four positions hold at least one, as few as can be.
+
+    Turan's construction: the positions in three groups; a triple is listed if it lies in one group, or has two positions in one and the third in the next.
+    """
+    group = {p: p * 3 // BYTES for p in range(BYTES)}
+
+    def listed(triple: tuple[int, ...]) -> bool:
+        counts = [sum(group[p] == g for p in triple) for g in range(3)]
+        return 3 in counts or any(counts[g] == 2 and counts[(g + 1) % 3] == 1 for g in range(3))
+
+    return [t for t in combinations(range(BYTES), 3) if listed(t)]
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -95,9 +100,21 @@ def _postings(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
 
 
-def _near(x: str, y: str, bits: int) -> Column:
-    """Verification."""
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
+def _linked(x: str, y: str, bits: int) -> Column:
+    """The tally of shared positional bytes reaches the guaranteed minimum, and the bits are near enough."""
+    apart = F.col(x).bitwiseXOR(F.col(y))
+    shared = sum(F.when(F.shiftrightunsigned(apart, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(BYTES))
+    return (shared >= LEAST_SHARED) & (F.bit_count(apart) <= bits)
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """rows (key, fp, size, ...) with the keys of large postings taken apart by one more byte, at each position that the posting's triple leaves."""
+    others = F.array(*[F.array(*[F.lit(p) for p in range(BYTES) if p not in triple]) for triple in index_positions()])
+    byte = lambda p: F.expr("shiftrightunsigned(fp, 8 * p)").bitwiseAND(F.lit(255))
+    hot = rows.where(F.col("size") > HOT_POSTING).withColumn("p", F.explode(F.get(others, F.shiftright("key", 24).cast("int"))))
+    # keys of the parts are negative, so they are no posting's own
+    hot = hot.withColumn("key", -(F.col("key") * 4096 + F.col("p") * 256 + byte("p")) - 1).drop("p")
+    return rows.where(F.col("size") <= HOT_POSTING).unionByName(hot)
 
 
 def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
@@ -108,20 +125,17 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     heads = postings.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("head"), F.count("*").alias("members"))
     heads = heads.where("members > 1").select("key", F.col("head.node").alias("a"), F.col("head.fp").alias("head_fp"))
     shared = cut(postings.join(heads, "key"))
-    stars = shared.where("node <> a").where(_near("fp", "head_fp", bits)).select("a", F.col("node").alias("b")).distinct()
+    stars = shared.where("node <> a").where(_linked("fp", "head_fp", bits)).select("a", F.col("node").alias("b")).distinct()
     first = cut(smallest_reachable(stars))
     named = cut(shared.select("key", "fp", "node").join(first, "node", "left").select("key", "fp", F.coalesce("root", "node").alias("root")))
     # per posting the members by component: only postings of several components have pairs left, and those outside its largest one seek them
     held = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("key").agg(F.max(F.struct("n", "root")).getField("root").alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", "top")
-    open_rows = cut(named.join(mixed, "key"))
+    mixed = held.groupBy("key").agg(F.max(F.struct("n", "root")).getField("root").alias("top"), F.count("*").alias("roots"), F.sum("n").alias("size")).where("roots > 1").select("key", "top", "size")
+    open_rows = cut(_split(named.join(mixed, "key")))
     x = open_rows.where("root <> top").select("key", F.col("fp").alias("fp_x"), F.col("root").alias("a"))
     y = open_rows.select("key", F.col("fp").alias("fp_y"), F.col("root").alias("b"), (F.col("root") == F.col("top")).alias("in_top"))
-    met = x.join(y, "key").where((F.col("a") != F.col("b")) & (F.col("in_top") | (F.col("fp_x") < F.col("fp_y"))))
-    low, high = F.least("fp_x", "fp_y").alias("low"), F.greatest("fp_x", "fp_y").alias("high")
-    tally = met.groupBy(low, high).agg(F.count("*").alias("meetings"), F.min(F.least("a", "b")).alias("a"), F.max(F.greatest("a", "b")).alias("b"))
-    rest = tally.where((F.col("meetings") >= LEAST_SHARED) & _near("low", "high", bits)).select("a", "b").distinct()
-    second = smallest_reachable(rest)
+    met = x.join(y, "key").where((F.col("a") != F.col("b")) & (F.col("in_top") | (F.col("fp_x") < F.col("fp_y"))) & _linked("fp_x", "fp_y", bits))
+    second = smallest_reachable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     onto = second.select(F.col("node").alias("mid"), F.col("root").alias("last"))
     lone = second.select("node", "root").join(first.select("node"), "node", "left_anti")
     moved = first.select("node", F.col("root").alias("mid")).join(onto, "mid", "left").select("node", F.coalesce("last", "mid").alias("root"))

@@ -130,11 +130,10 @@ def _components(nodes, linked):
 
 
 def test_index_covers_four_positions():
-    """Any four positions meet in at least LEAST_SHARED postings, any three in at most one."""
+    """Any four positions hold a listed triple, and there are no more than Turan's number of them."""
     triples = simhash.index_positions()
-    assert len(set(triples)) == len(triples) < 56 and simhash.LEAST_SHARED >= 2
-    assert all(sum(set(t) <= set(four) for t in triples) >= simhash.LEAST_SHARED for four in itertools.combinations(range(8), 4))
-    assert min(sum(set(t) <= set(four) for t in triples) for four in itertools.combinations(range(8), 4)) == simhash.LEAST_SHARED
+    assert len(set(triples)) == len(triples) == 20
+    assert all(any(set(t) <= set(four) for t in triples) for four in itertools.combinations(range(8), 4))
 
 
 def test_components(spark):
@@ -146,8 +145,26 @@ def test_components(spark):
     assert smallest_reachable(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_fingerprint_links(spark):
-    """Clouds of fingerprints around centres, a chain, and lone ones: all links of up to four bits, none beyond."""
+def test_hot_posting_is_split(spark):
+    """50,000 fingerprints that share three bytes meet by a fourth one: the same components as by brute force over all pairs."""
+    rng = np.random.default_rng(8)
+    fps = np.unique((rng.integers(0, 1 << 40, 50_000).astype(np.uint64) << np.uint64(24)) | np.uint64(0x123456))
+    flips = rng.integers(24, 64, (300, 4))
+    fps = np.unique(np.concatenate([fps, *[fps[:300] ^ np.bitwise_or.reduce(np.uint64(1) << flips[:, :k].astype(np.uint64), axis=1) for k in (1, 4)]]))
+    near = []
+    for i in range(0, len(fps), 2000):
+        a, b = np.nonzero(np.bitwise_count(fps[i : i + 2000, None] ^ fps[None, i:]) <= 4)
+        near += [(x + i, y + i) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x < y]
+    table = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64).tolist())], "fp long, node long")
+    got = {r.node: r.root for r in simhash.links(table).collect()}
+    want = _components({n for link in near for n in link}, near)
+    assert {n: r for n, r in got.items() if n != r or n in want} == want and len(near) > 500
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_near_fingerprint_links(spark, monkeypatch, hot):
+    """Clouds of fingerprints around centres, a chain, and lone ones: all links of up to four bits, none beyond; postings split or not."""
+    monkeypatch.setattr(simhash, "HOT_POSTING", hot)
     rng = random.Random(5)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for centre in list(fps)[:6]:
