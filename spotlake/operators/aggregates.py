@@ -23,6 +23,25 @@ def histogram_le(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
     return edges.join(counted, "bucket", "left").select("bucket", "bound", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histogram_quantile(df: DataFrame, keys: list[str], value: str, bounds: list[float], q: float, out: str = "quantile") -> DataFrame:
+    """Per key the q-quantile as a histogram of those upper bounds tells it: linear inside its bucket, the first of which begins at 0 or at its bound if that is lower.
+
+    Every row counts: what lies below is in the first bucket, and beyond the last bound in an open one, for which the last bound stands. Nulls don't count.
+    """
+    place = F.lit(len(bounds))
+    for i, bound in reversed(list(enumerate(bounds))):
+        place = F.when(F.col(value) <= bound, i).otherwise(place)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, place.alias("__i")).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*keys).orderBy("__i")
+    counts = counts.withColumn("__c", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__t", F.sum("__n").over(Window.partitionBy(*keys)))
+    reached = counts.where(F.col("__c") >= F.lit(q) * F.col("__t")).groupBy(*keys).agg(F.min_by(F.struct("__i", "__n", "__c", "__t"), "__i").alias("b"))
+    i = F.col("b.__i")
+    at = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), i)
+    low, high = at([min(0.0, bounds[0]), *bounds]), at([*bounds, bounds[-1]])
+    inside = low + (high - low) * (F.lit(q) * F.col("b.__t") - (F.col("b.__c") - F.col("b.__n"))) / F.col("b.__n")
+    return reached.select(*keys, F.when(i == len(bounds), F.lit(float(bounds[-1]))).otherwise(inside).alias(out))
+
+
 def pairing_tally(df: DataFrame, strata: str, a: Column, b: Column) -> DataFrame:
     """Per stratum and overall (stratum null): n, both, a_only, b_only, neither, union_rate."""
     rows = df.select(F.col(strata).alias("stratum"), a.alias("a"), b.alias("b"))

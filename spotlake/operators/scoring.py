@@ -53,7 +53,9 @@ def slots(rows: DataFrame, at: str, slot_us: int, need: int) -> DataFrame:
 
 
 def text_tails(parts: DataFrame, keys: list[str], order: str, text: str, size: int) -> DataFrame:
-    """Per key the last `size` characters of its parts in order."""
+    """Per key the last `size` characters of its parts in order. Only the newest parts that these can come from are gathered."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(text)).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__after", F.coalesce(F.sum(F.length(text) + 1).over(newest), F.lit(0))).where(F.col("__after") <= size)
     joined = F.array_join(F.sort_array(F.collect_list(F.struct(order, text)))[text], " ")
     return parts.groupBy(*keys).agg(joined.alias("__t")).select(*keys, F.when(F.length("__t") > size, F.substring("__t", -size, size)).otherwise(F.col("__t")).alias("tail"))
 

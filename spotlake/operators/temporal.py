@@ -139,3 +139,9 @@ def availability(samples: DataFrame, planned: DataFrame, keys: list[str], at: st
     observed = F.try_divide(F.col("up") + charged, F.col("up") + charged + F.col("unobserved"))
     verdict = F.when(F.coalesce(observed, F.lit(0.0)) < least_observed, "unknown").when(share >= target, "pass").otherwise("fail")
     return told.select(*keys, "up", "down", "unobserved", "excused", F.round(share, 6).alias("availability"), verdict.alias("verdict"))
+
+
+def counter_delta(df: DataFrame, keys: list[str], at: str, tie: str, value: str, out: str = "delta") -> DataFrame:
+    """df with how much a counter grew since the row before of its key; 0 at the first row and where it fell."""
+    last = F.lag(value).over(by(keys, at, tie))
+    return df.withColumn(out, F.coalesce(F.greatest(F.col(value) - last, F.lit(0)), F.lit(0)))

@@ -15,15 +15,28 @@ def track_intervals(rows: DataFrame, confirm: int, hang: int) -> DataFrame:
     return merge_intervals(spans, ["channel"], "start", "stop")
 
 
-def crash_spans(lifts: DataFrame, onset: float, release: float, least: int) -> DataFrame:
-    """(hop, lift) with one `input` -> input, first, last, n of spans that start at or over `onset` and last until below `release`.
+def crash_spans(lifts: DataFrame, onset: float, release: float, least: int, block: int = 4096) -> DataFrame:
+    """(input, hop, lift) -> input, first, last, n of spans that start at or over `onset` and last until below `release`.
 
-    Between the two levels a hop keeps the state before it, which is the last hop that was decisive.
+    Between the two levels a hop keeps the state before it, which is the last hop that was decisive. Hops are taken in blocks: each block's last decisive state is handed on, a row a block, and
+    spans that reach over the end of a block are put together, a row a span; so no task sorts a recording.
     """
     decisive = F.when(F.col("lift") >= onset, True).when(F.col("lift") < release, False)
-    order = by(["input"], "hop")
-    held = lifts.withColumn("__d", decisive).withColumn("on", F.coalesce(F.last("__d", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
-    return runs(held.drop("__d"), ["input"], "hop", "on").where(F.col("on") & (F.col("n") >= least)).drop("on")
+    rows = lifts.select("input", "hop", F.floor(F.col("hop") / block).alias("block"), decisive.alias("d"))
+    ends = rows.groupBy("input", "block").agg(F.max_by("d", F.when(F.col("d").isNotNull(), F.col("hop"))).alias("end"), F.min("hop").alias("head"), F.max("hop").alias("tail"))
+    before = by(["input"], "block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("input", "block", "head", "tail", F.last("end", ignorenulls=True).over(before).alias("carry"))
+    inside = by(["input", "block"], "hop").rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("d", F.last("d", ignorenulls=True).over(inside)).join(carried, ["input", "block"])
+    on = held.select("input", "block", "head", "tail", "hop", F.coalesce("d", "carry", F.lit(False)).alias("on"))
+    parts = runs(on, ["input", "block", "head", "tail"], "hop", "on").where("on")
+    order = by(["input"], "block", "first")
+    # a span at the head of its block goes on from one at the tail of the block before it
+    goes_on = (F.col("first") == F.col("head")) & (F.lag("last").over(order) == F.lag("tail").over(order)) & (F.lag("block").over(order) == F.col("block_before"))
+    known = carried.select("input", "block", F.lag("block").over(by(["input"], "block")).alias("block_before"))
+    parts = parts.join(known, ["input", "block"]).withColumn("opens", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    whole = parts.withColumn("span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return whole.groupBy("input", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).where(F.col("n") >= least).drop("span")
 
 
 def support(words: DataFrame, keys: list[str], word: str, confidence: str) -> DataFrame:

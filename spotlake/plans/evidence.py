@@ -25,7 +25,7 @@ def track_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
   g AS (SELECT *, sum(nw) OVER (ORDER BY hop ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT CAST(0 AS INTEGER) AS input, min(hop) AS "first", max(hop) AS "last", count(*) AS n FROM g WHERE lit GROUP BY run HAVING count(*) >= 3""")
 def crash_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     lifts = spectrum.crash_lift(_spectra(spark, sf_dir)).withColumn("input", F.lit(0))
-    return tracks.crash_spans(lifts, 0.0018, 0.0012, 3)
+    return tracks.crash_spans(lifts, 0.0018, 0.0012, 3, 64)
 
 
 @query(f"""WITH {_ROWS}, p AS (SELECT a.hop, a.channel AS low, a.power AS x, b.power AS y FROM s a JOIN s b ON a.hop = b.hop AND b.channel = a.channel + 1),

@@ -16,12 +16,12 @@ def _lower_words(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
 
 
-@query(f"""WITH d AS {_W.format('documents')}, p AS (SELECT word AS prefix FROM {_W.format('benchmark')} WHERE length(word) BETWEEN 2 AND 5),
-  parts AS (SELECT word, substr(word, 1, n) AS prefix, n FROM d, LATERAL (SELECT unnest(range(1, least(length(word), 5) + 1)) AS n)),
+@query(f"""WITH d AS {_W.format('documents')}, p AS (SELECT word AS prefix FROM {_W.format('benchmark')} WHERE length(word) >= 2),
+  parts AS (SELECT word, substr(word, 1, n) AS prefix, n FROM d, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS n)),
   best AS (SELECT word, arg_max(prefix, n) AS prefix FROM parts JOIN p USING (prefix) GROUP BY word)
   SELECT d.word, best.prefix FROM d LEFT JOIN best USING (word)""")
 def prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _lower_words(spark, sf_dir, "benchmark").where(F.length("word").between(2, 5)).withColumnRenamed("word", "prefix")
+    listed = _lower_words(spark, sf_dir, "benchmark").where(F.length("word") >= 2).withColumnRenamed("word", "prefix")
     return joins.longest_prefix(_lower_words(spark, sf_dir, "documents"), listed, "word", "prefix").select("word", "prefix")
 
 

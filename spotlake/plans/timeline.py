@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spotlake.operators import gates, history, temporal
+from spotlake.operators import aggregates, gates, history, temporal
 from spotlake.plans.registry import DAY, EVENTS, HOUR, events, query, table
 
 
@@ -147,8 +147,7 @@ _COUNTER = f"{EVENTS}, c AS (SELECT user_id, t, event_id, k, lag(k) OVER (PARTIT
 
 @query(f"WITH {_COUNTER} SELECT event_id, CAST(CASE WHEN p IS NULL THEN 0 ELSE greatest(k - p, 0) END AS BIGINT) AS delta FROM c")
 def counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.lag("k").over(temporal.by(["user_id"], "t", "event_id"))
-    return events(spark, sf_dir).select("event_id", F.coalesce(F.greatest(F.col("k") - last, F.lit(0)), F.lit(0)).alias("delta"))
+    return temporal.counter_delta(events(spark, sf_dir), ["user_id"], "t", "event_id", "k").select("event_id", "delta")
 
 
 @query(f"""WITH {EVENTS}, c AS (SELECT user_id, t, k, lag(k) OVER (PARTITION BY user_id ORDER BY t) AS p FROM ev)
@@ -165,21 +164,12 @@ def gauge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("c", changed).groupBy("user_id").agg(F.count_if("c").alias("changes"))
 
 
-@query(f"""WITH {EVENTS}, b AS (SELECT event_type, unnest([0.0, 10.0, 25.0, 50.0, 100.0]) AS lo, unnest([10.0, 25.0, 50.0, 100.0, 1000.0]) AS hi FROM (SELECT DISTINCT event_type FROM ev)),
-  h AS (SELECT b.event_type, lo, hi, count(ev.event_id) AS n FROM b LEFT JOIN ev ON ev.event_type = b.event_type AND value > lo AND value <= hi GROUP BY ALL),
+@query(f"""WITH {EVENTS}, b AS (SELECT event_type, unnest([0, 10, 25, 50, 100]) AS lo, unnest([10, 25, 50, 100, 'infinity'::DOUBLE]) AS hi FROM (SELECT DISTINCT event_type FROM ev)),
+  h AS (SELECT b.event_type, lo, hi, count(ev.event_id) AS n FROM b LEFT JOIN ev ON ev.event_type = b.event_type AND (value > lo OR lo = 0) AND value <= hi GROUP BY ALL),
   c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY hi) AS cum, sum(n) OVER (PARTITION BY event_type) AS total FROM h)
-  SELECT event_type, round(min(lo + (hi - lo) * (0.9 * total - (cum - n)) / n), 6) AS p90 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hi) AS rn FROM c WHERE cum >= 0.9 * total AND n > 0) WHERE rn = 1 GROUP BY event_type""")
+  SELECT event_type, round(CASE WHEN isinf(hi) THEN lo ELSE lo + (hi - lo) * (0.9 * total - (cum - n)) / n END, 6) AS p90 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hi) AS rn FROM c WHERE cum >= 0.9 * total AND n > 0) WHERE rn = 1""")
 def histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = [0.0, 10.0, 25.0, 50.0, 100.0, 1000.0]
-    low = F.lit(None).cast("double")
-    for lo, hi in zip(bounds, bounds[1:], strict=False):
-        low = F.when((F.col("value") > lo) & (F.col("value") <= hi), F.lit(lo)).otherwise(low)
-    high = F.element_at(F.create_map(*[F.lit(x) for pair in zip(bounds, bounds[1:], strict=False) for x in pair]), F.col("lo"))
-    counts = events(spark, sf_dir).select("event_type", low.alias("lo")).where("lo IS NOT NULL").groupBy("event_type", "lo").agg(F.count("*").alias("n")).withColumn("hi", high)
-    order = Window.partitionBy("event_type").orderBy("hi")
-    counts = counts.withColumn("cum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy("event_type")))
-    reached = counts.where("cum >= 0.9 * total").groupBy("event_type").agg(F.min_by(F.struct("lo", "hi", "n", "cum", "total"), "hi").alias("b")).select("event_type", "b.*")
-    return reached.select("event_type", F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.lit(0.9) * F.col("total") - (F.col("cum") - F.col("n"))) / F.col("n"), 6).alias("p90"))
+    return aggregates.histogram_quantile(events(spark, sf_dir), ["event_type"], "value", [10.0, 25.0, 50.0, 100.0], 0.9, "p90").withColumn("p90", F.round("p90", 6))
 
 
 @query(f"""WITH {EVENTS}, a AS (SELECT user_id, count(*) AS n FROM ev WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 5), b AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'signup' AND value > 100), c AS (SELECT user_id FROM ev GROUP BY user_id HAVING max(k) < 99)

@@ -134,6 +134,23 @@ def parse_metrics(lines: DataFrame, column: str = "value") -> DataFrame:
     return found.where("number IS NOT NULL")
 
 
+def bad_ledger_lines(spark: SparkSession, path: str | list[str]) -> int:
+    """Lines of a ledger that read_ledger() leaves out."""
+    rows = spark.read.schema(LEDGER + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    good = F.col("_bad").isNull() & F.col("kind").isin("sample", "note", "recovery")
+    return rows.select("_bad", "kind").where(~F.coalesce(good, F.lit(False))).count()
+
+
+#: A line of a metric text, and those that say nothing.
+METRIC, SILENT = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+-?[0-9]+)?\s*$", r"^\s*(?:#.*)?$"
+
+
+def bad_metrics(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that are neither a sample of parse_metrics(), a comment nor blank."""
+    good = F.col(column).rlike(METRIC) & F.regexp_extract(column, METRIC, 3).try_cast("double").isNotNull()
+    return lines.where(~good & ~F.col(column).rlike(SILENT))
+
+
 def read_list(spark: SparkSession, path: str, comment: str = r"^\s*(?:#|!!)") -> DataFrame:
     """The entries of a list file, one a line, in upper case, without comments and blanks."""
     return spark.read.text(path).select(F.upper(F.trim("value")).alias("entry")).where(~F.col("entry").rlike(comment) & (F.col("entry") != "")).distinct()
@@ -164,6 +181,11 @@ def read_countries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(prefix.alias("prefix"), alias.startswith("=").alias("exact"), "name", "zone", "continent").where("prefix <> ''")
 
 
+def bad_countries(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a country file that have too few fields: value. What follows the last `;` counts if it isn't blank."""
+    return spark.read.option("lineSep", ";").text(path).where((F.size(F.split("value", ":")) < 9) & (F.trim(F.regexp_replace("value", r"\s+", " ")) != ""))
+
+
 def read_samples(spark: SparkSession, path: str, kind: str = "cf32", block: int = 65536) -> DataFrame:
     """Blocks of raw interleaved samples (cf32 or ci16): input, block, start_ts, re, im (arrays of float); the last block may be short.
 
