@@ -123,8 +123,11 @@ class Decoder:
         while self.anchors and hop - self.anchors[0][0] > self.cfg.reach():
             self.anchors.pop(0)
         best: dict[tuple, Reading] = {}
+        longest = MOST_SHARE * MARKS[-1][1], max(MOST_SHARE * GAPS[2][1], self.cfg.silence)
         for at, before, readings in self.anchors:
             for reading in readings:
+                if hop - at > longest[reading.marked] * reading.unit:
+                    continue  # no kind of segment is as long
                 for r in followed(reading, hop - at, total - before, at, self.cfg):
                     key = r.node, r.marked, round(2 * r.unit)
                     if (old := best.get(key)) is None or r.score > old.score or (r.score == old.score and r.rank() < old.rank()):

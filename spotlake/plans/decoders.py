@@ -79,11 +79,11 @@ def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT w.user_id, mk.rn, regime, d < sqrt(low * high) AS dot, CASE WHEN d < sqrt(low * high) THEN [low + 0.15 * (d - low), high] ELSE [low, high + 0.15 * (d - high)] END AS p,
             list_append(CASE WHEN len(ring) = 12 THEN ring[2:12] ELSE ring END, {{'d': d, 'dot': d < sqrt(low * high), 'low': low, 'high': high}}) AS ring
           FROM w JOIN mk ON mk.user_id = w.user_id AND mk.rn = w.rn + 1))))
-  SELECT mk.user_id, event_id, CASE WHEN dot THEN 'dot' WHEN NOT dot THEN 'dash' END AS kind, round(low, 6) AS low, round(high, 6) AS high, coalesce(regime, 0) AS regime FROM mk LEFT JOIN w ON w.user_id = mk.user_id AND w.rn = mk.rn""")
+  SELECT mk.user_id, event_id, CASE WHEN dot THEN 'dot' WHEN NOT dot THEN 'dash' END AS kind, round(low + 1e-9, 6) AS low, round(high + 1e-9, 6) AS high, coalesce(regime, 0) AS regime FROM mk LEFT JOIN w ON w.user_id = mk.user_id AND w.rn = mk.rn""")
 def speed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = speed.track_speed(_sent(spark, sf_dir), ["user_id"], ["t", "event_id"], "d")
     kind = F.when(F.col("dot"), "dot").when(~F.col("dot"), "dash")
-    return told.select("user_id", "event_id", kind.alias("kind"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "regime")
+    return told.select("user_id", "event_id", kind.alias("kind"), *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("low", "high")], "regime")
 
 
 @query()
