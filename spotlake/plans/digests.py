@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotlake.functions import schedules
-from spotlake.operators import gates, summaries
-from spotlake.plans.registry import DAY, EVENTS, HOUR, events, query, table
+from spotlake.operators import summaries
+from spotlake.plans.registry import EVENTS, HOUR, ORACLES, events, query, table
 from spotlake.plans.spectra import _ROWS, _spectra
+from spotlake.plans.timeline import respot_dedupe
 
 _DAILY, _BASE = ((360, "day"), (1080, "night")), 1_704_067_200
 _OVERRIDES = ((_BASE + 5 * 86_400, _BASE + 7 * 86_400 + 7200, "contest"), (_BASE + 40 * 86_400, _BASE + 41 * 86_400, "field"))
@@ -111,9 +112,8 @@ def modes_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", summaries.mode_shown(listener, F.when(k % 5 < 2, "CW")).alias("mode"))
 
 
-@query()
+@query(f"SELECT input, count(*) FILTER (outcome = 'other_input') AS withheld FROM (SELECT event_id % 2 AS input, outcome FROM ({ORACLES['respot_dedupe']})) GROUP BY input")
 def withheld_by_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spots of four inputs withheld because another had sent them; the outcomes are those of respot_dedupe."""
-    e = events(spark, sf_dir).withColumn("input", F.col("user_id") % 4).withColumn("call", F.col("user_id") % 50)
-    outcomes = gates.respot_dedupe(e, "call", "t", "event_id", "value", "k", "event_type", "input", DAY)
+    """Spots of two inputs withheld because the other had sent them."""
+    outcomes = respot_dedupe(spark, sf_dir).withColumn("input", F.col("event_id") % 2)
     return summaries.withheld_by_input(outcomes, "input")

@@ -10,7 +10,7 @@ from spotlake.operators import comodulation as cm
 from spotlake.operators import two_tone
 from spotlake.plans.decoders import _clean
 from spotlake.plans.radio import _CLEAN
-from spotlake.plans.registry import query, table
+from spotlake.plans.registry import ORACLES, query, table
 
 _BLOCK = 25
 
@@ -44,7 +44,12 @@ def two_tone_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("block", "low", "high", F.round("rho", 6).alias("rho"), F.round("level", 6).alias("level"), "verdict")
 
 
-@query()
+@query(f"""WITH RECURSIVE j AS ({ORACLES["two_tone_blocks"]}), t AS (SELECT *, row_number() OVER (PARTITION BY low, high ORDER BY block) AS rn FROM j WHERE verdict IN ('pass', 'contra')),
+  w AS (SELECT low, high, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS block, 0 AS evidence, 0 AS passes, false AS marked, CAST(NULL AS BIGINT) AS since FROM (SELECT DISTINCT low, high FROM t)
+    UNION ALL SELECT low, high, rn, block, e, p, m OR e >= 3, CASE WHEN verdict = 'pass' THEN block WHEN stale THEN NULL ELSE since END FROM (
+      SELECT *, CASE WHEN verdict = 'pass' THEN CASE WHEN stale THEN 1 ELSE evidence + 1 END ELSE greatest(evidence - 2, 0) END AS e, CASE WHEN verdict = 'pass' THEN CASE WHEN stale THEN 1 ELSE passes + 1 END ELSE passes END AS p, marked AND NOT stale AS m FROM (
+        SELECT t.low, t.high, t.rn, t.block, verdict, evidence, passes, marked, since, since IS NULL OR t.block - since >= {two_tone.HOLD} AS stale FROM w JOIN t ON t.low = w.low AND t.high = w.high AND t.rn = w.rn + 1)))
+  SELECT low, high, block, evidence, marked, passes, CASE WHEN marked THEN list_sort(list_transform({list(two_tone.STANDARD)}, lambda s: {{'off': abs(s - (high - low) * {CHANNEL_HZ}), 'shift': s}}))[1].shift::DOUBLE END AS shift FROM w WHERE since IS NOT NULL""")
 def two_tone_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs as their evidence grows, with the nominal shift of those marked."""
     told = two_tone.evidence(two_tone.judged_blocks(_tones(spark, sf_dir), _BLOCK), 3)
