@@ -15,6 +15,17 @@ BANDS = (
 )
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles; by 0 it is infinite, or NaN if a is 0 as well, in place of an error."""
+    by_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
+def logarithm(x: Column) -> Column:
+    """The natural logarithm of a double; of 0 it is minus infinity, below it NaN, in place of null."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
 def power_db(p: Column) -> Column:
     return 10 * F.log10(p + 1e-20)
 
@@ -69,7 +80,7 @@ def wpm_of(dit_ms: Column) -> Column:
 
 
 def log_normal_likelihood(duration: Column, mean: Column, sigma: float) -> Column:
-    d = F.ln(duration) - F.ln(mean)
+    d = logarithm(duration) - logarithm(mean)
     return -(d * d) / (2 * sigma * sigma)
 
 
@@ -97,11 +108,11 @@ def calibration_factor(ppm: Column) -> Column:
 
 
 def correction_ppm(reference: Column, measured: Column) -> Column:
-    return (reference / measured - 1) * 1e6
+    return (quotient(reference, measured) - 1) * 1e6
 
 
 def ppm_error(n: Column, freq: Column) -> Column:
-    return 50 / F.sqrt(n) / freq * 1e6
+    return quotient(quotient(F.lit(50.0), F.sqrt(n)), freq) * 1e6
 
 
 def image_rejection_db(re: Column, im: Column) -> Column:
