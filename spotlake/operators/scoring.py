@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotlake.functions.numeric import quotient
 from spotlake.operators.joins import band_join, overlap_join
 
 
@@ -35,8 +36,8 @@ def against_floors(metrics: DataFrame, floors: DataFrame, key: str, names: list[
 
 
 def build_summary(runs: DataFrame, variant: str, value: str) -> DataFrame:
-    """Per variant: min, median, spread (max over min) of repeated runs, and its place by median."""
-    out = runs.groupBy(variant).agg(F.min(value).alias("low"), F.round(F.median(value), 6).alias("median"), F.round(F.max(value) / F.min(value), 6).alias("spread"))
+    """Per variant: min, median, spread (max over min; infinite where that is 0) of repeated runs, and its place by median."""
+    out = runs.groupBy(variant).agg(F.min(value).alias("low"), F.round(F.median(value), 6).alias("median"), F.round(quotient(F.max(value), F.min(value)), 6).alias("spread"))
     return out.withColumn("place", F.row_number().over(Window.orderBy("median", variant)))  # a row per variant
 
 
