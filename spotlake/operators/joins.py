@@ -20,15 +20,18 @@ def _on(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Colum
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, before: float, after: float, how: str = "inner") -> DataFrame:
     """Pairs of equal keys with left_at - before <= right_at <= left_at + after. Columns of the two sides have different names, but for keys.
 
-    how: inner, left, left_semi or left_anti. Buckets are as wide as the window, so a left row has two at most.
+    how: inner, left, left_semi or left_anti. Buckets are as wide as the window, so a left row has two as a rule. A window of equal sides is a bound on the distance, which
+    rounds otherwise than its two ends do; so buckets reach a trifle beyond it.
     """
     width = max(before + after, 1e-9)
+    slack = width * 1e-6
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    near = left.withColumn("__b", F.explode(F.sequence(bucket(F.col(left_at) - before), bucket(F.col(left_at) + after))))
+    near = left.withColumn("__b", F.explode(F.sequence(bucket(F.col(left_at) - before - slack), bucket(F.col(left_at) + after + slack))))
     far = right.withColumn("__b2", bucket(F.col(right_at)))
     renamed = {k: f"__r_{k}" for k in keys}
     far = far.withColumnsRenamed(renamed)
-    on = _on(near, far, [("__b", "__b2"), *renamed.items()]) & (F.col(right_at) >= F.col(left_at) - before) & (F.col(right_at) <= F.col(left_at) + after)
+    inside = F.abs(F.col(left_at) - F.col(right_at)) <= after if before == after else (F.col(right_at) >= F.col(left_at) - before) & (F.col(right_at) <= F.col(left_at) + after)
+    on = _on(near, far, [("__b", "__b2"), *renamed.items()]) & inside
     drop = ["__b2", *renamed.values()]
     pairs = near.join(far, on).drop("__b", *drop)
     if how == "inner":
