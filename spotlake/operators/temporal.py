@@ -18,7 +18,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str, slack
     earlier = by(keys, start, stop).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(stop).over(earlier)
     opens = df.withColumn("__new", F.when(F.col(start) <= reach + slack, 0).otherwise(1))
-    island = F.sum("__new").over(by(keys, start, stop).rowsBetween(Window.unboundedPreceding, 0))
+    # by range: equal intervals share an island whichever of them comes first
+    island = F.sum("__new").over(by(keys, start, stop).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     grouped = opens.withColumn("__island", island).groupBy(*keys, "__island")
     return grouped.agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n")).drop("__island")
 
