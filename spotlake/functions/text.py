@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spotlake.functions.edits import edit_distance
+
 #: Words that are conventions, never calls.
 CONVENTIONS = ("5NN", "4NN", "3NN", "599", "TEST", "TU", "QRZ", "AGN", "K", "KN")
 PORTABLE = r"(?:P|QRP|MM|AM|M|[0-9])"
@@ -49,7 +51,7 @@ def variant_relation(a: Column, b: Column) -> Column:
 def character_error_rate(expected: Column, decoded: Column) -> Column:
     """Edit distance by length, after upper case and single blanks."""
     plain = lambda s: F.trim(F.regexp_replace(F.upper(s), r"\s+", " "))
-    return F.levenshtein(plain(expected), plain(decoded)) / F.greatest(F.length(plain(expected)), F.lit(1))
+    return edit_distance(plain(expected), plain(decoded)) / F.greatest(F.length(plain(expected)), F.lit(1))
 
 
 def last_report(text: Column) -> Column:

@@ -83,8 +83,8 @@ def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = items.select("item_id", plain.alias("expected"))
     count = F.broadcast(items.agg(F.count("*").alias("items")))
     decoded = table(spark, sf_dir, "documents").crossJoin(count).select((F.col("doc_id") % F.col("items")).alias("item_id"), plain.alias("decoded"))
-    rate = T.character_error_rate(F.col("expected"), F.col("decoded"))
-    return truth.join(decoded, "item_id").groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.avg(rate), 6).alias("cer_mean"), F.count_if(rate < 0.1).alias("good"))
+    rated = truth.join(decoded, "item_id").select("item_id", T.character_error_rate(F.col("expected"), F.col("decoded")).alias("rate"))
+    return rated.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.avg("rate"), 6).alias("cer_mean"), F.count_if(F.col("rate") < 0.1).alias("good"))
 
 
 @query(f"""WITH {_CALLS}, h AS (SELECT event_id, call, k, 'DX de W' || CAST(user_id AS VARCHAR) || '-#:' AS head, printf('%.2f', 7000 + value) AS f, lpad(CAST((t // 3600000000) % 24 AS VARCHAR), 2, '0') || lpad(CAST((t // 60000000) % 60 AS VARCHAR), 2, '0') AS hm FROM c),
