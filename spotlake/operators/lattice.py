@@ -11,20 +11,21 @@ carries its open episodes. An episode holds a bounded number of copies, the newe
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlake.operators.carried import carried, stretches
-from spotlake.operators.repetition import Limits, Touch, judged, promote
+from spotlake.operators.repetition import Limits, Seen, Touch, judged, promote
 
 # Lead that a place needs, edits within which a copy joins, least letters of a call, copies of an episode.
 LEAD, EDITS, SHORTEST, COPIES = 0.5, 2, 3, 16
 GAP, UNKNOWN = "", "?"
 
 
+@lru_cache(1 << 16)
 def distance(a: str, b: str) -> int:
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -69,35 +70,49 @@ class Copy:
     track: int
     word: int
 
-    def votes(self, i: int) -> Counter:
+    def votes(self, i: int) -> dict[str, float]:
         glyph, top = self.text[i], self.scores[i]
-        out = Counter({glyph: 1.0})
+        out = {glyph: 1.0}
         if glyph != UNKNOWN and top > 0:
             for other, score in self.others[i]:
                 if other not in (glyph, UNKNOWN) and score > 0:
-                    out[other] += min(score / top, 1.0)
+                    out[other] = out.get(other, 0.0) + min(score / top, 1.0)
         return out
 
 
-def aligned(copies: list[Copy]) -> list[Counter]:
+def _rank(vote: tuple[str, float]) -> tuple:
+    """Of equal votes a letter comes before a gap, and that before unknown."""
+    glyph, score = vote
+    return -score, glyph == UNKNOWN, glyph == GAP, glyph
+
+
+@lru_cache(1 << 14)
+def _steps(tops: tuple[str, ...], text: str) -> list[tuple[int | None, int | None]]:
+    """The alignment of a text to places named by their leading votes: copies of a call are few texts, which come again and again."""
+    return traceback(len(tops), len(text), lambda i, j: int(text[j] != UNKNOWN and text[j] != tops[i]))
+
+
+def aligned(copies: list[Copy]) -> list[dict[str, float]]:
     """Votes at each place of the alignment."""
-    places: list[Counter] = []
+    places: list[dict[str, float]] = []
     for n, copy in enumerate(copies):
-        # a place is named by its leading vote; of equal ones a letter comes before a gap, and that before unknown
-        tops = [min(votes, key=lambda g: (-votes[g], g == UNKNOWN, g == GAP, g)) for votes in places]
-        steps = traceback(len(places), len(copy.text), lambda i, j: int(copy.text[j] != UNKNOWN and copy.text[j] != tops[i]))  # noqa: B023
+        tops = tuple([next(iter(votes)) if len(votes) == 1 else min(votes.items(), key=_rank)[0] for votes in places])
         grown = []
-        for i, j in steps:
-            votes = places[i] if i is not None else Counter({GAP: float(n)} if n else {})
-            votes.update(copy.votes(j) if j is not None else {GAP: 1.0})
+        for i, j in _steps(tops, copy.text):
+            votes = places[i] if i is not None else {GAP: float(n)} if n else {}
+            if j is None:
+                votes[GAP] = votes.get(GAP, 0.0) + 1.0
+            else:
+                for glyph, score in copy.votes(j).items():
+                    votes[glyph] = votes.get(glyph, 0.0) + score
             grown.append(votes)
         places = grown
     return places
 
 
-def decided(votes: Counter, n: int) -> tuple[str, float] | None:
+def decided(votes: dict[str, float], n: int) -> tuple[str, float] | None:
     """What a place holds and by which lead; null if that is not clear, or unknown."""
-    ranked = sorted(votes.items(), key=lambda v: (-v[1], v[0] == UNKNOWN, v[0] == GAP, v[0]))
+    ranked = sorted(votes.items(), key=_rank)
     lead = ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0.0)
     return None if ranked[0][1] <= n / 2 or lead < LEAD or ranked[0][0] == UNKNOWN else (ranked[0][0], lead)
 
@@ -119,20 +134,36 @@ class Episode:
     freq: float
     copies: list[Copy] = field(default_factory=list)
     touches: list[Touch] = field(default_factory=list)
-    seen: dict[int, tuple[int, int, int]] = field(default_factory=dict)
+    seen: Seen = field(default_factory=Seen)
+    #: Least and greatest end of a copy, and whether a touch has come or gone since leaders were looked after.
+    oldest: int = 0
+    newest: int = -1
+    changed: bool = False
 
-    def newest(self) -> int:
-        return max((c.stop for c in self.copies), default=-1)
+    def add(self, copy: Copy, touch: Touch) -> None:
+        self.copies.append(copy)
+        self.touches.append(touch)
+        self._ends()
 
-    def see(self, track: int, t: int, word: int, leader: int) -> None:
-        if track not in self.seen or t >= self.seen[track][0]:
-            self.seen[track] = (t, word, leader)
+    def _ends(self) -> None:
+        stops = [c.stop for c in self.copies]
+        self.oldest, self.newest, self.changed = min(stops, default=0), max(stops, default=-1), True
 
     def forget(self, before: int) -> None:
-        held = [(c, t) for c, t in zip(self.copies, self.touches, strict=True) if c.stop >= before][-COPIES:]
-        self.copies, self.touches = [c for c, _ in held], [t for _, t in held]
-        self.seen = {k: s for k, s in self.seen.items() if s[0] >= before}
-        promote(self.touches)
+        if self.oldest < before or len(self.copies) > COPIES:
+            held = [(c, t) for c, t in zip(self.copies, self.touches, strict=True) if c.stop >= before][-COPIES:]
+            self.copies, self.touches = [c for c, _ in held], [t for _, t in held]
+            self._ends()
+        self.seen.forget(before)
+        if self.changed:
+            promote(self.touches)
+            self.changed = False
+
+    def last(self, track: int) -> tuple[Touch | None, Touch | None, Touch | None]:
+        """As Touches.last(), of a few."""
+        own = [x for x in self.touches if x.track == track]
+        lead = lambda touches: next((x for x in reversed(touches) if x.counts), None)
+        return lead(own), own[-1] if own else None, lead(self.touches)
 
 
 class Lattice:
@@ -146,11 +177,11 @@ class Lattice:
         for e in self.episodes:
             e.forget(before)
         self.episodes = [e for e in self.episodes if e.copies]
-        near = [(max(distance(c.text, copy.text) for c in e.copies), -e.newest(), e.number, e) for e in self.episodes if abs(freq - e.freq) < self.limits.near]
+        near = [(max(distance(c.text, copy.text) for c in e.copies), -e.newest, e.number, e) for e in self.episodes if abs(freq - e.freq) < self.limits.near]
         for *_, e in sorted(near, key=lambda x: x[2]):
             same = next((t for c, t in zip(e.copies, e.touches, strict=True) if c.start <= copy.stop and copy.start <= c.stop and distance(c.text, copy.text) <= EDITS), None)
             if same is not None:
-                e.see(copy.track, copy.stop, copy.word, same.leader)
+                e.seen.see(copy.track, copy.stop, copy.word, same.leader)
                 return e.number, "duplicate", None, sum(t.counts for t in e.touches), len(e.copies), None
         joined = [x for x in near if x[0] <= EDITS]
         if joined:
@@ -159,13 +190,12 @@ class Lattice:
             episode = Episode(self.made, freq)
             self.made += 1
             self.episodes.append(episode)
-        if copy.stop >= episode.newest():
+        if copy.stop >= episode.newest:
             episode.freq = freq
         open_then = lambda k: (at := self.closes.get(k)) is None or at > copy.stop
-        counts, leader = judged(episode.touches, episode.seen.get(copy.track), copy.word, copy.stop, copy.track, open_then, self.limits)
-        episode.see(copy.track, copy.stop, copy.word, leader)
-        episode.touches.append(Touch(copy.stop, copy.word, copy.track, counts, leader))
-        episode.copies.append(copy)
+        counts, leader = judged(*episode.last(copy.track), episode.seen.of.get(copy.track), copy.word, copy.stop, copy.track, open_then, self.limits)
+        episode.seen.see(copy.track, copy.stop, copy.word, leader)
+        episode.add(copy, Touch(copy.stop, copy.word, copy.track, counts, leader))
         episode.forget(before)
         return episode.number, *self._verdict(episode)
 

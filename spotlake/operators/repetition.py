@@ -11,8 +11,10 @@ one. Whether a track was still open is a matter of when it closed, so that time
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,33 +49,150 @@ class Touch:
     leader: int
 
 
-@dataclass
+class Seen:
+    """Newest touch of each track, counted or not: time, word, leader; the oldest are forgotten by a heap, which may name a track again."""
+
+    def __init__(self):
+        self.of: dict[int, tuple[int, int, int]] = {}
+        self.ages: list[tuple[int, int]] = []
+        self.newest: int | None = None
+
+    def see(self, track: int, t: int, word: int, leader: int) -> None:
+        held = self.of.get(track)
+        if held is None or t >= held[0]:
+            self.of[track] = (t, word, leader)
+            heapq.heappush(self.ages, (t, track))
+            self.newest = t if self.newest is None else max(self.newest, t)
+
+    def forget(self, before: int) -> None:
+        while self.ages and self.ages[0][0] < before:
+            _, track = heapq.heappop(self.ages)
+            if track in self.of and self.of[track][0] < before:
+                del self.of[track]
+        if not self.of:
+            self.newest = None
+
+
+class Touches:
+    """Touches in the order in which they came, with those of each track and those that count apart, so that none is looked for among all."""
+
+    def __init__(self):
+        self.made, self.counting, self.ages = 0, [], []
+        self.held: dict[int, Touch] = {}
+        self.own: dict[int, list[int]] = {}
+        self.own_counting: dict[int, list[int]] = {}
+        #: Touches of each time, those that defer to each leader, and leaders that may have gone.
+        self.times: dict[int, int] = {}
+        self.led: dict[int, list[int]] = {}
+        self.doubtful: set[int] = set()
+
+    def __iter__(self):
+        return iter(self.held.values())
+
+    def append(self, touch: Touch) -> None:
+        n = self.made
+        self.made += 1
+        self.held[n] = touch
+        heapq.heappush(self.ages, (touch.t, n))
+        self.own.setdefault(touch.track, []).append(n)
+        self.times[touch.t] = self.times.get(touch.t, 0) + 1
+        if touch.counts:
+            self._count(n, touch)
+        else:
+            self.led.setdefault(touch.leader, []).append(n)
+            self.doubtful.add(touch.leader)
+
+    def _count(self, n: int, touch: Touch) -> None:
+        bisect.insort(self.counting, n)
+        bisect.insort(self.own_counting.setdefault(touch.track, []), n)
+
+    def remove(self, n: int) -> None:
+        touch = self.held.pop(n)
+        _without(self.own, touch.track, n)
+        if touch.counts:
+            del self.counting[bisect.bisect_left(self.counting, n)]
+            _without(self.own_counting, touch.track, n)
+        else:
+            _without(self.led, touch.leader, n)
+        self.times[touch.t] -= 1
+        if not self.times[touch.t]:
+            del self.times[touch.t]
+            self.doubtful.add(touch.t)
+
+    def find(self, track: int, t: int) -> int | None:
+        return next((n for n in self.own.get(track, ()) if self.held[n].t == t), None)
+
+    def forget(self, before: int) -> None:
+        while self.ages and self.ages[0][0] < before:
+            _, n = heapq.heappop(self.ages)
+            if n in self.held:
+                self.remove(n)
+        # as promote(), of the leaders that have gone since
+        for leader in self.doubtful:
+            if leader not in self.times and leader in self.led:
+                group = self.led.pop(leader)
+                first = min(group, key=lambda n: (self.held[n].t, n))
+                for n in group:
+                    self.held[n].leader = self.held[first].t
+                self.held[first].counts = True
+                self._count(first, self.held[first])
+                group.remove(first)
+                if group:
+                    joined = self.led.setdefault(self.held[first].t, [])
+                    joined[:] = sorted(joined + group)
+        self.doubtful.clear()
+
+    def last(self, track: int) -> tuple[Touch | None, Touch | None, Touch | None]:
+        """The last touch of a track that counts, its last one, and the last of all that counts."""
+        of = lambda ns: self.held[ns[-1]] if ns else None
+        return of(self.own_counting.get(track)), of(self.own.get(track)), of(self.counting)
+
+
+def _without(lists: dict[int, list[int]], key: int, n: int) -> None:
+    """Take a number out of the sorted list of a key, and an empty list out as well."""
+    numbers = lists[key]
+    del numbers[bisect.bisect_left(numbers, n)]
+    if not numbers:
+        del lists[key]
+
+
 class Entry:
-    freq: float
-    touches: list[Touch] = field(default_factory=list)
-    #: Newest touch of each track, counted or not: time, word, leader.
-    seen: dict[int, tuple[int, int, int]] = field(default_factory=dict)
-    spans: list[tuple[int, int, int]] = field(default_factory=list)
+    def __init__(self, freq: float):
+        self.freq, self.touches, self.seen, self.made = freq, Touches(), Seen(), 0
+        #: (last sample, number, first sample, leader), sorted.
+        self.spans: list[tuple[int, int, int, int]] = []
 
     def newest(self) -> int | None:
-        return max([t.t for t in self.touches] + [s[0] for s in self.seen.values()], default=None)
+        # a touch is never newer than what was seen of its track
+        return self.seen.newest
 
     def see(self, track: int, t: int, word: int, leader: int) -> None:
-        if track not in self.seen or t >= self.seen[track][0]:
-            self.seen[track] = (t, word, leader)
+        self.seen.see(track, t, word, leader)
+
+    def cover(self, span: tuple[int, int], leader: int) -> None:
+        bisect.insort(self.spans, (span[1], self.made, span[0], leader))
+        self.made += 1
+
+    def covers(self, span: tuple[int, int]) -> bool:
+        return any(s[2] == span[0] for s in self.spans[bisect.bisect_left(self.spans, (span[1],)) : bisect.bisect_left(self.spans, (span[1] + 1,))])
+
+    def uncover(self, span: tuple[int, int]) -> None:
+        at = slice(bisect.bisect_left(self.spans, (span[1],)), bisect.bisect_left(self.spans, (span[1] + 1,)))
+        self.spans[at] = [s for s in self.spans[at] if s[2] != span[0]]
 
     def forget(self, before: int) -> None:
-        self.touches = [t for t in self.touches if t.t >= before]
-        self.seen = {k: s for k, s in self.seen.items() if s[0] >= before}
-        self.spans = [s for s in self.spans if s[1] >= before]
-        promote(self.touches)
+        self.touches.forget(before)
+        self.seen.forget(before)
+        if self.spans and self.spans[0][0] < before:
+            del self.spans[: bisect.bisect_left(self.spans, (before,))]
 
     def count(self) -> int:
-        return sum(t.counts for t in self.touches)
+        return len(self.touches.counting)
 
     def meeting(self, span: tuple[int, int]) -> int | None:
-        """The leader of a span that shares a sample with this one."""
-        return next((leader for lo, hi, leader in self.spans if lo <= span[1] and span[0] <= hi), None)
+        """The leader of the first span that shares a sample with this one; only those that end in it or after it are looked at."""
+        shared = [(n, leader) for _, n, lo, leader in self.spans[bisect.bisect_left(self.spans, (span[0],)) :] if lo <= span[1]]
+        return min(shared)[1] if shared else None
 
 
 def promote(touches: list[Touch]) -> None:
@@ -90,26 +209,23 @@ def promote(touches: list[Touch]) -> None:
             t.leader = first.t
 
 
-def judged(touches: list[Touch], seen: tuple[int, int, int] | None, word: int, t: int, track: int, open_then, limits: Limits) -> tuple[bool, int]:
-    """Whether a new touch is a message of its own, and else whose: judged against its own track's last message, or else its last touch, then against the newest message of all."""
-    own = [x for x in touches if x.track == track]
-    lead = next((x for x in reversed(own) if x.counts), None)
+def judged(lead: Touch | None, last_own: Touch | None, other: Touch | None, seen: tuple[int, int, int] | None, word: int, t: int, track: int, open_then, limits: Limits) -> tuple[bool, int]:
+    """Whether a new touch is a message of its own, and else whose: judged against its own track's last message (lead), or else its last touch (last_own), then against the newest message of all (other)."""
     close = lambda t0, w0: word < w0 + limits.words and t - t0 < limits.ticks(limits.apart)
     if lead is not None:
         if close(lead.t, lead.word):
             return False, lead.t
     else:
-        last = (own[-1].t, own[-1].word, own[-1].leader) if own else seen
+        last = (last_own.t, last_own.word, last_own.leader) if last_own is not None else seen
         if last is not None and close(last[0], last[1]):
             return False, last[2]
-    other = next((x for x in reversed(touches) if x.counts), None)
     if other is None:
         return True, t
     if other.track == track:
         apart = not close(other.t, other.word)
     else:
         # another track's message is another one if that track had closed, or this track has said a whole message since
-        mine = (own[-1].t, own[-1].word) if own else seen
+        mine = (last_own.t, last_own.word) if last_own is not None else seen
         moved_on = mine is not None and other.t <= mine[0] and word >= mine[1] + limits.words
         apart = not open_then(other.track) or t - other.t >= limits.ticks(limits.apart) or moved_on
     return (True, t) if apart else (False, other.t)
@@ -155,17 +271,17 @@ class Gate:
         if span is not None and (leader := entry.meeting(span)) is not None:
             # the same samples decoded again
             entry.see(track, t, word, leader)
-            entry.spans.append((*span, leader))
+            entry.cover(span, leader)
         else:
-            quick = track in entry.seen and t - entry.seen[track][0] < self.limits.ticks(self.limits.between)
+            quick = track in entry.seen.of and t - entry.seen.of[track][0] < self.limits.ticks(self.limits.between)
             newest = entry.newest()
             alone = quick or newest is None or t - newest >= self.limits.ticks(self.limits.between)
-            counts, leader = judged(entry.touches, entry.seen.get(track), word, t, track, lambda k: self._open(k, t), self.limits)
+            counts, leader = judged(*entry.touches.last(track), entry.seen.of.get(track), word, t, track, lambda k: self._open(k, t), self.limits)
             entry.see(track, t, word, leader)
             if alone:
                 entry.touches.append(Touch(t, word, track, counts, leader))
             if span is not None:
-                entry.spans.append((*span, leader))
+                entry.cover(span, leader)
         entry.forget(before)
         return entry.count()
 
@@ -177,11 +293,11 @@ class Gate:
         """Hand the touch of that track and span over to another call, at time `at`; whether it was still held. It counts there only if no message there is the same."""
         span = (min(start, t), t)
         for (b, c), entry in sorted(self.entries.items()):
-            found = next((x for x in entry.touches if x.track == track and x.t == t), None)
-            if c != call or found is None or not any(s[:2] == span for s in entry.spans):
+            if c != call or (n := entry.touches.find(track, t)) is None or not entry.covers(span):
                 continue
-            entry.touches.remove(found)
-            entry.spans = [s for s in entry.spans if s[:2] != span]
+            found = entry.touches.held[n]
+            entry.touches.remove(n)
+            entry.uncover(span)
             there = self.entries.setdefault((b, to), Entry(entry.freq))
             leader = there.meeting(span)
             if leader is None:
@@ -193,7 +309,7 @@ class Gate:
                         break
                 there.touches.append(Touch(found.t, found.word, track, counts, leader))
             there.see(track, found.t, found.word, leader)
-            there.spans.append((*span, leader))
+            there.cover(span, leader)
             return True
         return False
 
