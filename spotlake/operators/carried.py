@@ -18,11 +18,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from spotlake.operators.temporal import by
 
 
-def stretches(df: DataFrame, keys: list[str], at: str, tie: str, silence: float, out: str = "stretch") -> DataFrame:
-    """df with a number that grows at each row of its key that comes `silence` or more after the row before."""
-    order = by(keys, at, tie)
-    opens = F.coalesce(F.col(at) - F.lag(at).over(order) >= silence, F.lit(False))
-    return df.withColumn("__opens", opens).withColumn(out, F.count_if("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
+def stretches(df: DataFrame, keys: list[str], at: str, silence: float, out: str = "stretch") -> DataFrame:
+    """df with a number that grows at each row of its key that comes `silence` or more after the row before.
+
+    Cells of half a silence are numbered, not rows: a window over the occupied cells, with their first and last row, finds the silences, so a key's rows are not sorted for it in one task.
+    """
+    cell = F.when(F.isnan(at), F.lit(2**63 - 1)).otherwise(F.floor(F.col(at) / (silence / 2)))
+    cells = df.groupBy(*keys, cell.alias("__cell")).agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
+    order = by(keys, "__cell")
+    opens = F.coalesce(F.col("__first") - F.lag("__last").over(order) >= silence, F.lit(False))
+    numbered = cells.withColumn("__opens", opens).withColumn(out, F.count_if("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    names = {c: f"__of{i}" for i, c in enumerate([*keys, "__cell"])}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return df.withColumn("__cell", cell).join(numbered.select(*[F.col(c).alias(n) for c, n in names.items()], out), same).drop("__cell", *names.values())
 
 
 def carried(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], outputs: str, start: Callable[[], object], step: Callable, end: Callable | None = None) -> DataFrame:
@@ -30,12 +38,11 @@ def carried(df: DataFrame, keys: list[str], order: list[str], inputs: list[str],
 
     Each returns any number of tuples; the state is whatever start() makes and step() changes.
     """
-    held = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)]
-    sort = [F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)]
-    values = [F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(inputs)]
-    n_keys, at = len(keys), len(keys) + len(order)
-    rows = df.select(*held, *sort, *values).repartition(*[f"k{i}" for i in range(n_keys)])
-    rows = rows.sortWithinPartitions(*[f"k{i}" for i in range(n_keys)], *[f"o{i}" for i in range(len(order))])
+    # a column that is key, order and input at once is sorted and sent once
+    names = list(dict.fromkeys([*keys, *order, *inputs]))
+    n_keys, at = len(keys), [names.index(c) for c in inputs]
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).repartition(*[f"c{i}" for i in range(n_keys)])
+    rows = rows.sortWithinPartitions(*[f"c{i}" for i in range(n_keys)], *[f"c{names.index(c)}" for c in order])
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in keys]).schema.fields, *T.StructType.fromDDL(outputs).fields])
     arrow = to_arrow_schema(schema)
 
@@ -49,7 +56,7 @@ def carried(df: DataFrame, keys: list[str], order: list[str], inputs: list[str],
                     if key is not None and end is not None:
                         out += [key + tuple(o) for o in end(state)]
                     key, state = row[:n_keys], start()
-                out += [key + tuple(o) for o in step(state, *row[at:])]
+                out += [key + tuple(o) for o in step(state, *[row[i] for i in at])]
             yield _batch(out, arrow)
         if key is not None and end is not None:
             yield _batch([key + tuple(o) for o in end(state)], arrow)

@@ -229,7 +229,7 @@ def evaluate(copies: DataFrame, required: int = 2, limits: Limits | None = None)
     """
     limits = limits or Limits()
     sound = copies.where((F.length("text") > 0) & F.col("freq").isNotNull() & ~F.isnan("freq") & (F.abs("freq") < float("inf")) & F.col("start").isNotNull() & F.col("stop").isNotNull())
-    placed = stretches(channels(sound, ["input"], "freq", limits.near), ["input", "channel"], "stop", "copy_id", limits.ticks(limits.window) + 1)
+    placed = stretches(channels(sound, ["input"], "freq", limits.near), ["input", "channel"], "stop", limits.ticks(limits.window) + 1)
 
     def step(lattice: Lattice, copy_id, text, scores, others, start, stop, track, word, freq, closes) -> list[tuple]:
         pairs = [[(o["glyph"], o["score"]) for o in x or []] for x in others] if others else [[] for _ in text]

@@ -2,7 +2,8 @@
 
 A track owns three channels around a centre that follows its signal. Rows come only for hops at which a channel shows something, so timers are not
 counted down: each says at which hop it ends, and all that end before the next row's hop are taken in order (a row at the very hop comes first). Tracks on channels more than a few apart never meet, and nothing outlives
-the longest timer, so a recording is as many streams as it has occupied groups of channels and quiet times.
+the longest timer, so a recording is as many streams as it has occupied groups of channels and quiet times. A stream's rows are packed before it, a row for the
+channels of a hop, since one that never falls quiet is sorted in one task.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ CONFIRM, HANG, SLEEP, MUTE, SUPPRESS = 19, 1875, 3750, 11_250, 22_500
 PAIR, PHASE_APART, ONE, FOLLOW = 0.8, 100 / 93.75, 1.0, 0.05
 #: Channels between groups that can't meet: both centres may lie a channel beyond their rows' channels, and own one more.
 APART = 5
+#: A row holds the channels of a hop that are one in all but this many bits.
+PACKED = 6
 
 
 @dataclass(frozen=True)
@@ -185,8 +188,24 @@ def lives(rows: DataFrame, timers: Timers | None = None) -> DataFrame:
     timers = timers or Timers()
     telling = rows.where(F.coalesce(F.col("rise"), F.lit(False)) | F.coalesce(F.col("level"), F.lit(False)) | F.coalesce(F.col("decoded"), F.lit(False)))
     grouped = channels(telling.withColumn("__c", F.col("channel").cast("double")), ["input"], "__c", float(APART), "group").drop("__c")
-    cut = stretches(grouped, ["input", "group"], "hop", "channel", timers.longest())
+    cut = stretches(packed(grouped, ["input", "group", "hop"]), ["input", "group"], "hop", timers.longest())
+
+    def step(state: Lives, hop, block, shown, positions) -> list[tuple]:
+        out = []
+        for code, position in zip(shown, positions, strict=True):
+            out += state.row(hop, (block << PACKED) + (code >> 3), code & 1, code & 2, code & 4, position)
+        return out
+
     return carried(
-        cut, ["input", "group", "stretch"], ["hop", "channel"], ["hop", "channel", "rise", "level", "decoded", "position"],
-        "track int, hop bigint, event string, centre double", lambda: Lives(timers), lambda state, *row: state.row(*row), lambda state: state.end(),
+        cut, ["input", "group", "stretch"], ["hop", "block"], ["hop", "block", "shown", "positions"],
+        "track int, hop bigint, event string, centre double", lambda: Lives(timers), step, lambda state: state.end(),
     )
+
+
+def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, channel, rise, level, decoded, position) -> keys, block, shown, positions: a row per block of channels; shown: eight times the channel's place in its block, and 1, 2 and 4 for rise, level and decoded."""
+    flag = lambda c, value: F.when(F.col(c), value).otherwise(0)
+    code = F.col("channel").bitwiseAND((1 << PACKED) - 1) * 8 + flag("rise", 1) + flag("level", 2) + flag("decoded", 4)
+    shown = F.collect_list(F.struct(code.cast("smallint").alias("code"), F.col("position").cast("double").alias("position")))
+    blocks = rows.groupBy(*keys, F.shiftright("channel", PACKED).alias("block")).agg(shown.alias("__shown"))
+    return blocks.select(*keys, "block", F.col("__shown.code").alias("shown"), F.col("__shown.position").alias("positions"))

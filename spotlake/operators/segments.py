@@ -190,7 +190,7 @@ def decode(anchored: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """
     cfg = cfg or Settings()
     once = anchored.where(F.col("hop").isNotNull() & F.col("total").isNotNull()).groupBy("track", "hop").agg(F.min("total").alias("total"))
-    cut = stretches(once, ["track"], "hop", "total", cfg.reach())
+    cut = stretches(once, ["track"], "hop", cfg.reach())
 
     class State:
         def __init__(self):
