@@ -26,8 +26,23 @@ def logarithm(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to that many digits as C libraries round it: the nearest whole number of the scaled double, halves away from zero, scaled back; a negative value that rounds to zero keeps its sign."""
+    scale = float(10**digits)
+    whole = F.round(x * scale)
+    kept = F.when(whole == 0, x * 0.0).otherwise(whole / scale)
+    return F.when(F.abs(x * scale) < float("inf"), kept).otherwise(x)
+
+
+def fixed(x: Column) -> Column:
+    """A double with two decimals, rounded by its exact value, halves to even; null for null."""
+    return F.call_function("format_number", x, F.lit("0.00"))
+
+
 def power_db(p: Column) -> Column:
-    return 10 * F.log10(p + 1e-20)
+    """10 times the decimal logarithm, a trifle above p; of 0 it is minus infinity, below it NaN, in place of null."""
+    x = p + 1e-20
+    return 10 * F.when(x > 0, F.log10(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
 
 
 def power_linear(p: Column) -> Column:
@@ -76,7 +91,7 @@ def wire_snr(snr_2500: Column) -> Column:
 
 
 def wpm_of(dit_ms: Column) -> Column:
-    return F.try_divide(F.lit(1200.0), dit_ms)
+    return quotient(F.lit(1200.0), dit_ms)
 
 
 def log_normal_likelihood(duration: Column, mean: Column, sigma: float) -> Column:
@@ -133,7 +148,7 @@ def usable(samples: Column) -> Column:
 
 
 def khz(hz: Column) -> Column:
-    return F.format_string("%.2f", hz / 1000)
+    return fixed(hz / 1000)
 
 
 def class_sigma(n: Column, variance: Column, mean: Column, least: int, fallback: Column, floor: float = 0.02) -> Column:

@@ -91,16 +91,16 @@ def spot_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, k = F.col("value"), F.col("k")
     return events(spark, sf_dir).select(
         "event_id",
-        F.round(numeric.power_db(v), 6).alias("db"),
+        numeric.rounded(numeric.power_db(v), 6).alias("db"),
         numeric.wire_snr(v).alias("wire_snr"),
-        F.round(numeric.wpm_of(k + 1.0), 6).alias("wpm"),
-        F.round(numeric.log_normal_likelihood(v, F.lit(35.0), 0.25), 6).alias("likelihood"),
+        numeric.rounded(numeric.wpm_of(k + 1.0), 6).alias("wpm"),
+        numeric.rounded(numeric.log_normal_likelihood(v, F.lit(35.0), 0.25), 6).alias("likelihood"),
         numeric.ms_to_hops(v).alias("hops"),
-        F.round(numeric.correction_ppm(F.lit(35.0), v), 3).alias("ppm"),
-        F.round(numeric.calibration_factor(k - 50), 9).alias("factor"),
+        numeric.rounded(numeric.correction_ppm(F.lit(35.0), v), 3).alias("ppm"),
+        numeric.rounded(numeric.calibration_factor(k - 50), 9).alias("factor"),
         numeric.next_backoff(k).alias("backoff"),
-        F.round(numeric.channel_freq_hz(F.lit(7_000_000), k, 64), 6).alias("channel_hz"),
-        numeric.khz(v * 1000).alias("khz"),
+        numeric.rounded(numeric.channel_freq_hz(F.lit(7_000_000), k, 64), 6).alias("channel_hz"),
+        numeric.fixed(v).alias("khz"),
     )
 
 
