@@ -28,6 +28,13 @@ def rows(a: str, b: str) -> Iterator[tuple[int, int, int, int, int, int]]:
 def distance(a: str, b: str) -> int:
     """Least number of characters inserted, deleted or replaced."""
     short, long = sorted((a, b), key=len)
+    at = 0
+    for c in short:
+        at = long.find(c, at) + 1
+        if not at:
+            break
+    else:  # all of the short one stands in the long one in order
+        return len(long) - len(short)
     up, down = (1 << len(long)) - 1, 0
     for _, _, _, up, down, _ in rows(short, long):
         pass

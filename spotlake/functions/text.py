@@ -48,9 +48,13 @@ def variant_relation(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(None).cast("string")).when(related, "contains").when(close, "similar")
 
 
+def plain(s: Column) -> Column:
+    """In upper case, with single blanks."""
+    return F.trim(F.regexp_replace(F.upper(s), r"\s+", " "))
+
+
 def character_error_rate(expected: Column, decoded: Column) -> Column:
     """Edit distance by length, after upper case and single blanks."""
-    plain = lambda s: F.trim(F.regexp_replace(F.upper(s), r"\s+", " "))
     return edit_distance(plain(expected), plain(decoded)) / F.greatest(F.length(plain(expected)), F.lit(1))
 
 

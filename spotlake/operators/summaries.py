@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlake.functions.text import character_error_rate
+from spotlake.operators import gathered
 from spotlake.operators.gates import greedy_gate
 from spotlake.operators.joins import band_join
 from spotlake.operators.temporal import by
@@ -47,11 +48,18 @@ def withheld_by_input(outcomes: DataFrame, source: str) -> DataFrame:
 
 
 def joined_text(stations: DataFrame, tracks: DataFrame, reach: float) -> DataFrame:
-    """stations (station_id, freq, expected) and tracks (start, t_freq, text) -> station_id, text, cer: the texts of all tracks within reach, in order of start then text, parted by blanks; no track: an empty text."""
-    met = band_join(stations.select("station_id", "freq"), tracks, [], "freq", "t_freq", reach)
-    said = met.groupBy("station_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("start", "text")))["text"], " ").alias("text"))
-    whole = stations.join(said, "station_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return whole.select("station_id", "text", character_error_rate(F.col("expected"), F.col("text")).alias("cer"))
+    """stations (station_id, freq, expected) and tracks (start, t_freq, text) -> station_id, text, cer: the texts of all tracks within reach, in order of start then text, parted by blanks; no track: an empty text.
+
+    An id with several rows has in each of them the texts near any of these; as ids are few that have, their pairs are joined as rows.
+    """
+    told = stations.withColumn("__rows", F.count("*").over(Window.partitionBy("station_id")))
+    several = (F.col("__rows") > 1) & F.col("station_id").isNotNull()
+    shared = told.where(several).drop("__rows")
+    met = band_join(shared.select("station_id", "freq"), tracks, [], "freq", "t_freq", reach)
+    said = met.groupBy("station_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct(F.isnull("start").alias("last"), "start", "text")))["text"], " ").alias("text"))
+    whole = shared.join(said, "station_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    whole = whole.select("station_id", "text", character_error_rate(F.col("expected"), F.col("text")).alias("cer"))
+    return gathered.texts(told.where(~several), tracks, reach).unionByName(whole)
 
 
 def neighbours(tracks: DataFrame, keys: list[str], n_channels: int, reach: float) -> DataFrame:
