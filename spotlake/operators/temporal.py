@@ -14,12 +14,12 @@ def by(keys: list[str], *order: str | Column) -> WindowSpec:
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str, slack: float = 0) -> DataFrame:
-    """Unions of intervals that overlap, touch or lie at most `slack` apart: keys, start, stop, n."""
-    earlier = by(keys, start, stop).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(stop).over(earlier)
+    """Unions of intervals that overlap, touch or lie at most `slack` apart: keys, start, stop, n. One without a start, or that stops before it starts and lies in no other, is by itself, also where it comes twice."""
+    order = by(keys, F.asc_nulls_last(start), F.asc_nulls_last(stop))
+    reach = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = df.withColumn("__new", F.when(F.col(start) <= reach + slack, 0).otherwise(1))
-    # by range: equal intervals share an island whichever of them comes first
-    island = F.sum("__new").over(by(keys, start, stop).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # the same order, so one sort: of equal intervals the one that opens an island comes first in both windows
+    island = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))
     grouped = opens.withColumn("__island", island).groupBy(*keys, "__island")
     return grouped.agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n")).drop("__island")
 
