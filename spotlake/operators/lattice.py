@@ -26,8 +26,8 @@ from spotlake.operators.repetition import Limits, Seen, Touch, Touches, judged
 # Lead that a place needs, edits within which a copy joins, least letters of a call.
 LEAD, EDITS, SHORTEST = 0.5, 2, 3
 GAP, UNKNOWN = "", "?"
-#: Smallest part of a vote; sums of such parts are exact. Copies looked over at a time, and moves that are kept.
-SHARE, BLOCK, MOVES = 2.0**-24, 128, 4096
+#: Smallest part of a vote; sums of such parts are exact. Copies looked over at a time, those that hold before that is done again, and moves that are kept.
+SHARE, BLOCK, CALM, MOVES = 2.0**-24, 128, 6, 4096
 
 
 @lru_cache(1 << 16)
@@ -151,28 +151,31 @@ class Aligned:
     def settle(self) -> None:
         import numpy as np
 
-        n, row, size = len(self.copies), self.doubt, BLOCK
+        n, row, calm = len(self.copies), self.doubt, CALM
         self.shift, self.shifted = np.zeros(self.votes.shape[1:]), row
         while row < n:
-            stop = min(row + size, n)
+            # one by one where some were lined up anew just now, as the next often are too, else in blocks
+            stop = row + 1 if calm < CALM else min(row + BLOCK, n)
             if stop > self.shifted:
                 self.votes[self.low + self.shifted + 1 : self.low + stop + 1] += self.shift
                 self.shifted = stop
-            held = self.votes[self.low + row : self.low + stop]
-            leads = np.where(held[:, :, -2] < np.arange(row, stop)[:, None], held.argmax(2), -1)
-            known = self.tops[self.low + row : self.low + stop]
-            # without any place nothing is lined up yet
-            differ = np.flatnonzero((leads != known).any(1)).tolist() if held.shape[1] else [0]
+            held, known = self.votes[self.low + row : self.low + stop], self.tops[self.low + row : self.low + stop]
+            leads = held.argmax(2) if held.shape[1] else known.copy()
+            if calm < CALM:
+                leads[0, held[0, :, -2] >= row] = -1
+                differ = [] if leads.tobytes() == known.astype(leads.dtype).tobytes() else [0]
+            else:
+                leads[held[:, :, -2] >= np.arange(row, stop)[:, None]] = -1
+                # without any place nothing is lined up yet
+                differ = (leads != known).any(1).nonzero()[0].tolist() if held.shape[1] else [0]
             failed = next((i for i in differ if not self._holds(row + i, leads[i].tolist())), None)
             if failed is None:
                 known[:] = leads
-                row, size = stop, min(4 * size, BLOCK)
+                row, calm = stop, calm + 1
             else:
-                # where one is lined up anew the next often is too
-                size = 4
                 known[: failed + 1] = leads[: failed + 1]
                 self._line_up(row + failed, leads[failed].tolist())
-                row += failed + 1
+                row, calm = row + failed + 1, 0
         gone = np.flatnonzero(self.votes[self.low + n, :, -2] >= n)
         for place in gone[::-1].tolist():
             self.moves = {}
@@ -183,9 +186,13 @@ class Aligned:
     def _steps(self, row: int, leads: list[int]) -> list[tuple[int | None, int | None]]:
         return _steps(tuple([self.glyphs[g] for g in leads if g >= 0]), self.copies[row].text)
 
+    def _key(self, row: int, leads: list[int]) -> tuple | None:
+        """What the move of a plain copy hangs on as long as places and glyphs stay."""
+        return None if self.at[row] is None or any(self.copies[row].others) else (self.copies[row].text, tuple(leads), tuple(self.at[row]))
+
     def _holds(self, row: int, leads: list[int]) -> bool:
         """Whether a copy lies as it would if it were lined up to these leading glyphs."""
-        if self.at[row] is None:
+        if self.at[row] is None or self._key(row, leads) in self.moves:
             return False
         mine, lies, n = {p: j for j, p in enumerate(self.at[row])}, [], 0
         for p, lead in enumerate(leads):
@@ -197,9 +204,7 @@ class Aligned:
     def _line_up(self, row: int, leads: list[int]) -> None:
         import numpy as np
 
-        copy, before, rows = self.copies[row], self.at[row], self.votes[self.low :]
-        # what a plain copy's votes change by, as long as places and glyphs stay
-        key = None if before is None or any(copy.others) else (copy.text, tuple(leads), tuple(before))
+        copy, before, rows, key = self.copies[row], self.at[row], self.votes[self.low :], self._key(row, leads)
         if key in self.moves:
             at, mine = self.moves[key]
         else:
